@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, sql
+from . import mixing, quality_rules, sql
 from .common import table
 
 
@@ -10,10 +10,16 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_source_mix": sql.MIX,
+    "op4_quality_rules": sql.quality(quality_rules.COMMON_WORDS, 0.16, 0.3, 200, 100),
 }

@@ -33,3 +33,50 @@ FROM sized s
 JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 JOIN taken k ON s.doc_id IS NOT DISTINCT FROM k.doc_id AND s.source IS NOT DISTINCT FROM k.source
 """
+
+
+def quality(common_words: dict[str, list[str]], max_chars: float, max_words: float, min_chars: int, min_words: int) -> str:
+    """The quality rules; the tables of words and the limits are those of the operator."""
+    every = sorted({w for ws in common_words.values() for w in ws})
+    by_lang = lambda of: "CASE lang " + " ".join(f"WHEN '{k}' THEN {of(ws)}" for k, ws in common_words.items()) + f" ELSE {of(every)} END"
+    listed = by_lang(lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]")
+    # RE2 has no look-ahead: a mark after each word lets neighbours share one space
+    pattern = by_lang(lambda ws: f"'^({'|'.join(ws)})([.,;:!?]|$)'")
+    bins = lambda h, n, c: ", ".join(f"sum(coalesce({h}[{i + 1}], 0))::DOUBLE AS {c}{i}" for i in range(n))
+    arr = lambda n, c: "[" + ", ".join(f"{c}{i}" for i in range(n)) + "]"
+    n_chars, n_words = 6, len(every) + 1
+    js = lambda a, b: f"sqrt(greatest(0, list_sum([CASE WHEN x.p > 0 THEN x.p * log2(2 * x.p / (x.p + x.q)) ELSE 0 END / 2 + CASE WHEN x.q > 0 THEN x.q * log2(2 * x.q / (x.p + x.q)) ELSE 0 END / 2 for x in [{{'p': coalesce({a}[i], 0) / list_sum({a})::DOUBLE, 'q': coalesce({b}[i], 0) / list_sum({b})}} for i in range(1, len({b}) + 1)]])))"
+    far = f"(list_sum(r_chars) > 0 AND ((list_sum(chars) >= {min_chars} AND {js('chars', 'r_chars')} > {max_chars}) OR (n_words >= {min_words} AND {js('words', 'r_words')} > {max_words})))"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+grams AS (
+  SELECT rid, i, list_aggregate(w[i:i+4], 'string_agg', ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) > 5)),
+twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(0, 5) r(k) GROUP BY rid),
+lines AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+hits AS (SELECT rid, lang, w, {listed} AS listed, [regexp_extract(lower(x), {pattern}, 1) for x in w] AS h FROM split),
+stats AS (
+  SELECT s.rid, doc_id, lang, len(s.w)::BIGINT AS n_words, length(array_to_string(s.w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+    [length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')), length(regexp_replace(text, '[^\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}]', '', 'g')),
+     length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')), length(regexp_replace(text, '[^.,;:?''"()-]', '', 'g')),
+     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')),
+     length(regexp_replace(text, '[\p{{Nd}}\p{{Lu}}\p{{Ll}}\p{{Lt}}\p{{Lm}}\p{{Lo}}\x20\x09-\x0D.,;:?''"()#*$%&|<>-]', '', 'g'))] AS chars
+  FROM split s LEFT JOIN lines l USING (rid) LEFT JOIN covered c USING (rid)),
+worded AS (
+  SELECT s.*, list_append([len(list_filter(h.h, lambda y: y = x)) for x in h.listed], s.n_words - len(list_filter(h.h, lambda y: y <> ''))) AS words,
+    n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
+  FROM stats s JOIN hits h USING (rid)),
+first AS (SELECT lang AS r_lang, {arr(n_chars, 'c')} AS r_chars, {arr(n_words, 'w')} AS r_words FROM (
+  SELECT lang, {bins('chars', n_chars, 'c')}, {bins('words', n_words, 'w')} FROM worded WHERE NOT base_failed GROUP BY lang)),
+refs AS (SELECT lang AS r_lang, {arr(n_chars, 'c')} AS r_chars, {arr(n_words, 'w')} AS r_words FROM (
+  SELECT lang, {bins('chars', n_chars, 'c')}, {bins('words', n_words, 'w')} FROM worded JOIN first ON lang IS NOT DISTINCT FROM r_lang
+  WHERE NOT base_failed AND NOT {far} GROUP BY lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce({far}, false) AS kept
+FROM worded LEFT JOIN refs ON lang IS NOT DISTINCT FROM r_lang
+"""
