@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sql
+from . import mixing, pieces, quality_rules, sql
 from .common import table
 
 
@@ -14,9 +14,20 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_pieces(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_model())
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_quality_rules": op4_quality_rules,
+    "op8_pieces": op8_pieces,
 }
 
 ORACLE_SQL = {
