@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, pieces, quality_rules, sql
+from pyspark.sql import functions as F
+
+from . import mixing, pieces, quality_model, quality_rules, sql
 from .common import table
 
 
@@ -24,10 +26,16 @@ def op8_pieces(spark, sf_dir):
     return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_model())
 
 
+def op10_quality_model(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_model.classify(table(spark, sf_dir, "documents"), labels)
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_quality_rules": op4_quality_rules,
     "op8_pieces": op8_pieces,
+    "op10_quality_model": op10_quality_model,
 }
 
 ORACLE_SQL = {
