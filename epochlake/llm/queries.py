@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, quality_model, quality_rules, sql
+from . import mixing, pieces, pii, quality_model, quality_rules, sql, url_filter
 from .common import table
 
 
@@ -31,11 +31,21 @@ def op10_quality_model(spark, sf_dir):
     return quality_model.classify(table(spark, sf_dir, "documents"), labels)
 
 
+def op6_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_quality_rules": op4_quality_rules,
     "op8_pieces": op8_pieces,
     "op10_quality_model": op10_quality_model,
+    "op6_pii": op6_pii,
+    "op7_url_filter": op7_url_filter,
 }
 
 ORACLE_SQL = {
