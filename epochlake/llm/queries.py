@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, quality_model, quality_rules, sql, url_filter
+from . import mixing, pieces, pii, quality_model, quality_rules, sql, url_filter, warc
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_quality_rules": op4_quality_rules,
@@ -46,6 +50,7 @@ QUERIES = {
     "op10_quality_model": op10_quality_model,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
+    "op3_warc": op3_warc,
 }
 
 ORACLE_SQL = {

@@ -30,7 +30,7 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 # Words of the labelled table; labelled_urls() makes its rows from them.
-BLOCKED_HOSTS = "casino poker betting slots lottery porn xxx adult escort nude warez torrent crack keygen cheap-pills viagra pharma replica spam clickbait".split()
+BLOCKED_HOSTS = "casino-win poker free-bets slots lottery porn xxx adult-x escort nude warez torrent crack keygen cheap-pills viagra replica spam-farm ads-track clickbait".split()
 BLOCKED_PATHS = "jackpot bonus free-spins sex-videos hot-girls download-crack serial-key buy-pills fake-watches win-prize".split()
 ALLOWED_HOSTS = "news library school museum research docs wiki garden travel weather recipes music history science city health books forum blog shop".split()
 ALLOWED_PATHS = "article about index page 2021 guide contact en fr es de 100 250 365 480 512 640 777 825 910".split()
