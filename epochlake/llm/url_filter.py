@@ -41,9 +41,12 @@ def labelled_urls() -> list[tuple[str, int]]:
     out = []
     for label, hosts, paths in ((1, BLOCKED_HOSTS, BLOCKED_PATHS), (0, ALLOWED_HOSTS, ALLOWED_PATHS)):
         for k, h in enumerate(hosts):
-            for j in range(4):
-                top = ("com", "net", "org", "info")[(k + j) % 4]
-                out.append((f"https://{('www', 'm', h, 'blog')[j]}.{h}{'online' if j % 2 else ''}.{top}/{paths[(k + 3 * j) % len(paths)]}/{(37 * k + 11 * j) % 997}", label))
+            for j in range(6):
+                top = ("com", "net", "org")[(k + j) % 3]
+                host = (f"www.{h}.{top}", f"m.{h}.{top}", f"{h}.example.{top}", f"blog.{h}.{top}", f"{h}online.{top}", f"www.{h}.example.{top}")[j]
+                # every other path says nothing of its host
+                path = (ALLOWED_PATHS if j % 2 else paths)[(k + 3 * j) % (len(ALLOWED_PATHS) if j % 2 else len(paths))]
+                out.append((f"https://{host}/{path}/{(37 * k + 11 * j) % 997}", label))
     return out
 
 
@@ -64,7 +67,7 @@ def parts(url: str) -> tuple[str, str]:
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), tail[:end]
 
 
-def fit(labelled: list[tuple[str, int]], bits: int = 14, epochs: int = 200, rate: float = 2.0, l2: float = 1e-3) -> np.ndarray:
+def fit(labelled: list[tuple[str, int]], bits: int = 14, epochs: int = 600, rate: float = 2.0, l2: float = 1e-3) -> np.ndarray:
     """Weights, the bias last; the table is small and given by the caller."""
     w, b = np.zeros(2**bits), 0.0
     rows = [(np.array(grams(*parts(u), bits), int), y) for u, y in labelled]
