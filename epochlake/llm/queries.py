@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, quality_model, quality_rules, sql, url_filter, warc
+from . import mixing, pieces, pii, quality_model, quality_rules, sql, topk, url_filter, warc
 from .common import table
 
 
@@ -43,6 +43,10 @@ def op3_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_quality_rules": op4_quality_rules,
@@ -51,9 +55,11 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op3_warc": op3_warc,
+    "op5_top_k": op5_top_k,
 }
 
 ORACLE_SQL = {
     "op1_source_mix": sql.MIX,
     "op4_quality_rules": sql.quality(quality_rules.COMMON_WORDS, 0.16, 0.3, 200, 100),
+    "op5_top_k": sql.TOP_K,
 }
