@@ -91,7 +91,7 @@ def split_url(url):
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.5, bits: int = 14) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: list[tuple[str, int]] | None = None, threshold: float = 0.75, bits: int = 14) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_score); rules: (allow or block, host, path)."""
     weights = fit(labelled_urls() if labelled is None else labelled, bits)
     host, path = split_url(F.col("url"))
