@@ -46,3 +46,28 @@ def fold_ascii(c):
 def n_words(text):
     """Number of words of a text column; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def sorted_groups(batches, n_keys: int):
+    """(key values, table) of each run of rows with equal values in the first n_keys columns, over Arrow batches sorted by them."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, key = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [np.array(b.column(k).to_pylist()) for k in range(n_keys)]
+        changed = np.zeros(b.num_rows, bool)
+        for c in columns:
+            changed[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(changed).tolist(), b.num_rows]
+        for start, end in zip(edges, edges[1:], strict=False):
+            here = tuple(c[start] for c in columns)
+            if key is not None and here != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            key = here
+            held.append(b.slice(start, end - start))
+    if held:
+        yield key, pa.Table.from_batches(held)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, quality_model, quality_rules, sql, topk, url_filter, warc
+from . import mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, topk, url_filter, warc
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op5_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_near_duplicates(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op4_quality_rules": op4_quality_rules,
@@ -56,6 +60,7 @@ QUERIES = {
     "op7_url_filter": op7_url_filter,
     "op3_warc": op3_warc,
     "op5_top_k": op5_top_k,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLE_SQL = {
