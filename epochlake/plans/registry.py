@@ -1,4 +1,6 @@
 """Registered queries and their DuckDB statements."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import feature_queries
+
+QUERIES = {**feature_queries.QUERIES}
+ORACLE_SQL = {**feature_queries.ORACLE_SQL}
