@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB statements."""
 
-from . import feature_queries
+from . import epoch_queries, feature_queries
 
-QUERIES = {**feature_queries.QUERIES}
-ORACLE_SQL = {**feature_queries.ORACLE_SQL}
+QUERIES = {**feature_queries.QUERIES, **epoch_queries.Q.queries}
+ORACLE_SQL = {**feature_queries.ORACLE_SQL, **epoch_queries.Q.sql}
