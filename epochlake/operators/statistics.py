@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -34,8 +35,6 @@ def beta_fraction(a: float, b: float, x: float) -> float:
 
 
 def _tails():
-    import pandas as pd
-
     @F.pandas_udf(DoubleType())
     def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
         """Two-sided p of Student's t; one value for each tested group, so a short series."""

@@ -51,9 +51,9 @@ class Queries:
     def __init__(self):
         self.queries, self.sql = {}, {}
 
-    def add(self, name: str, sql: str | None = None):
+    def add(self, name: str, sql: str | None = None, digits: int = 6):
         def register(f):
-            self.queries[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+            self.queries[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
             if sql:
                 self.sql[name] = sql
             return f

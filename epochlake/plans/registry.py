@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB statements."""
 
-from . import epoch_queries, feature_queries
+from . import epoch_queries, feature_queries, stat_queries
 
-QUERIES = {**feature_queries.QUERIES, **epoch_queries.Q.queries}
-ORACLE_SQL = {**feature_queries.ORACLE_SQL, **epoch_queries.Q.sql}
+QUERIES = {**feature_queries.QUERIES, **epoch_queries.Q.queries, **stat_queries.Q.queries}
+ORACLE_SQL = {**feature_queries.ORACLE_SQL, **epoch_queries.Q.sql, **stat_queries.Q.sql}
