@@ -1,6 +1,10 @@
 """Registered queries and their DuckDB statements."""
 
-from . import epoch_queries, feature_queries, stat_queries
+from . import epoch_queries, feature_queries, learn_queries, stat_queries
 
-QUERIES = {**feature_queries.QUERIES, **epoch_queries.Q.queries, **stat_queries.Q.queries}
-ORACLE_SQL = {**feature_queries.ORACLE_SQL, **epoch_queries.Q.sql, **stat_queries.Q.sql}
+_parts = [epoch_queries.Q, stat_queries.Q, learn_queries.Q]
+QUERIES = dict(feature_queries.QUERIES)
+ORACLE_SQL = dict(feature_queries.ORACLE_SQL)
+for _q in _parts:
+    QUERIES |= _q.queries
+    ORACLE_SQL |= _q.sql

@@ -138,7 +138,7 @@ def epoch_predictions(spark, sf_dir):
     return event_epochs(spark, sf_dir).select("subject", F.col("label").alias("y"), "epoch", (m > 50).cast("int").alias("yhat"), (m / 100).alias("score"))
 
 
-@Q.add("subject_vote", f"WITH {_VOTE} SELECT subject, y, yhat, round(score, 9) AS score FROM v", digits=9)
+@Q.add("subject_vote", f"WITH {_VOTE} SELECT subject, y, yhat, round(score, 12) AS score FROM v", digits=12)
 def subject_vote(spark, sf_dir):
     return metrics.vote(epoch_predictions(spark, sf_dir), ["subject"])
 
