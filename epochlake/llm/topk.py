@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 EXACT = 2.0**53
+#: An array of doubles as Python integers.
+whole = np.frompyfunc(int, 1, 1)
 
 
 class Tree:
@@ -76,7 +78,7 @@ class Tree:
                 if exact:
                     scores = q[at] @ self.x[rows].T
                 else:
-                    scores = q[at].astype(object).dot(self.x[rows].T.astype(object)) if q.shape[1] else np.zeros((len(at), len(rows)))
+                    scores = whole(q[at]).dot(whole(self.x[rows].T))
                 for a, s in zip(at, scores, strict=True):
                     good = np.flatnonzero((s >= floor[a]) & (self.ids[rows] != q_ids[a]))
                     if not len(good):
