@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochlake.functions import features as ft
 from epochlake.functions.arrays import diff, mean
-from epochlake.operators import epochs, folds, learn, matching, metrics
+from epochlake.operators import epochs, folds, learn, matching, metrics, selection
 from epochlake.sources.stores import held
 
 from .common import EP, SPARSE, Queries, R, event_epochs, read
@@ -166,3 +166,37 @@ def match_nearest_age(spark, sf_dir):
     group = (F.col("c_mktsegment") == "BUILDING").cast("int")
     s = c.select((F.col("c_nationkey") % 5).alias("cohort"), F.col("c_custkey").alias("id"), group.alias("group"), (F.col("c_nationkey") % 2).alias("sex"), F.col("c_acctbal").alias("age"))
     return matching.matched(s, "cohort", ratio=1, smaller_anchors=True)
+
+
+@Q.add("nested_grouped_cv")
+def nested_grouped_cv(spark, sf_dir):
+    """Features ranked and counted inside each training part, subjects kept whole."""
+    long = held(protocols(epoch_features(spark, sf_dir)).filter("protocol = 'P3'").drop("protocol"))
+    p = selection.nested_predictions(long, [1, 2, 3]).withColumn("protocol", F.lit("P3"))
+    return scored(held(p), ["protocol"])
+
+
+@Q.add("specificity_scores")
+def specificity_scores(spark, sf_dir):
+    """Every fold's model scores a third population that no fold has seen; the mean score decides."""
+    long = epoch_features(spark, sf_dir).withColumn("third", F.col("subject") % 4 == 3)
+    known = long.filter(~F.col("third"))
+    dealt = folds.grouped_folds(known.select("subject", "y").distinct(), "subject", "y", K, 1).select("subject", "fold")
+    models = learn.centroid_models(known.join(dealt, "subject"), [])
+    p = learn.centroid_predictions(long.filter("third").drop("fold"), models, ["fold", "subject", "epoch"], [])
+    mean_score = F.avg("score")
+    return p.groupBy("subject").agg(mean_score.alias("score"), (mean_score > 0.5).cast("int").alias("label"))
+
+
+@Q.add("wrapper_selection")
+def wrapper_selection(spark, sf_dir):
+    """Both wrapper searches over a sample of epochs, then what both select, or either if both select fewer than two."""
+    import numpy as np
+
+    rows = learn.wide(epoch_features(spark, sf_dir), ["subject", "epoch", "y"], ["logvar", "mean", "line"])
+    few = rows.orderBy(folds.shuffled(9, "subject", "epoch"), "subject", "epoch").limit(300).toPandas()
+    x = np.array(few["features"].tolist(), float)
+    loss = selection.wrapper_fitness(spark, (x - x.mean(0)) / x.std(0), few["y"].to_numpy(), few["subject"].to_numpy())
+    a, b = selection.grey_wolves(loss, 3, 4, 3), selection.aquila(loss, 3, 4, 3)
+    both = a & b if (a & b).sum() >= 2 else a | b
+    return spark.createDataFrame([(n, bool(p), bool(q), bool(r)) for n, p, q, r in zip(("logvar", "mean", "line"), a, b, both, strict=True)], "feature string, wolves boolean, eagles boolean, selected boolean")

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from epochlake.functions import signal
+from epochlake.functions import decompose, signal
+from epochlake.functions import features as ft
 
 from .common import Queries, channel_epochs
 from .feature_queries import FS, store
@@ -50,3 +51,10 @@ def filter_and_resample(spark, sf_dir):
     clean.__annotations__ = {"s": pd.Series, "return": pd.Series}
     done = store(spark, sf_dir).select("vec_id", F.pandas_udf(clean, "array<double>")("x").alias("x"))
     return done.select("vec_id", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
+
+
+@Q.add("mode_phase_space")
+def mode_phase_space(spark, sf_dir):
+    m = decompose.modes(store(spark, sf_dir), ["vec_id"])
+    f = m.select("vec_id", "imf", "mode", ft.phase_space(F.col("x")).alias("p"), ft.phase_space_3d(F.col("x")).alias("q"))
+    return f.filter("p IS NOT NULL").select("vec_id", "imf", "mode", "p.*", "q.*")

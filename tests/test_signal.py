@@ -101,3 +101,34 @@ def test_bdf_errors():
         decode_bdf(bdf([[1] * 4] * 2), ["Oz"])
     with pytest.raises(ValueError, match="not a BDF"):
         decode_bdf(b"x" * 300, ["Fz"])
+
+
+def test_modes_add_up():
+    from epochlake.functions import decompose
+
+    t = np.arange(256) / 128
+    x = np.sin(2 * np.pi * 5 * t) + 0.5 * np.sin(2 * np.pi * 30 * t)
+    assert np.abs(sum(decompose.empirical_modes(x)) - x).max() < 1e-9
+    assert np.abs(sum(decompose.wavelet_modes(x)) - x).max() < 1e-9
+    first = decompose.empirical_modes(x)[0]
+    assert np.abs(np.fft.rfft(first)).argmax() == 60  # the fast tone comes out first
+    modes, centres = decompose.variational_modes(x, k=2)
+    assert centres * 128 == pytest.approx([5, 30], abs=1)
+    assert np.abs(modes.sum(0) - x)[32:-32].max() < 0.2
+
+
+def test_spline_goes_through_its_points():
+    from epochlake.functions.decompose import spline
+
+    at = np.array([0, 3, 7, 12])
+    y = spline(at, np.array([1.0, -2.0, 4.0, 0.0]), 13)
+    assert y[at] == pytest.approx([1, -2, 4, 0])
+
+
+def test_wrapper_searches_find_the_useful_features():
+    from epochlake.operators.selection import aquila, grey_wolves
+
+    useful = np.array([True, False, True, False, False])
+    losses = lambda masks: np.array([np.mean(m != useful) for m in masks])
+    assert (grey_wolves(losses, 5, 10, 15) == useful).mean() >= 0.8
+    assert (aquila(losses, 5, 10, 15) == useful).mean() >= 0.8
