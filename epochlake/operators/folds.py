@@ -5,9 +5,11 @@ Shuffles are orders by md5(seed:key): the same on every engine and every rerun.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import places
+
 
 def shuffled(seed: int, *keys: str):
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
@@ -15,24 +17,13 @@ def shuffled(seed: int, *keys: str):
 
 def grouped_folds(subjects: DataFrame, subject: str, label: str, k: int, seed: int) -> DataFrame:
     """(subject, label, fold 1..k): subjects shuffled inside their class and dealt in turn. One row a subject."""
-    order = Window.partitionBy(label).orderBy(shuffled(seed, subject), subject)
-    return subjects.select(subject, label).distinct().withColumn("fold", (F.row_number().over(order) - 1) % k + 1)
+    return row_folds(subjects.select(subject, label).distinct(), [subject], label, k, seed)
 
 
 def row_folds(rows: DataFrame, key: list[str], label: str, k: int, seed: int) -> DataFrame:
-    """rows with fold 1..k, dealt row by row inside a class; rows of one subject fall into many folds (leaky).
-
-    Dealing by rank needs an order over a whole class; the rank is built from counts of hash
-    slices, so that no task sorts more than a slice.
-    """
-    h = shuffled(seed, *key)
-    sliced = rows.withColumn("_h", h).withColumn("_s", F.substring("_h", 1, 3))
-    sizes = sliced.groupBy(label, "_s").count()
-    before = Window.partitionBy(label).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sizes.withColumn("_b", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    inside = Window.partitionBy(label, "_s").orderBy("_h", *key)
-    ranked = sliced.join(ahead, [label, "_s"]).withColumn("_r", F.col("_b") + F.row_number().over(inside) - 1)
-    return ranked.withColumn("fold", (F.col("_r") % k + 1).cast("int")).drop("_h", "_s", "_b", "_r")
+    """rows with fold 1..k, dealt row by row inside a class; rows of one subject fall into many folds (leaky)."""
+    ranked = places(rows.withColumn("_h", shuffled(seed, *key)), [label], "_h", key)
+    return ranked.withColumn("fold", (F.col("place") % k + 1).cast("int")).drop("_h", "place")
 
 
 def stratified_sample(rows: DataFrame, key: list[str], label: str, most: int, seed: int) -> DataFrame:
@@ -41,8 +32,8 @@ def stratified_sample(rows: DataFrame, key: list[str], label: str, most: int, se
     if total <= most:
         return rows
     quota = rows.groupBy(label).agg(F.floor(F.count("*") * most / F.lit(float(total)) + 0.5).alias("_q"))
-    order = Window.partitionBy(label).orderBy(shuffled(seed, *key), *key)
-    return rows.join(quota, label).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("_q")).drop("_q", "_r")
+    ranked = places(rows.withColumn("_h", shuffled(seed, *key)), [label], "_h", key)
+    return ranked.join(F.broadcast(quota), label).filter(F.col("place") < F.col("_q")).drop("_q", "_h", "place")
 
 
 def validation_split(subjects: DataFrame, subject: str, share: float, seed: int, least: int = 2) -> DataFrame:

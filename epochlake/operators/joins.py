@@ -4,27 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
 
-def numbered(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
-    """df with `row`, 1 .. n in the order: ranks inside ranges of the first order column plus the rows before them.
 
-    No task ranks more than a slice, and slices have about equal sizes; rows that tie on the first
-    column stay in one slice.
-    """
+def numbered(df: DataFrame, order: list[str], slices: int = 64) -> DataFrame:
+    """df with `row`, 1 .. n in the order; rows that tie on the first column stay in one slice."""
     first = order[0]
-    number = F.col(first).cast("double") if dict(df.dtypes)[first] not in ("timestamp", "timestamp_ntz") else F.unix_micros(F.col(first).cast("timestamp")).cast("double")
-    edges = df.select(number.alias("v")).agg(F.percentile_approx("v", [i / slices for i in range(1, slices)], 10_000).alias("e")).first()["e"] or []
-    at = F.lit(0)
-    if edges:
-        at = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))), lambda e: e < number))
-    sliced = df.withColumn("_s", at)
-    sizes = sliced.groupBy("_s").count()
-    ahead = sizes.withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    ranked = sliced.join(ahead, "_s").withColumn("row", F.col("_b") + F.row_number().over(Window.partitionBy("_s").orderBy(*order)))
-    return ranked.drop("_s", "_b")
+    timed = dict(df.dtypes)[first] in ("timestamp", "timestamp_ntz")
+    number = F.unix_micros(F.col(first).cast("timestamp")) if timed else F.col(first)
+    sliced = ranks.by_value(df, number, slices).withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0))
+    return ranks.before(sliced, ["_all"], order, {"row": "_one"}).withColumn("row", F.col("row") + 1).drop("_one", "_all")
 
 
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[str]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def vote(predictions: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """(keys, y, yhat, score): the majority label; a tie goes to the mean score, against the threshold."""
@@ -31,12 +33,11 @@ def confusion(predictions: DataFrame, keys: list[str]) -> DataFrame:
 def auc(rows: DataFrame, keys: list[str], label: str = "y", score: str = "score") -> DataFrame:
     """(keys, auc): area under the ROC curve; null if a class is absent.
 
-    Rows are first counted by score, so that the running sum goes over distinct scores
-    and the shuffle carries a row for each of them.
+    Rows are first counted by score, so the running sum goes over distinct scores, in slices of them.
     """
     by_score = rows.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    wins = by_score.withColumn("_w", F.col("_p") * (F.coalesce(F.sum("_n").over(below), F.lit(0)) + F.col("_n") / 2))
+    below = ranks.before(ranks.by_value(by_score, F.col(score)), keys, [score], {"_below": "_n"})
+    wins = below.withColumn("_w", F.col("_p") * (F.col("_below") + F.col("_n") / 2))
     return wins.groupBy(*keys).agg(F.try_divide(F.sum("_w"), (F.sum("_p") * F.sum("_n")).cast("double")).alias("auc"))
 
 
