@@ -38,6 +38,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df for a join: broadcast if it is counted to have at most `most` rows, which must be narrow, else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def fold_ascii(c):
     """Lower-cases A-Z and leaves every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

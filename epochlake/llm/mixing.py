@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import bounded, cut, n_words
 
 #: Rows of one slice of a source's shuffled order, about.
 SLICE_ROWS = 4096
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """(doc_id, size, source, source_size, target, taken): the words that the mix takes of each document."""
     sized, sources = plan(docs, weights, share, repeats, seed)
     lasts = [f"last_{c}" for c in range(repeats)]
-    found = sized.join(sources.select(F.col("source").alias("s"), "source_size", "target", *lasts), F.col("source").eqNullSafe(F.col("s")))
+    found = sized.join(bounded(sources.select(F.col("source").alias("s"), "source_size", "target", *lasts)), F.col("source").eqNullSafe(F.col("s")))
     return found.select("doc_id", "size", "source", "source_size", "target", (F.col("size") * times_taken(sources, repeats)).cast("long").alias("taken"))
 
 
@@ -138,6 +138,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     _, sources = plan(docs, weights, share, repeats, seed)
     lasts = [f"last_{c}" for c in range(repeats)]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "source", "doc_id", shuffle_key(F.col("doc_id"), seed).alias("place"))
-    found = held.join(sources.select(F.col("source").alias("s"), *lasts), F.col("source").eqNullSafe(F.col("s")))
+    found = held.join(bounded(sources.select(F.col("source").alias("s"), *lasts)), F.col("source").eqNullSafe(F.col("s")))
     n = times_taken(sources, repeats)
     return found.withColumn("n", n).filter("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

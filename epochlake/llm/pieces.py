@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
+#: Rows that a task holds in all their forms at a time.
+SLICE_ROWS = 250
 #: A run of marks with the characters up to the next mark.
 RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -40,7 +42,7 @@ RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 class Pieces:
     """A merge-type vocabulary read through the sentencepiece library."""
 
-    def __init__(self, path: str, cache_entries: int = 800_000):
+    def __init__(self, path: str, cache_entries: int = 500_000):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -188,13 +190,16 @@ def encode(docs: DataFrame, model: str, column: str = "text", check_share: int =
 
     def run(batches):
         coder = pieces(model)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-            packed = [coder.encode(t) for t in texts]
-            coder.check(texts, packed, check_share)
-            decoded = [coder.decode(p) for p in packed]
-            kept = [n for n in batch.schema.names if n not in ("ids", "decoded")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
+        for whole in batches:
+            # texts, ids and decoded texts of a few rows at a time: a batch of long texts is many times its size meanwhile
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+                packed = [coder.encode(t) for t in texts]
+                coder.check(texts, packed, check_share)
+                decoded = [coder.decode(p) for p in packed]
+                kept = [n for n in batch.schema.names if n not in ("ids", "decoded")]
+                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
 
     return docs.mapInArrow(run, schema)
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, bounded, cut
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -121,7 +121,7 @@ def references(stats: DataFrame, **limits) -> DataFrame:
 
 
 def with_references(stats: DataFrame, refs: DataFrame) -> DataFrame:
-    return stats.join(refs, F.col("lang").eqNullSafe(F.col("r_lang")), "left")
+    return stats.join(bounded(refs), F.col("lang").eqNullSafe(F.col("r_lang")), "left")
 
 
 def js_distance(a, b):
@@ -153,7 +153,7 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance)."""
     stats = cut(statistics(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "q"))
     q = F.col("q")
-    found = with_references(stats, references(stats, **limits))
+    found = with_references(stats, cut(references(stats, **limits)))
     bad = base_failed(q)
     verdict = ~diverges(q, F.col("r_chars"), F.col("r_words"), **limits)
     return found.select(
@@ -167,7 +167,7 @@ def distances(docs: DataFrame, **limits) -> DataFrame:
     """(doc_id, base_failed, chars_distance, words_distance), to choose limits by."""
     stats = cut(statistics(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "q"))
     q = F.col("q")
-    found = with_references(stats, references(stats, **limits))
+    found = with_references(stats, cut(references(stats, **limits)))
     return found.select("doc_id", base_failed(q).alias("base_failed"), q["w"]["n_words"].alias("n_words"), js_distance(q["chars"], F.col("r_chars")).alias("chars_distance"), js_distance(q["w"]["words"], F.col("r_words")).alias("words_distance"))
 
 
