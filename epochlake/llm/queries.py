@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, topk, url_filter, warc
+from . import mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, token_counts, topk, url_filter, warc
 from .common import table
 
 
@@ -12,6 +12,13 @@ def op1_source_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark, sf_dir):
+    import public_tokenizers as tokenizers
+
+    paths = [tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json")]
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), *paths, tokenizers.PATTERN)
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -53,6 +60,7 @@ def op9_near_duplicates(spark, sf_dir):
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
+    "op2_token_counts": op2_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op8_pieces": op8_pieces,
     "op10_quality_model": op10_quality_model,

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from epochlake.llm import mixing, near_dup, pieces, pii, quality_model, quality_rules, topk, url_filter, warc
+from epochlake.llm import mixing, near_dup, pieces, pii, quality_model, quality_rules, token_counts, topk, url_filter, warc
 from epochlake.llm.queries import tokenizer_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +108,64 @@ def test_mixed_documents_and_empty(docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+# --- token counts
+
+
+def byte_bpe():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def library_lengths(texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(byte_bpe()[1])
+    whole.encode_special_tokens = True
+    return [len(whole.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def brute_counts(n):
+    return sorted(
+        (k, n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k), sum(min(x, k) for x in n), len(n), sum(n)) for k in set(n)
+    )
+
+
+def test_token_counts_against_brute_force(spark, none):
+    texts = [t for _, t, *_ in odd_documents()] + [" " * 400_000 + "x", "<|endoftext|> <|endoftext|>", "a" * 90_000, prose(9, 9_000), prose(9, 9_000)]
+    rows = [(i, t, "en", [None, "a", "b"][i % 3], 1) for i, t in enumerate(texts)]
+    docs = clashing(spark.createDataFrame(rows, SCHEMA)).withColumn("n_tokens", F.lit("clash")).withColumn("n_docs", F.lit("clash"))
+    n = library_lengths(texts)
+    shown = ["n_tokens", "n_docs", "docs_at_least", "tokens_at_least", "truncated_tokens", "total_docs", "total_tokens"]
+    sums = token_counts.token_counts(docs, *byte_bpe())
+    got = sums.collect()
+    assert sorted(tuple(r[c] for c in shown) for r in got) == brute_counts(n)
+    for r in got:
+        assert r["share_up_to"] == pytest.approx(sum(x <= r["n_tokens"] for x in n) / len(n))
+    by = token_counts.token_counts(docs, *byte_bpe(), by=("source",)).collect()
+    for key in (None, "a", "b"):
+        assert sorted(tuple(r[c] for c in shown) for r in by if r["source"] == key) == brute_counts([x for x, row in zip(n, rows, strict=True) if row[3] == key])
+    limits = [0, 1, 7, 100, 4095, 4096, 4097, 10**6]
+    assert {r["context_limit"]: (r["truncated_docs"], r["truncated_tokens"], r["total_tokens"]) for r in token_counts.at_limits(sums, limits).collect()} == {
+        k: (sum(x > k for x in n), sum(min(x, k) for x in n), sum(n)) for k in limits
+    }
+    ordered = sorted(n)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    assert {r["share"]: r["n_tokens"] for r in token_counts.quantiles(sums, shares).collect()} == {q: ordered[max(0, -int(-q * len(n) // 1) - 1)] for q in shares}
+    empty = token_counts.token_counts(none, *byte_bpe())
+    assert empty.count() == 0
+    assert [tuple(r) for r in token_counts.at_limits(empty, [5]).collect()] == [(5, 0, 0, 0)]
+    assert [tuple(r) for r in token_counts.quantiles(empty, [0.5]).collect()] == [(0.5, None)]
+    with pytest.raises(ValueError):
+        token_counts.token_counts(docs, *byte_bpe(), by=("n_docs",))
+
+
+def test_token_lengths_keep_columns(docs):
+    got = token_counts.lengths(docs, *byte_bpe(), extra_ids=1)
+    assert got.columns == [*docs.columns, "n_tokens"]
+    assert sorted(r["n_tokens"] for r in got.collect()) == sorted(x + 1 for x in library_lengths([t for _, t, *_ in odd_documents()]))
+
+
 # --- quality rules
 
 
