@@ -172,10 +172,10 @@ def distances(docs: DataFrame, **limits) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Texts are read twice and not shuffled:
-    only the references of the languages come back to them."""
-    refs = cut(references(cut(statistics(docs.select("lang", "text")).select("lang", "q")), **limits))
+    """The rows of docs that are kept, with all their columns. They are written once beside their
+    statistics, which cost far more than that; the references of the languages come back to them."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "text")
-    found = with_references(statistics(held), refs)
+    stats = cut(statistics(held).select("row", "lang", "q"))
+    found = with_references(stats, cut(references(stats.select("lang", "q"), **limits)))
     q = F.col("q")
     return found.filter(~base_failed(q) & ~diverges(q, F.col("r_chars"), F.col("r_words"), **limits)).select("row.*")
