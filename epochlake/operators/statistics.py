@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from . import joins
+
 
 def beta_fraction(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by Lentz's continued fraction."""
@@ -91,11 +93,11 @@ def anova_p(tested: DataFrame) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str = "p", q: float = 0.05) -> DataFrame:
-    """tests with rank and selected: up to the largest rank k with p(k) <= k / m * q. One row a feature."""
-    ranked = tests.withColumn("rank", F.row_number().over(Window.orderBy(p, key)))
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.max(F.when(F.col(p) <= F.col("rank") / F.count("*").over(every) * q, F.col("rank"))).over(every)
-    return ranked.withColumn("selected", F.col("rank") <= F.coalesce(last, F.lit(0)))
+    """tests with rank and selected: up to the largest rank k with p(k) <= k / m * q. Ranks are taken in slices of p."""
+    ranked = joins.numbered(tests, [p, key]).withColumn("rank", F.col("row").cast("int")).drop("row")
+    m = tests.agg(F.count("*").alias("_m"))
+    last = ranked.crossJoin(F.broadcast(m)).agg(F.max(F.when(F.col(p) <= F.col("rank") / F.col("_m") * q, F.col("rank"))).alias("_last"))
+    return ranked.crossJoin(F.broadcast(last)).withColumn("selected", F.col("rank") <= F.coalesce("_last", F.lit(0))).drop("_last")
 
 
 def top_features(tests: DataFrame, feature: str, k: int, t: str = "t") -> DataFrame:

@@ -200,6 +200,16 @@ def bh_select(spark, sf_dir):
     return statistics.benjamini_hochberg(p, "k").select("k", "rank", "selected")
 
 
+_P_ALL = "p AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000) / 20000.0::DOUBLE + CASE WHEN p_size > 10 THEN 0.2 ELSE 0 END AS p FROM part)"
+
+
+@Q.add("bh_select_all", f"WITH {_P_ALL}, r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rank, count(*) OVER () AS m FROM p), l AS (SELECT coalesce(max(rank) FILTER (WHERE p <= rank / m * 0.05), 0) AS last FROM r) SELECT k, rank::INT AS rank, rank <= last AS selected FROM r, l")
+def bh_select_all(spark, sf_dir):
+    """bh_select over the whole table."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") * 7919 % 1000 / F.lit(20000.0) + F.when(F.col("p_size") > 10, 0.2).otherwise(0.0)).alias("p"))
+    return statistics.benjamini_hochberg(p, "k").select("k", "rank", "selected")
+
+
 _ANOVA = """g AS (SELECT c_nationkey % 5 AS region, c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS m, coalesce(var_samp(c_acctbal), 0) AS v FROM customer GROUP BY 1, 2),
 s AS (SELECT region, count(*) AS k, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q, sum((n - 1) * v) AS w FROM g GROUP BY region)
 SELECT region, k, n::BIGINT AS n, round((q - s * s / n) / (k - 1) / (w / (n - k)), 6) AS f FROM s"""
@@ -432,3 +442,10 @@ def coerce_cells(spark, sf_dir):
     d = read(spark, sf_dir, "documents").filter("doc_id < 500")
     first = F.trim(F.get(F.split("text", " "), F.lit(0)))
     return d.select("doc_id", first.try_cast("double").alias("number"), F.nullif(F.trim("source"), F.lit("")).alias("name"))
+
+
+@Q.add("coerce_cells_all", "SELECT doc_id, try_cast(trim(string_split(text, ' ')[1]) AS DOUBLE) AS number, nullif(trim(source), '') AS name FROM documents")
+def coerce_cells_all(spark, sf_dir):
+    """coerce_cells over the whole table."""
+    first = F.trim(F.get(F.split("text", " "), F.lit(0)))
+    return read(spark, sf_dir, "documents").select("doc_id", first.try_cast("double").alias("number"), F.nullif(F.trim("source"), F.lit("")).alias("name"))
