@@ -93,30 +93,61 @@ def fourier(rows: DataFrame, n: int, size: int, gamma: float, seed: int = 1) ->
     return rows.withColumn("features", F.array(*[F.cos(dot(w[i]) + float(b[i])) * float(np.sqrt(2 / size)) for i in range(size)]))
 
 
-def nearest(train: DataFrame, test: DataFrame, row: list[str], k: int, most: int = 6000, weighted: bool = False) -> DataFrame:
+def nearest(train: DataFrame, test: DataFrame, row: list[str], k: int, weighted: bool = False, order: list[str] | None = None, block_rows: int = 4096) -> DataFrame:
     """(row, yhat, score): share of class 1 among the k nearest training rows, Euclidean, ties to the earlier row.
 
-    train: (y, features), at most `most` rows, the reference cap of its kernel learners; the caller samples larger ones.
+    train: (y, features), of any size, in the order of the columns `order`, or as the rows come. `row` names a test row.
+    Shards of training rows meet blocks of test rows, each of about block_rows; a window keeps the best of all shards.
     """
     import numpy as np
-    import pandas as pd  # noqa: F401
-
-    known = train.select("y", "features").limit(most + 1).toPandas()
-    if len(known) > most:
-        raise ValueError(f"more than {most} training rows: sample them first")
-    x, y = np.array(known["features"].tolist(), float), known["y"].to_numpy(float)
-    schema = test.select(*row, F.lit(0).alias("yhat"), F.lit(0.0).alias("score")).schema
-
-    def run(frames):
-        for f in frames:
-            q = np.array(f["features"].tolist(), float)
-            d = ((q[:, None, :] - x[None]) ** 2).sum(2)
-            at = np.argsort(d, axis=1, kind="stable")[:, :k]
-            w = 1 / np.maximum(np.sqrt(np.take_along_axis(d, at, 1)), 1e-12) if weighted else np.ones(at.shape)
-            score = (w * y[at]).sum(1) / w.sum(1)
-            yield f[row].assign(yhat=(score > 0.5).astype("int32"), score=score)
-
-    return test.select(*row, "features").mapInPandas(run, schema)
+    import pyarrow as pa
+
+    known = train.withColumn("_o0", F.monotonically_increasing_id()) if order is None else train.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order)})
+    places = [f"_o{i}" for i in range(len(order or [0]))]
+    shards, blocks = (max(1, -(-df.count() // block_rows)) for df in (train, test))
+    # a row's hash is its shard or block; the other side's numbers are exploded
+    deal = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    known = known.select(F.col("y").cast("double").alias("_y"), "features", *places).withColumn("_shard", deal(places, shards)).withColumn("_block", every(blocks))
+    asked = test.select(*row, "features").withColumn("_block", deal(row, blocks)).withColumn("_shard", every(shards))
+    schema = asked.select(*row).join(known.select("_y", *places).withColumn("_d", F.lit(0.0)), how="cross").schema
+
+    def matrix(table):
+        return np.array(table.column("features").to_pylist(), float)
+
+    def run(left, right):
+        right = right.sort_by([(c, "ascending") for c in places])
+        at_q, at_x, far = [], [], []
+        if left.num_rows and right.num_rows:
+            q, x = matrix(left), matrix(right)
+            # products give distances with a small error, so all rows that may be among the k best are measured again
+            squares, most = (x * x).sum(1), min(k, len(x))
+            for start in range(0, len(q), 256):
+                part = q[start : start + 256]
+                own = (part * part).sum(1)
+                near = own[:, None] + squares - 2 * (part @ x.T)
+                near[np.isnan(near)] = np.inf
+                kth = np.partition(near, most - 1, axis=1)[:, most - 1]
+                slack = np.nan_to_num(1e-9 * (own + squares.max()), nan=np.inf, posinf=np.inf)
+                for i, v in enumerate(part):
+                    found = np.flatnonzero(near[i] <= kth[i] + slack[i])
+                    d = ((x[found] - v) ** 2).sum(1)
+                    d[np.isnan(d)] = np.inf
+                    best = np.argsort(d, kind="stable")[:k]
+                    at_q += [start + i] * len(best)
+                    at_x += found[best].tolist()
+                    far += d[best].tolist()
+        out = left.select(row).take(pa.array(at_q, pa.int64()))
+        also = right.select(["_y", *places]).take(pa.array(at_x, pa.int64()))
+        for c in also.column_names:
+            out = out.append_column(c, also.column(c))
+        return out.append_column("_d", pa.array(far, pa.float64()))
+
+    met = asked.groupBy("_block", "_shard").cogroup(known.groupBy("_block", "_shard")).applyInArrow(run, schema)
+    ranked = met.withColumn("_n", F.row_number().over(Window.partitionBy(*row).orderBy("_d", *[F.asc_nulls_last(c) for c in places]))).filter(F.col("_n") <= k)
+    weight = 1 / F.greatest(F.sqrt("_d"), F.lit(1e-12)) if weighted else F.lit(1.0)
+    score = F.sum(weight * F.col("_y")) / F.sum(weight)
+    return ranked.groupBy(*row).agg((score > 0.5).cast("int").alias("yhat"), score.alias("score"))
 
 
 def permuted_labels(subjects: DataFrame, n: int, seed: int) -> DataFrame:

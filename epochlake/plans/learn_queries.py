@@ -157,7 +157,21 @@ SELECT vec_id, (avg(y) > 0.5)::INT AS yhat, round(avg(y), 6) AS score FROM r WHE
 def nearest_neighbours(spark, sf_dir):
     f = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
     v = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("y"), f.alias("features"))
-    return learn.nearest(v.filter("vec_id % 5 <> 0").orderBy("vec_id"), v.filter("vec_id % 5 = 0"), ["vec_id"], 5)
+    return learn.nearest(v.filter("vec_id % 5 <> 0"), v.filter("vec_id % 5 = 0"), ["vec_id"], 5, order=["vec_id"])
+
+
+@Q.add(
+    "nearest_neighbours_whole",
+    """WITH v AS (SELECT vec_id, (label % 2)::INT AS y, [x::DOUBLE for x in embedding] AS f FROM embeddings),
+d AS (SELECT q.vec_id, t.vec_id AS other, t.y, list_sum([pow(q.f[i] - t.f[i], 2) for i in range(1, 65)]) AS d FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS n FROM d)
+SELECT vec_id, (avg(y) > 0.5)::INT AS yhat, round(avg(y), 6) AS score FROM r WHERE n <= 5 GROUP BY vec_id""",
+)
+def nearest_neighbours_whole(spark, sf_dir):
+    """nearest_neighbours over all components of the vectors."""
+    f = F.transform("embedding", lambda x: x.cast("double"))
+    v = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("y"), f.alias("features"))
+    return learn.nearest(v.filter("vec_id % 5 <> 0"), v.filter("vec_id % 5 = 0"), ["vec_id"], 5, order=["vec_id"])
 
 
 @Q.add("match_nearest_age")

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from epochlake.operators import statistics
+from epochlake.operators import learn, statistics
 from epochlake.plans import registry
 
 DATA = os.environ.get("WHOLE_SF_DIR", "/root/testdata/sf0.01")
@@ -32,3 +32,24 @@ def test_benjamini_hochberg_ranks_in_slices(spark):
     assert last and got == {k: (i, i <= last) for i, (_, k) in enumerate(order, 1)}
     # no window over all the rows
     assert not any("Window [row_number" in line for line in explained(out).splitlines())
+
+
+def test_nearest_has_no_row_cap_and_keeps_ties_in_order(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (6500, 4)).astype(float)  # many ties
+    y = rng.integers(0, 2, 6500)
+    q = rng.integers(0, 6, (60, 4)).astype(float)
+    train = spark.createDataFrame([(i, int(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i int, y int, features array<double>")
+    test = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(q)], "id int, features array<double>")
+    for weighted in (False, True):
+        got = {r["id"]: r["score"] for r in learn.nearest(train, test, ["id"], 7, weighted=weighted, order=["i"], block_rows=1000).collect()}
+        assert len(got) == 60
+        for i, a in enumerate(q):
+            d = ((x - a) ** 2).sum(1)
+            best = np.argsort(d, kind="stable")[:7]
+            w = 1 / np.maximum(np.sqrt(d[best]), 1e-12) if weighted else np.ones(7)
+            assert got[i] == pytest.approx((w * y[best]).sum() / w.sum())
+    unordered = {r["id"]: r["score"] for r in learn.nearest(train, test, ["id"], 7, block_rows=1000).collect()}
+    assert unordered == {r["id"]: r["score"] for r in learn.nearest(train, test, ["id"], 7, order=["i"]).collect()}
