@@ -57,8 +57,17 @@ def wrapper_fitness(spark, x: np.ndarray, y: np.ndarray, group: np.ndarray, k: i
     if len(x) > 1500:
         raise ValueError("sample at most 1500 rows for a wrapper search")
     part = group % 3
+    known: dict[tuple, float] = {}
 
     def losses(masks: np.ndarray) -> np.ndarray:
+        asked = [tuple(bool(v) for v in m) for m in masks]
+        # a mask has one loss, however often a search comes back to it
+        new = [m for m in dict.fromkeys(asked) if m not in known]
+        if new:
+            known.update(zip(new, scored(new), strict=True))
+        return np.array([known[m] for m in asked])
+
+    def scored(masks: list[tuple]) -> list[float]:
         def run(frames):
             for f in frames:
                 out = []
@@ -76,9 +85,9 @@ def wrapper_fitness(spark, x: np.ndarray, y: np.ndarray, group: np.ndarray, k: i
                     out.append(alpha * wrong + (1 - alpha) * on.mean())
                 yield pd.DataFrame({"i": f["i"], "loss": out})
 
-        table = spark.createDataFrame([(i, [bool(v) for v in m]) for i, m in enumerate(masks)], "i int, mask array<boolean>")
+        table = spark.createDataFrame([(i, list(m)) for i, m in enumerate(masks)], "i int, mask array<boolean>")
         found = table.repartition(min(len(masks), 8)).mapInPandas(run, "i int, loss double").collect()
-        return np.array([r["loss"] for r in sorted(found)])
+        return [r["loss"] for r in sorted(found)]
 
     return losses
 

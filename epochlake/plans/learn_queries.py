@@ -107,11 +107,11 @@ def centroid_transfer(spark, sf_dir):
 
 @Q.add("label_permutation")
 def label_permutation(spark, sf_dir):
-    """Share of 20 label permutations of subjects whose balanced accuracy reaches the observed one."""
+    """Share of 200 label permutations of subjects whose balanced accuracy reaches the observed one."""
     long = epoch_features(spark, sf_dir)
     subjects = long.select("subject", "y").distinct()
     truth = subjects.withColumn("perm", F.lit(0).cast("long"))
-    labels = learn.permuted_labels(subjects, 20, 5).unionByName(truth)
+    labels = learn.permuted_labels(subjects, 200, 5).unionByName(truth)
     dealt = folds.shuffled(1, "perm", "subject")
     from pyspark.sql import Window
 
@@ -124,13 +124,13 @@ def label_permutation(spark, sf_dir):
 
 def _rows(spark, sf_dir):
     long = epoch_features(spark, sf_dir)
-    grouped = folds.grouped_folds(long.select("subject", "y").distinct(), "subject", "y", 3, 1).select("subject", "fold")
+    grouped = folds.grouped_folds(long.select("subject", "y").distinct(), "subject", "y", K, 1).select("subject", "fold")
     return learn.wide(long, ["subject", "epoch", "y"], ["logvar", "mean", "line"]).join(grouped, "subject")
 
 
 @Q.add("forest_grouped_cv")
 def forest_grouped_cv(spark, sf_dir):
-    p = learn.cross_validated(_rows(spark, sf_dir), "fold", ["subject", "epoch"], "forest", numTrees=20, minInstancesPerNode=5)
+    p = learn.cross_validated(_rows(spark, sf_dir), "fold", ["subject", "epoch"], "forest", numTrees=100, minInstancesPerNode=5)
     return scored(p.withColumn("model", F.lit("forest")), ["model"])
 
 
@@ -208,9 +208,9 @@ def wrapper_selection(spark, sf_dir):
     import numpy as np
 
     rows = learn.wide(epoch_features(spark, sf_dir), ["subject", "epoch", "y"], ["logvar", "mean", "line"])
-    few = rows.orderBy(folds.shuffled(9, "subject", "epoch"), "subject", "epoch").limit(300).toPandas()
+    few = rows.orderBy(folds.shuffled(9, "subject", "epoch"), "subject", "epoch").limit(1500).toPandas()
     x = np.array(few["features"].tolist(), float)
     loss = selection.wrapper_fitness(spark, (x - x.mean(0)) / x.std(0), few["y"].to_numpy(), few["subject"].to_numpy())
-    a, b = selection.grey_wolves(loss, 3, 4, 3), selection.aquila(loss, 3, 4, 3)
+    a, b = selection.grey_wolves(loss, 3, 20, 40), selection.aquila(loss, 3, 20, 40)
     both = a & b if (a & b).sum() >= 2 else a | b
     return spark.createDataFrame([(n, bool(p), bool(q), bool(r)) for n, p, q, r in zip(("logvar", "mean", "line"), a, b, both, strict=True)], "feature string, wolves boolean, eagles boolean, selected boolean")

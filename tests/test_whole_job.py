@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from epochlake.operators import learn, statistics
+from epochlake.operators import learn, selection, statistics
 from epochlake.plans import registry
 
 DATA = os.environ.get("WHOLE_SF_DIR", "/root/testdata/sf0.01")
@@ -53,3 +53,48 @@ def test_nearest_has_no_row_cap_and_keeps_ties_in_order(spark):
             assert got[i] == pytest.approx((w * y[best]).sum() / w.sum())
     unordered = {r["id"]: r["score"] for r in learn.nearest(train, test, ["id"], 7, block_rows=1000).collect()}
     assert unordered == {r["id"]: r["score"] for r in learn.nearest(train, test, ["id"], 7, order=["i"]).collect()}
+
+
+class Seen(Exception):
+    pass
+
+
+@tables
+def test_registered_sizes_are_the_reference_s(spark, monkeypatch):
+    seen = {}
+
+    def stop(name):
+        def f(*args, **named):
+            seen[name] = (args, named)
+            raise Seen
+
+        return f
+
+    def learned(rows, fold, keep, name, **named):
+        seen[name] = (rows.select(fold).distinct().count(), named)
+        raise Seen
+
+    monkeypatch.setattr(learn, "cross_validated", learned)
+    monkeypatch.setattr(learn, "permuted_labels", stop("permuted"))
+    monkeypatch.setattr(selection, "wrapper_fitness", lambda spark, x, y, group: seen.update(rows=len(x)))
+    monkeypatch.setattr(selection, "grey_wolves", lambda loss, *a: seen.update(wolves=a))
+    monkeypatch.setattr(selection, "aquila", stop("aquila"))
+    for name in ("forest_grouped_cv", "tree_grouped_cv", "kernel_svm_grouped_cv", "label_permutation", "wrapper_selection"):
+        with pytest.raises(Seen):
+            registry.QUERIES[name](spark, DATA)
+    assert [seen[n][0] for n in ("forest", "tree", "svm")] == [5, 5, 5] and seen["forest"][1]["numTrees"] == 100
+    assert seen["permuted"][0][1] == 200
+    assert seen["wolves"] == (3, 20, 40) and seen["aquila"][0][1:] == (3, 20, 40)
+    assert 300 < seen["rows"] <= 1500
+
+
+def test_wrapper_losses_do_not_depend_on_what_was_asked_before(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    y, group = rng.integers(0, 2, 90), np.arange(90) % 9
+    x = np.c_[y + rng.normal(0, 0.1, 90), rng.normal(0, 1, 90)]
+    loss = selection.wrapper_fitness(spark, x, y, group)
+    masks = np.array([[True, False], [False, True], [True, False], [False, False]])
+    first = loss(masks)
+    assert first[0] == first[2] < first[1] and np.array_equal(loss(masks[::-1]), first[::-1])
