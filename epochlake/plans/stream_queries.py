@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from epochlake.sources.stores import held
+from epochlake.sources import stores
 from epochlake.streaming import windows
 
 from .common import Queries, read
@@ -15,15 +15,21 @@ Q = Queries()
 
 
 def _finished(spark, sf_dir, build, mode: str):
-    """What a stream over events has put out once all files are read."""
+    """What a stream over events has put out once all files are read: its last table in complete mode, else all it added."""
     schema = read(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"out_{uuid.uuid4().hex}"
-    query = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    out = build(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+    where = f"{stores.folder(spark)}/stream-{uuid.uuid4().hex}"
+    paths = {}
+
+    def put(batch, k):
+        batch.write.mode("overwrite").parquet(f"{where}/out-{k}")
+        paths[k] = f"{where}/out-{k}"
+
+    query = out.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = held(spark.table(name))
-    spark.catalog.dropTempView(name)
-    return out
+    if not paths:
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(*([paths[max(paths)]] if mode == "complete" else paths.values()))
 
 
 @Q.add("stream_tumbling", """SELECT event_type, epoch(date_trunc('day', ts))::BIGINT AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""", digits=6)
@@ -39,4 +45,5 @@ def stream_counted_epochs(spark, sf_dir):
 
 @Q.add("stream_sessions")
 def stream_sessions(spark, sf_dir):
-    return _finished(spark, sf_dir, lambda s: windows.sessions(s, ["user_id"], "30 minutes"), "append")
+    """All sessions, those too that the watermark hasn't closed: append mode would keep them back."""
+    return _finished(spark, sf_dir, lambda s: windows.sessions(s, ["user_id"], "30 minutes"), "complete")

@@ -7,11 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+def folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it; in tests without one, a local one."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='epochlake-')}").rstrip("/")
+
+
 def held(df: DataFrame) -> DataFrame:
     """The same rows, checkpointed in the folder that the session names for it; in tests without one, in a local folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='epochlake-')}")
+        sc.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

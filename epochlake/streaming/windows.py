@@ -19,7 +19,7 @@ def time_windows(events: DataFrame, keys: list[str], value: str, length: str, sl
 
 
 def sessions(events: DataFrame, keys: list[str], gap: str, late: str = "1 hour", ts: str = "ts") -> DataFrame:
-    """(keys, start, end, n): sessions that end after a gap without events."""
+    """(keys, start, end, n): sessions that end after a gap without events. In append mode one comes out once the watermark has passed its end."""
     by = timed(events, ts).withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
     return by.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -28,7 +28,8 @@ def counted_epochs(events: DataFrame, key: str, value: str, n: int, order: str =
     """(key, epoch, mean): epochs of n consecutive rows of each key, across micro-batches.
 
     The state of a key is its unfinished epoch, fewer than n values, and a counter. Rows of one
-    micro-batch are taken in the order of the column; a key's rows must arrive in order.
+    micro-batch are taken in the order of the column, over all Arrow frames; from one micro-batch
+    to the next a key's rows must arrive in order. A task holds a key's rows of one micro-batch.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -39,12 +40,11 @@ def counted_epochs(events: DataFrame, key: str, value: str, n: int, order: str =
         epoch, rest = state.get if state.exists else (0, [])
         rest = list(rest)
         out = []
-        for f in frames:
-            for v in f.sort_values(order)[value]:
-                rest.append(float(v))
-                if len(rest) == n:
-                    out.append((k[0], epoch, sum(rest) / n))
-                    epoch, rest = epoch + 1, []
+        for v in pd.concat(list(frames)).sort_values(order)[value]:
+            rest.append(float(v))
+            if len(rest) == n:
+                out.append((k[0], epoch, sum(rest) / n))
+                epoch, rest = epoch + 1, []
         state.update((epoch, rest))
         yield pd.DataFrame(out, columns=[key, "epoch", "mean"])
 

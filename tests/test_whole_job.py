@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from epochlake.operators import learn, selection, statistics
 from epochlake.plans import registry
+from epochlake.streaming import windows
 
 DATA = os.environ.get("WHOLE_SF_DIR", "/root/testdata/sf0.01")
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -98,3 +99,28 @@ def test_wrapper_losses_do_not_depend_on_what_was_asked_before(spark):
     masks = np.array([[True, False], [False, True], [True, False], [False, False]])
     first = loss(masks)
     assert first[0] == first[2] < first[1] and np.array_equal(loss(masks[::-1]), first[::-1])
+
+
+@tables
+def test_stream_sessions_are_all_there(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    want = sorted(map(tuple, windows.sessions(events, ["user_id"], "30 minutes").collect()))
+    got = sorted(map(tuple, registry.QUERIES["stream_sessions"](spark, DATA).collect()))
+    assert got == want and sum(r[3] for r in got) == events.count()
+
+
+def test_counted_epochs_sort_over_all_frames(spark, tmp_path):
+    spark.range(400).select((F.col("id") % 2).alias("user_id"), (400 - F.col("id")).alias("event_id"), (400 - F.col("id")).cast("double").alias("value")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("user_id long, event_id long, value double").parquet(f"{tmp_path}/in")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        windows.counted_epochs(stream, "user_id", "value", 8).writeStream.outputMode("append").format("memory").queryName("counted").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = {(r["user_id"], r["epoch"]): r["mean"] for r in spark.table("counted").collect()}
+    want = {}
+    for u in (0, 1):
+        values = sorted(float(400 - i) for i in range(400) if i % 2 == u)
+        want |= {(u, e): sum(values[8 * e : 8 * e + 8]) / 8 for e in range(25)}
+    assert got == want
