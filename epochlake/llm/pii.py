@@ -5,7 +5,8 @@ card numbers that pass Luhn's check, phone numbers with a country code. Loose
 generators propose further spans that may overlap: addresses with spelled-out
 signs, numbers in national phone formats, numbers that a strict pattern loses as
 other digits stand beside them, card numbers with other separators, IP addresses
-in brackets or with spelled-out dots. Boosted trees score a candidate by its
+with any mix of plain, bracketed and spelled-out dots. The at sign and the dots of an
+address may be spelled out with or without brackets. Boosted trees score a candidate by its
 format and by the words before it; a candidate whose score reaches its kind's
 threshold is added, the best first, unless it overlaps what is there already. The
 trees are fitted on examples made by a seeded generator, and each threshold is the
@@ -82,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # Loose generators, one or more for each kind; all start at a character that is rare in prose.
 LOOSE = [
     (0, re.compile(r"[\[({]\s?(?:at|@)\s?[\])}]", re.I)),
-    (1, re.compile(r"(?<![\w.])[0-9]{1,3}(?:\s?[\[(]\s?(?:\.|dot)\s?[\])]\s?[0-9]{1,3}){3}(?![\w.])", re.I)),
+    (1, re.compile(r"(?<![\w.])[0-9]{1,3}(?:(?:\.|\s?[\[({]\s?(?:\.|dot)\s?[\])}]\s?|\sdot\s)[0-9]{1,3}){3}(?!\w|\.[0-9])", re.I)),
     (2, re.compile(r"(?<![\w.,-])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![\w.,-])")),
     (2, re.compile(r"(?<![\w.,+-])(?:[0-9]{13,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![\w-]|[.,][0-9])")),
     (3, re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![\w-]|[.,][0-9])")),
@@ -90,6 +91,11 @@ LOOSE = [
 ]
 AROUND_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?$")
 AROUND_DOMAIN = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?(?:dot|\.)\s?[\])}])\s?[A-Za-z0-9-]{1,63}){1,4}", re.I)
+SPELLED_AT = [" at ", " AT ", " At "]
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[\[({]\s?(?:dot|\.)\s?[\])}]\s?|\sdot\s)[A-Za-z0-9-]{1,63}){1,4}", re.I)
+SPELLED_DOT = re.compile(r"\bdot\b", re.I)
+ENDS = frozenset("com org net edu gov io info uk us de fr es it eu".split())
+VERSION = re.compile(r"section|version|chapter|release|step", re.I)
 HINTS = [
     re.compile(r"e-?mail|mailto|contact|write|reach", re.I),
     re.compile(r"\bip\b|host|server|addr|client", re.I),
@@ -107,6 +113,19 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             right = AROUND_DOMAIN.match(text, m.end())
             if left and right:
                 out.append((0, m.start() - len(left[0]), right.end()))
+                # without brackets the dots of the rest may be words
+                if (more := SPELLED_DOMAIN.match(text, m.end() + (text[m.end() : m.end() + 1] == " "))) and more.end() > right.end():
+                    out.append((0, m.start() - len(left[0]), more.end()))
+            elif left and (right := SPELLED_DOMAIN.match(text, m.end() + (text[m.end() : m.end() + 1] == " "))):
+                out.append((0, m.start() - len(left[0]), right.end()))
+    for sign in SPELLED_AT:
+        at = text.find(sign)
+        while at >= 0:
+            right = SPELLED_DOMAIN.match(text, at + len(sign))
+            left = right and AROUND_LOCAL.search(text[max(0, at - 64) : at])
+            if left:
+                out.append((0, at - len(left[0]), right.end()))
+            at = text.find(sign, at + len(sign) - 1)
     if DIGIT.search(text):
         for kind, pattern in LOOSE[1:]:
             out += [(kind, m.start(), m.end()) for m in pattern.finditer(text)]
@@ -119,12 +138,16 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     groups = re.findall(r"[0-9]+", span)
     seps = [c for c in span if not c.isalnum()]
     tail = re.search(r"[A-Za-z]+$", span)
+    sign = re.match(r"(\S+)\s(at)\s(\w+)", span, re.I) if kind == 0 else None
     return [
         kind, end - start, len(digits), len(groups), max(map(len, groups), default=0), len(seps), len(set(seps)),
         span.count("."), span.count("("), float(span[:2] == "00"), float(span[:1] == "("), float(span[:1] == "+"), float(luhn(digits) if digits else 0),
         max(map(int, (g[:9] for g in groups)), default=0) if kind == 1 else 0, len(tail[0]) if tail else 0,
         float(bool(HINTS[kind].search(before))), float(any(h.search(before) for k, h in enumerate(HINTS) if k != kind)),
         float(text[end : end + 1].isdigit()), float(before[-1:].isalnum()), float(bool(re.search(r"(?:19|20)[0-9]{2}", groups[0])) if groups else 0),
+        float(bool(tail) and tail[0].lower() in ENDS), len(SPELLED_DOT.findall(span)), float(bool(sign)), float(bool(sign) and sign[2].isupper()),
+        float(bool(sign) and (sign[3].lower() in ("the", "a", "an", "this", "that", "each", "every", "one"))), float(bool(sign) and any(c in "0123456789._+" for c in sign[1])),
+        float(bool(VERSION.search(before))),
     ]
 
 
@@ -141,15 +164,23 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             if luhn(d) == valid:
                 return sep.join(d[k : k + 4] for k in range(0, 16, 4))
 
+    # signs and dots as they are spelled without brackets
+    at, dot = lambda: pick(" at ", " at ", " AT "), lambda: pick(" dot ", " dot ", " DOT ")
+    mixed = lambda ns: "".join([str(ns[0]), *[pick(".", "[.]", "(.)", "[dot]", " dot ", " (dot) ") + str(n) for n in ns[1:]]])
+    said = lambda ns: " dot ".join(map(str, ns))
+    top = lambda: pick("com", "org", "net", "de", "fr", "es", "co.uk", f"co{dot()}uk")
+    octets = lambda: [int(v) for v in rng.integers(0, 256, 4)]
+    numbers = lambda: [int(v) for v in rng.integers(0, 1000, 4)]
+
     private = [
-        lambda: (pick("email", "contact", "write to", "reach me", "and", word()), f"{word()}.{digits(2)}{pick(' (at) ', ' [at] ', '(at)', '[at]', '{at}')}{word()}{pick('.', ' [dot] ', ' (dot) ')}{pick('com', 'org', 'net', 'de', 'fr', 'es')}"),
-        lambda: (pick("host", "ip", "server", word()), pick("[.]", "(.)", "[dot]", " (dot) ").join(str(rng.integers(1, 256)) for _ in range(4))),
+        lambda: (pick("email", "contact", "write to", "reach me", "and", word()), pick(word(), f"{word()}.{word()}", f"{word()}{digits(2)}") + at() + word() + (dot() if rng.random() < 0.8 else ".") + top()) if rng.random() < 0.5 else (pick("email", "contact", "write to", "reach me", "and", word()), f"{word()}.{digits(2)}{pick(' (at) ', ' [at] ', '(at)', '[at]', '{at}')}{word()}{pick('.', ' [dot] ', ' (dot) ')}{pick('com', 'org', 'net', 'de', 'fr', 'es')}"),
+        lambda: (pick("host", "ip", "server", word()), pick(mixed, said)(octets())) if rng.random() < 0.5 else (pick("host", "ip", "server", word()), pick("[.]", "(.)", "[dot]", " (dot) ").join(str(rng.integers(1, 256)) for _ in range(4))),
         lambda: (pick("card", "visa", "pay with", word()), card(True, pick(".", "_", "", "", "", " ", "-"))),
         lambda: (pick("phone", "call", "tel", "tel:", "mobile", "fax", "cell"), pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0049 {digits(3)} {digits(4)}{digits(3)}")) if rng.random() < 0.6 else (word(), f"+{rng.integers(1, 99)} {pick(f'({digits(3)})', digits(3))} {digits(3)}{pick('-', ' ', '.')}{digits(4)}"),
     ]
     public = [
-        lambda: (word(), f"{word()} (at) {word()}. {word().capitalize()}"),
-        lambda: (pick("section", "version", word()), pick("[.]", "(.)").join(str(rng.integers(0, 1000)) for _ in range(4))),
+        lambda: (pick(word(), "please", "they"), pick("look", "arrive", "stared", "meet", "was", word()) + at() + pick(f"the dot {pick('on', 'in', 'and', word())}", f"{pick('a', 'each', 'one')} dot {word()}", f"{word()} dot {word()}", f"{word()}.{pick('com', 'org', word(), word().capitalize())}")) if rng.random() < 0.5 else (word(), f"{word()} (at) {word()}. {word().capitalize()}"),
+        lambda: ((pick("section", "version", "chapter", "release"), pick(mixed, said)([int(v) for v in rng.integers(0, 30, 4)])) if rng.random() < 0.5 else (pick("section", "version", word()), pick(mixed, said)(numbers()))) if rng.random() < 0.5 else (pick("section", "version", word()), pick("[.]", "(.)").join(str(rng.integers(0, 1000)) for _ in range(4))),
         lambda: (pick("part", "order", "number", word()), card(False, pick(".", "_", "", "", "", " ", "-"))),
         lambda: (pick("in", "from", "isbn", "order", "part", "between", "page", word()), pick(f"{rng.integers(1900, 2030)}-{rng.integers(1900, 2030)} {digits(3)}", f"{digits(3)} {digits(3)} {digits(3)}", f"{digits(2)}/{digits(3)}{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}"[: int(rng.integers(9, 15))])),
     ]
