@@ -101,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 6000
         yield pa.RecordBatch.from_arrays([pa.array([len(examples)], pa.int64()), pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
     grams = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(featurize, "doc_id string, label int, grams binary")
-    n, weights = grams.coalesce(1).mapInArrow(train, "n long, weights binary").collect()[0]
+    n, weights = grams.repartition(1).mapInArrow(train, "n long, weights binary").collect()[0]
     return weights if n else None
 
 
