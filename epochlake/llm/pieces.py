@@ -61,7 +61,7 @@ class Pieces:
         self.by_run = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.cache_entries = cache_entries
         self.cache: dict[str, bytes] = {}
-        self.fresh: list[str] = []
+        self.fresh: list[tuple[str, bytes]] = []
 
     def prepared(self, text: str) -> str:
         """The text as symbols are cut from it: a mark before it and for each space."""
@@ -121,7 +121,7 @@ class Pieces:
             if len(self.cache) >= self.cache_entries:
                 self.cache.clear()
             self.cache[run] = ids
-            self.fresh.append(run)
+        self.fresh.append((run, ids))
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -162,9 +162,9 @@ class Pieces:
         """Holds what a batch made against the library."""
         fresh, self.fresh = self.fresh, []
         # a text's own first mark stands for the one that the library adds
-        runs = [r for r in fresh if r[0] == MARK]
-        for r, ids in zip(runs, self.library.encode([r[1:].replace(MARK, " ") for r in runs]), strict=True):
-            if len(r) > 1 and array("I", ids).tobytes() != self.cache.get(r, array("I", ids).tobytes()):
+        runs = [(r, ours) for r, ours in fresh if r[0] == MARK]
+        for (r, ours), ids in zip(runs, self.library.encode([r[1:].replace(MARK, " ") for r, _ in runs]), strict=True):
+            if len(r) > 1 and array("I", ids).tobytes() != ours:
                 raise ValueError(f"the library encodes {r!r} as {ids}")
         for text, ids in zip(texts, packed, strict=True):
             if zlib.crc32(text[:4096].encode("utf-8", "replace")) % share == 0:
@@ -183,8 +183,8 @@ def pieces(path: str) -> Pieces:
 def encode(docs: DataFrame, model: str, column: str = "text", check_share: int = 50) -> DataFrame:
     """docs with `ids` (binary: little-endian unsigned 32-bit integers, begin and end included) and `decoded`.
 
-    Of every batch the library checks each run met for the first time and every
-    check_share-th text whole, by a hash of the text.
+    Of every batch the library checks each run that was coded anew, long ones too, if it
+    begins with a space mark, and every check_share-th text whole, by a hash of the text.
     """
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("ids", "decoded")] + [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
