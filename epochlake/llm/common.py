@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it.
 
-    Only where the session names none (tests on one machine) a local folder is taken.
+    Only where the session names none and runs on one machine (tests), a local folder is taken.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='epochlake-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -43,6 +46,49 @@ def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder: for wide rows, which a checkpoint would hold uncompressed."""
+    spark = df.sparkSession
+    where = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+def fresh(name: str, *dfs: DataFrame) -> str:
+    """A column name like `name` that none of the tables has."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Positions of a bitmap over hashed keys: at most 4096 rows of 4 KB, so 16 MB, however many keys.
+POSITIONS = 2**27
+
+
+def bitmap(keys: DataFrame) -> DataFrame:
+    """(bucket, bits): the hashed values of the one column of `keys`, as a table of at most 4096 rows."""
+    at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(POSITIONS)) + 1
+    return keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def sifted(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two parts: rows whose key may be in the bitmap, and rows whose key is null or surely isn't.
+
+    The bitmap has a fixed size and is broadcast, so neither part is shuffled. A key that is none of
+    the bitmap's gets into the first part with a probability of about (keys in it) / 2**27.
+    """
+    bucket, held = fresh("_bucket", df), fresh("_bits", df)
+    at = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(POSITIONS)) + 1
+    place = F.bitmap_bit_position(at)
+    # byte `place / 8` of the bits, lowest bit first
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.getbit(byte.cast("long"), (place % 8).cast("int")) == 1, F.lit(False)) & F.col(f"`{key}`").isNotNull()
+    small = F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(held)))
+    joined = df.join(small, F.bitmap_bucket_number(at) == F.col(bucket), "left")
+    return tuple(joined.filter(c).select(*[F.col(f"`{n}`") for n in df.columns]) for c in (on, ~on))
+
+
 def fold_ascii(c):
     """Lower-cases A-Z and leaves every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

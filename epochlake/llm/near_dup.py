@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sorted_groups
+from .common import bitmap, cut, fresh, sifted, sorted_groups
 
 K, T = 64, 29
 WIDTH = 5
@@ -190,9 +190,11 @@ def components(links: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) inside groups (node, group) that hold on full sets, from each node to the first of its component."""
     members = cut(groups.join(nodes.select("node", "first_id", "n_shingles"), "node"))
-    # texts of the members; an id may repeat, so the node is looked up again
-    ids = members.select(F.col("first_id").alias("id")).distinct()
-    held = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    # texts of the members: most others stay where they are, by a bitmap of the members' ids, and those that it
+    # lets through by chance go at the join; an id may repeat, so the node is looked up again. Texts without an id are taken all
+    pair = docs.select("doc_id", "text")
+    ids = members.select(F.col("first_id").alias("id")).filter("id IS NOT NULL")
+    held = sifted(pair, "doc_id", bitmap(ids))[0].unionByName(pair.filter("doc_id IS NULL"))
 
     def hashes(batches):
         words = WordHashes()
@@ -201,6 +203,7 @@ def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
             yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in every], pa.binary()), pa.array([s.tobytes() for s in every], pa.binary())], names=["node", "hashes"])
 
     full = held.mapInArrow(hashes, "node binary, hashes binary")
+    full = full.groupBy("node").agg(F.first("hashes").alias("hashes"))
     shares = members.groupBy("group").agg((F.sum("n_shingles") / GROUP_BLOCK).alias("share"))
     rows = members.join(shares, "group").join(full, "node").select("group", "node", "share", "hashes")
 
@@ -237,14 +240,21 @@ def confirmed(docs: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents linked at a Jaccard similarity of percent / 100 or more."""
     every = cut(sets(docs))
-    nodes = cut(every.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
+    nodes = cut(every.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")))
     groups = components(collisions(nodes))
     linked = components(confirmed(docs, nodes, groups, percent))
     least = linked.join(nodes.select("node", "first_id"), "node").groupBy("group").agg(F.min("first_id").alias("component_id"))
     named = linked.join(least, "group").select("node", "component_id")
-    firsts = nodes.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    found = every.select("doc_id", "n_shingles", "node").join(firsts, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    of_node = nodes.join(named, "node", "left").select("node", "n", F.coalesce("component_id", "first_id").alias("component_id"))
+    columns = ["doc_id", "n_shingles", "component_id"]
+    # at most a thousand nodes have more than a thousandth of the rows each: they are broadcast, and no other key is hot
+    hot = F.broadcast(of_node.filter(F.col("n") * 1000 > every.count()).select("node", F.struct("component_id").alias("found")))
+    met = every.select("doc_id", "n_shingles", "node").join(hot, "node", "left")
+    at_hot = met.filter("found IS NOT NULL").select("doc_id", "n_shingles", "found.component_id")
+    at_other = met.filter("found IS NULL AND node IS NOT NULL").drop("found").join(of_node.drop("n"), "node").select(columns)
+    alone = every.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = at_hot.unionByName(at_other).unionByName(alone)
+    return found.select(*columns, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -252,6 +262,8 @@ def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Rows that repeat that id stay together; a row without an id can't be named by a component and stays.
     """
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    # of the rows only those whose id may be a dropped one are shuffled
+    out = cut(near_duplicates(docs, percent).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept").select("doc_id"))
+    maybe, clear = sifted(docs, "doc_id", bitmap(out))
+    name = fresh("dropped_id", docs)
+    return clear.unionByName(maybe.join(out.withColumnRenamed("doc_id", name), F.col("doc_id") == F.col(name), "left_anti"))

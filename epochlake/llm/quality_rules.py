@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded, cut
+from .common import WORD, bounded, cut, stored
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -172,10 +172,10 @@ def distances(docs: DataFrame, **limits) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. They are written once beside their
-    statistics, which cost far more than that; the references of the languages come back to them."""
+    """The rows of docs that are kept, with all their columns. Rows that pass the base rules are written once beside
+    their statistics, which cost far more than that; the references of the languages come back to them."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "text")
-    stats = cut(statistics(held).select("row", "lang", "q"))
-    found = with_references(stats, cut(references(stats.select("lang", "q"), **limits)))
     q = F.col("q")
-    return found.filter(~base_failed(q) & ~diverges(q, F.col("r_chars"), F.col("r_words"), **limits)).select("row.*")
+    stats = stored(statistics(held).select("row", "lang", "q").filter(~base_failed(q)))
+    found = with_references(stats, cut(references(stats.select("lang", "q"), **limits)))
+    return found.filter(~diverges(q, F.col("r_chars"), F.col("r_words"), **limits)).select("row.*")
