@@ -4,13 +4,16 @@ A text becomes tokens (runs of word characters, runs of other visible
 characters); each token and each pair of neighbours is hashed to one of 2**bits
 weights and counts 1 / sqrt(number of n-grams); pairs of a token with itself also
 share one weight. The model is fitted on at most
-`max_rows` labelled rows, the first by an md5 of doc_id, in one task that streams
-them `epochs` times; its weights have a fixed size. All texts are scored whole, as
-sparse dot products, in Arrow batches.
+`max_rows` labelled rows (a documented bound), the first by an md5 of doc_id. Scan, join and
+hashing are spread; then one task takes the hashed rows one by one, `epochs` times in orders of
+md5(epoch:doc_id) that Spark sorts, so it holds the weights, of a fixed size, and an Arrow batch.
+All texts are scored whole, as sparse dot products, in Arrow batches.
 
 Nulls and edge cases: a null or empty text has the score of the bias alone; rows
 of labels without a label or a doc_id teach nothing; with nothing to learn from
-all scores are 0.5; a doc_id that repeats in either table is taken row by row;
+all scores are 0.5; a doc_id that repeats in either table is taken row by row; equal
+scores are equal predictions, and rows that tie in an order are sorted by all they have;
+very long texts are hashed and scored whole; an empty table gives an empty table;
 other columns are never inputs.
 """
 
@@ -24,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE_ENTRIES = 500_000
 
@@ -86,23 +91,23 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 6000
         hashes = Hasher()
         for b in batches:
             ids, ys, texts = (c.to_pylist() for c in b.columns)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ys, pa.int32()), pa.array([ngrams(t, hashes, bits).astype(np.int32).tobytes() for t in texts], pa.binary())], names=["doc_id", "label", "grams"])
+            counted = [np.concatenate(np.unique(ngrams(t, hashes, bits), return_counts=True)).astype(np.int32).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ys, pa.int32()), pa.array(counted, pa.binary())], names=["doc_id", "label", "grams"])
 
     def train(batches):
-        rows = sorted((i, y, g) for b in batches for i, y, g in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        model, order = Ftrl(bits), np.random.default_rng(0)
-        examples = []
-        for _, y, g in rows:
-            at, counts = np.unique(np.frombuffer(g, np.int32), return_counts=True)
-            examples.append((np.append(at, 2**bits), np.append(counts / np.sqrt(max(1, counts.sum())), 1.0), y))
-        for _ in range(epochs if examples else 0):
-            for k in order.permutation(len(examples)):
-                model.learn(*examples[k])
-        yield pa.RecordBatch.from_arrays([pa.array([len(examples)], pa.int64()), pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
-
-    grams = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(featurize, "doc_id string, label int, grams binary")
-    n, weights = grams.repartition(1).mapInArrow(train, "n long, weights binary").collect()[0]
-    return weights if n else None
+        model, seen = Ftrl(bits), 0
+        for b in batches:
+            for y, g in zip(b.column("label").to_pylist(), b.column("grams"), strict=True):
+                at, counts = np.frombuffer(g.as_py(), np.int32).reshape(2, -1)
+                model.learn(np.append(at, 2**bits), np.append(counts / np.sqrt(max(1, counts.sum())), 1.0), y)
+                seen += 1
+        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
+
+    grams = cut(rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("label").cast("int").alias("label"), "text").mapInArrow(featurize, "doc_id string, label int, grams binary"))
+    passes = grams.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("place", F.md5(F.concat_ws(":", "epoch", "doc_id").cast("binary")))
+    ordered = passes.repartition(1).sortWithinPartitions("epoch", "place", "doc_id", "label", "grams").select("label", "grams")
+    fitted = ordered.mapInArrow(train, "n long, weights binary").filter("n > 0").first()
+    return fitted["weights"] if fitted else None
 
 
 def score(docs: DataFrame, weights: bytes | None, bits: int = 18) -> DataFrame:
