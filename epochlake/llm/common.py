@@ -62,12 +62,12 @@ def fresh(name: str, *dfs: DataFrame) -> str:
     return name
 
 
-#: Positions of a bitmap over hashed keys: at most 4096 rows of 4 KB, so 16 MB, however many keys.
-POSITIONS = 2**27
+#: Positions of a bitmap over hashed keys: at most 2048 rows of 4 KB, so 8 MB, however many keys.
+POSITIONS = 2**26
 
 
 def bitmap(keys: DataFrame) -> DataFrame:
-    """(bucket, bits): the hashed values of the one column of `keys`, as a table of at most 4096 rows."""
+    """(bucket, bits): the hashed values of the one column of `keys`, as a table of at most 2048 rows."""
     at = F.pmod(F.xxhash64(keys.columns[0]), F.lit(POSITIONS)) + 1
     return keys.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
 
@@ -76,7 +76,7 @@ def sifted(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFra
     """df in two parts: rows whose key may be in the bitmap, and rows whose key is null or surely isn't.
 
     The bitmap has a fixed size and is broadcast, so neither part is shuffled. A key that is none of
-    the bitmap's gets into the first part with a probability of about (keys in it) / 2**27.
+    the bitmap's gets into the first part with a probability of about (keys in it) / 2**26.
     """
     bucket, held = fresh("_bucket", df), fresh("_bits", df)
     at = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(POSITIONS)) + 1
@@ -89,6 +89,23 @@ def sifted(df: DataFrame, key: str, bits: DataFrame) -> tuple[DataFrame, DataFra
     return tuple(joined.filter(c).select(*[F.col(f"`{n}`") for n in df.columns]) for c in (on, ~on))
 
 
+def looked_up(df: DataFrame, table: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """df left-joined with table, which has one row a key, n rows of df each, of `total`.
+
+    Rows without a key in the table mostly stay where they are, by a bitmap of its keys. Keys with more than
+    a thousandth of the rows, at most a thousand of them, are broadcast; so no key of the shuffle is hot.
+    """
+    rest = [c for c in table.columns if c not in (key, n)]
+    found = fresh("_found", df)
+    maybe, clear = sifted(df, key, bitmap(table.select(key)))
+    hot = F.broadcast(table.filter(F.col(n) * 1000 > total).select(key, F.struct(*rest).alias(found)))
+    met = maybe.join(hot, key, "left")
+    at_hot = met.filter(F.col(found).isNotNull()).select(*df.columns, *[F.col(f"{found}.{c}").alias(c) for c in rest])
+    others = met.filter(F.col(found).isNull()).select(*df.columns).join(table.filter(F.col(n) * 1000 <= total).select(key, *rest), key, "left").select(*df.columns, *rest)
+    types = dict(table.dtypes)
+    return at_hot.unionByName(others).unionByName(clear.select("*", *[F.lit(None).cast(types[c]).alias(c) for c in rest]))
+
+
 def fold_ascii(c):
     """Lower-cases A-Z and leaves every other character as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,8 +16,8 @@ sum of what stands before them from an aggregated table.
 Nulls, ties and repeated rows: a null text has size 0; null is a source of its
 own that comes last; a null doc_id is shuffled like an empty string. Rows that
 share source and doc_id are one place in the shuffled order: they are taken
-together or not at all. An empty table gives an empty table. Other columns are
-ignored, whatever their names.
+together or not at all. Very long texts are counted whole and taken whole. An empty
+table gives an empty table. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def finish_times(sized: DataFrame, sources: DataFrame, repeats: int) -> DataFram
     queued = (
         sized.groupBy("source", "place", "doc_id")
         .agg(F.sum("size").alias("size"))
-        .join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        .join(bounded(sources.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("slice", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / 2**32 * slices))
     )
     by_slice = queued.groupBy("source_index", "slice").agg(F.sum("size").alias("words"))

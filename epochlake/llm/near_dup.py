@@ -25,8 +25,8 @@ standard deviation of 3.5; T = 29 misses it with a probability below 1e-7.
 Nulls and edge cases: a null or blank text has no set, is linked with nothing and
 is its own component; documents that repeat an id are one by their text; a null
 doc_id is linked like others but never names a component (component_id is null
-only if no linked document has an id) and isn't kept; an empty table gives an
-empty table; other columns pass through `deduplicate`.
+only if no linked document has an id) and isn't kept; very long texts are taken
+whole, as one set each, and ties go to the smallest id; an empty table gives an empty table; other columns pass through `deduplicate`.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, fresh, sifted, sorted_groups
+from .common import bitmap, cut, fresh, looked_up, sifted, sorted_groups
 
 K, T = 64, 29
 WIDTH = 5
@@ -245,16 +245,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     linked = components(confirmed(docs, nodes, groups, percent))
     least = linked.join(nodes.select("node", "first_id"), "node").groupBy("group").agg(F.min("first_id").alias("component_id"))
     named = linked.join(least, "group").select("node", "component_id")
-    of_node = nodes.join(named, "node", "left").select("node", "n", F.coalesce("component_id", "first_id").alias("component_id"))
-    columns = ["doc_id", "n_shingles", "component_id"]
-    # at most a thousand nodes have more than a thousandth of the rows each: they are broadcast, and no other key is hot
-    hot = F.broadcast(of_node.filter(F.col("n") * 1000 > every.count()).select("node", F.struct("component_id").alias("found")))
-    met = every.select("doc_id", "n_shingles", "node").join(hot, "node", "left")
-    at_hot = met.filter("found IS NOT NULL").select("doc_id", "n_shingles", "found.component_id")
-    at_other = met.filter("found IS NULL AND node IS NOT NULL").drop("found").join(of_node.drop("n"), "node").select(columns)
-    alone = every.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = at_hot.unionByName(at_other).unionByName(alone)
-    return found.select(*columns, F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    # a node of one row that is linked with nothing is its own component, and its row needs no join
+    of_node = nodes.join(named, "node", "left").filter("n > 1 OR component_id IS NOT NULL").select("node", "n", F.struct(F.coalesce("component_id", "first_id").alias("id")).alias("named"))
+    met = looked_up(every.select("doc_id", "n_shingles", "node"), of_node, "node", "n", every.count())
+    found = met.select("doc_id", "n_shingles", F.when(F.col("named").isNull(), F.col("doc_id")).otherwise(F.col("named.id")).alias("component_id"))
+    return found.select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 75) -> DataFrame:

@@ -12,7 +12,8 @@ Nulls and edge cases: a null text counts as empty (no words: the base rules
 reject it); a null language is a language of its own; a language without common
 words listed here has the words of all listed languages; a language none of
 whose documents pass the base rules is compared with nothing. Rows that repeat
-are judged one by one; an empty table gives an empty table; other columns pass
+are judged one by one; very long texts are counted whole, in one task each; documents
+of equal counts have equal verdicts; an empty table gives an empty table; other columns pass
 through `filter_documents` and are ignored by `judge`.
 """
 
@@ -150,7 +151,7 @@ def diverges(q, r_chars, r_words, max_chars: float = 0.16, max_words: float = 0.
 
 
 def judge(docs: DataFrame, **limits) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, words_distance)."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept); `distances` has the distances."""
     stats = cut(statistics(docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "q"))
     q = F.col("q")
     found = with_references(stats, cut(references(stats, **limits)))

@@ -17,7 +17,8 @@ Nulls and edge cases: a null html is an empty payload; a null url is left out of
 the header; a null page_id is written as none, is never referred to, and its page
 is a response unless an equal payload has a page_id; rows that repeat the largest
 page_id of a payload are all responses; an empty table makes archives without
-records; other columns are ignored, whatever their names.
+records; payloads of any length are written and read whole, by a task that holds one of them
+in both forms; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import cut, looked_up, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
@@ -76,8 +77,10 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Writes a record for each row of pages (page_id, url, html) into archives under path."""
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     held = held.withColumn("key", F.sha2("payload", 256))
-    firsts = held.filter(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("first"))
-    found = held.join(firsts, "key", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    # only keys that occur twice have anything to refer to; payloads of other rows aren't shuffled
+    firsts = cut(held.filter(F.octet_length("payload") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL"))
+    total = pages.count()
+    found = looked_up(held, firsts, "key", "n", total).withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def run(batches):
         for b in batches:
@@ -120,7 +123,7 @@ class Window:
     """Bytes of a file from a position on, read in chunks and given back from the front."""
 
     def __init__(self, file, start: int):
-        self.file, self.start, self.data = file, start, b""
+        self.file, self.start, self.data = file, start, bytearray()
         file.seek(start)
 
     def to(self, position: int) -> bool:
@@ -134,7 +137,8 @@ class Window:
 
     def drop(self, position: int) -> None:
         if position - self.start > CHUNK:
-            self.data, self.start = self.data[position - self.start :], position
+            del self.data[: position - self.start]
+            self.start = position
 
 
 def inflate(window: Window, at: int) -> tuple[bytes, int] | None:
@@ -143,7 +147,8 @@ def inflate(window: Window, at: int) -> tuple[bytes, int] | None:
     while not z.eof:
         if not window.to(position + 1):
             return None  # the file ends first
-        chunk = window.data[position - window.start :][:CHUNK]
+        front = position - window.start
+        chunk = window.data[front : front + CHUNK]
         try:
             got = z.decompress(chunk)
         except zlib.error:
