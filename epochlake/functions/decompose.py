@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import signal
+from . import batches, signal
+from .batches import EPS
 
 
 def spline(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -81,50 +82,66 @@ def wavelet_modes(x: np.ndarray, n: int = 2) -> list[np.ndarray]:
     return out
 
 
-def variational_modes(x: np.ndarray, k: int = 4, alpha: float = 2000.0, rounds: int = 200, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
-    """(modes, centres in cycles a sample): alternate Wiener filters and centre frequencies of k modes."""
-    n = len(x)
+def variational_modes(x: np.ndarray, k: int = 4, alpha: float = 2000.0, rounds: int = 200, tolerance: float = 1e-6) -> np.ndarray:
+    """epochs x modes x samples, in rising order of their centre: alternate Wiener filters and centre frequencies of k modes.
+
+    An epoch whose modes have settled is left as it is while the others of the stack go on.
+    """
+    n = x.shape[1]
     half = n // 2
-    y = np.concatenate([x[:half][::-1], x, x[n - half :][::-1]])
-    s = np.fft.rfft(y)
-    f = np.fft.rfftfreq(len(y))
-    u = np.zeros((k, len(s)), complex)
-    w = 0.5 * (np.arange(k) + 0.5) / k
+    y = np.concatenate([x[:, :half][:, ::-1], x, x[:, n - half :][:, ::-1]], 1)
+    s, f = np.fft.rfft(y), np.fft.rfftfreq(y.shape[1])
+    u = np.zeros((len(x), k, s.shape[1]), complex)
+    w = np.tile(0.5 * (np.arange(k) + 0.5) / k, (len(x), 1))
+    live = np.arange(len(x))
     for _ in range(rounds):
-        before = u.copy()
+        before, now = u[live], u[live].copy()
         for i in range(k):
-            u[i] = (s - u.sum(0) + u[i]) / (1 + 2 * alpha * (f - w[i]) ** 2)
-            e = np.abs(u[i]) ** 2
-            w[i] = (f * e).sum() / max(e.sum(), 1e-300)
-        if (np.abs(u - before) ** 2).sum() / max((np.abs(before) ** 2).sum(), 1e-300) < tolerance:
+            now[:, i] = (s[live] - now.sum(1) + now[:, i]) / (1 + 2 * alpha * (f - w[live, i][:, None]) ** 2)
+            e = np.abs(now[:, i]) ** 2
+            w[live, i] = (f * e).sum(1) / np.maximum(e.sum(1), 1e-300)
+        u[live] = now
+        moved = (np.abs(now - before) ** 2).sum((1, 2)) / np.maximum((np.abs(before) ** 2).sum((1, 2)), 1e-300)
+        live = live[moved >= tolerance]
+        if not len(live):
             break
-    order = np.argsort(w)
-    return np.array([np.fft.irfft(u[i], len(y))[half : half + n] for i in order]), w[order]
+    order = np.argsort(w, axis=1, kind="stable")
+    return np.fft.irfft(np.take_along_axis(u, order[:, :, None], 1), y.shape[1])[..., half : half + n]
 
 
-def variational_features(x: np.ndarray, fs: float) -> list[float]:
-    """For four modes: log energy, relative energy, mobility, centre in Hz."""
-    modes, centres = variational_modes(x)
-    e = (modes**2).sum(1)
-    eps = np.finfo(float).eps
-    mobility = [np.sqrt(np.var(np.diff(m), ddof=1) / max(np.var(m, ddof=1), eps)) for m in modes]
-    return [*np.log(e + eps), *(e / max(e.sum(), eps)), *mobility, *(centres * fs)]
+def variational_features(x: np.ndarray, fs: float) -> np.ndarray:
+    """Of z-scored epochs, for each of four modes: log energy, relative energy, mobility, and Welch centroid in Hz."""
+    modes = variational_modes(batches.z(x))
+    e = (modes**2).sum(2)
+    mobility = np.sqrt(np.diff(modes, axis=2).var(2, ddof=1) / np.maximum(modes.var(2, ddof=1), EPS))
+    f, p = batches.welch(modes.reshape(-1, modes.shape[2]), fs)
+    centroid = ((f * p).sum(1) / np.maximum(p.sum(1), EPS)).reshape(len(x), -1)
+    return np.stack([np.log(e + EPS), e / np.maximum(e.sum(1, keepdims=True), EPS), mobility, centroid], 2).reshape(len(x), -1)
 
 
-signal.register_family("variational", [f"{a}_{k}" for a in ("log_energy", "rel_energy", "mobility", "centre") for k in range(1, 5)], variational_features)
+signal.register_family("variational", [f"m{k}_{a}" for k in range(1, 5) for a in ("log_energy", "rel_energy", "mobility", "centroid")], variational_features)
 
 
 def modes(epochs: DataFrame, keys: list[str], x: str = "x", imfs: int = 4, per_imf: int = 2) -> DataFrame:
-    """(keys, imf, mode, x): empirical wavelet modes of the intrinsic modes of z-scored epochs; missing ones have no row."""
+    """(keys, imf, mode, x): empirical wavelet modes of the intrinsic modes of z-scored epochs.
 
-    def run(s: pd.Series) -> pd.Series:
-        def one(v):
+    A mode that an epoch hasn't, or all of an epoch that can't be split, have null for x, so every epoch has a row for each mode.
+    """
+
+    def split(v):
+        try:
             v = np.asarray(v, float)
-            z = (v - v.mean()) / (v.std(ddof=1) + np.finfo(float).eps)
-            return [{"imf": i + 1, "mode": j + 1, "x": m.tolist()} for i, h in enumerate(empirical_modes(z, imfs)[:-1]) for j, m in enumerate(wavelet_modes(h, per_imf))]
+            if not len(v) or not np.isfinite(v).all():
+                return {}
+            found = empirical_modes(batches.z(v[None])[0], imfs)[:-1]
+            return {(i, j): m.tolist() for i, h in enumerate(found) for j, m in enumerate(wavelet_modes(h, per_imf))}
+        except (TypeError, ValueError, np.linalg.LinAlgError):
+            return {}
 
-        return s.map(one)
+    def run(s: pd.Series) -> pd.Series:
+        every = [(i, j) for i in range(imfs) for j in range(per_imf)]
+        return s.map(lambda v: (lambda found: [{"imf": i + 1, "mode": j + 1, "x": found.get((i, j))} for i, j in every])(split(v)), na_action=None)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    split = F.pandas_udf(run, "array<struct<imf:int,mode:int,x:array<double>>>")(x)
-    return epochs.select(*keys, F.explode(split).alias("m")).select(*keys, "m.imf", "m.mode", "m.x")
+    split_ = F.pandas_udf(run, "array<struct<imf:int,mode:int,x:array<double>>>")(x)
+    return epochs.select(*keys, F.explode(split_).alias("m")).select(*keys, "m.imf", "m.mode", "m.x")

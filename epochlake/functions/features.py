@@ -266,47 +266,3 @@ def phase_space_3d(x: Column, tau: int = 1, bins: int = 8, horizon: int = 10) ->
         )
 
     return F.when((F.size(x) >= 3 * tau + 4) & (F.sqrt(variance(x)) >= 1e-12), let(q, lambda qs: let(bends(qs), lambda s: of(qs, s))))
-
-
-def periodogram(x: Column) -> Column:
-    """Squared magnitudes of the discrete Fourier transform at 0 .. n/2 cycles an epoch (one window, no taper)."""
-
-    def power(k):
-        part = lambda f: total(F.transform(x, lambda v, i: v * f(2 * math.pi * k * i / F.size(x))))
-        return let(part(F.cos), lambda re: let(part(F.sin), lambda im: re * re + im * im))
-
-    return F.transform(indices(F.floor(F.size(x) / F.lit(2)) + 1), power)
-
-
-# Delta, theta, alpha and beta bands in Hz, low end in, high end out.
-BANDS = [("delta", 0.5, 4.0), ("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)]
-TOTAL = (0.5, 45.0)
-
-
-def band_power(x: Column, fs: float) -> Column:
-    """Struct: relative power of each band by the trapezoid rule, theta over beta, log total and log band powers."""
-
-    def inside(p, low, high, closed):
-        hz = lambda i: i * fs / F.size(x)
-        keep = lambda i: (hz(i) >= low) & ((hz(i) <= high) if closed else (hz(i) < high))
-        got = F.transform(F.filter(indices(F.size(p)), keep), lambda i: F.get(p, i))
-        area = lambda a: F.when(F.size(a) < 2, F.lit(0.0)).otherwise((total(a) - (F.get(a, F.lit(0)) + F.element_at(a, -1)) / 2) * fs / F.size(x))
-        return let(got, area)
-
-    def of(p, whole):
-        rel = {name: inside(p, low, high, False) / F.greatest(whole, F.lit(EPS)) for name, low, high in BANDS}
-        logs = [F.ln(inside(p, low, high, False) + F.lit(EPS)).alias(f"log_{name}") for name, low, high in BANDS]
-        return F.struct(*[c.alias(k) for k, c in rel.items()], (rel["theta"] / F.greatest(rel["beta"], F.lit(EPS))).alias("theta_beta"), F.ln(whole + F.lit(EPS)).alias("log_total"), *logs)
-
-    return let(periodogram(x), lambda p: let(inside(p, *TOTAL, True), lambda w: of(p, w)))
-
-
-def spectral_entropy(x: Column, fs: float) -> Column:
-    """Entropy of the power in 0.5-45 Hz over the log of the number of bins."""
-
-    def of(p):
-        hz = lambda i: i * fs / F.size(x)
-        got = F.transform(F.filter(indices(F.size(p)), lambda i: (hz(i) >= TOTAL[0]) & (hz(i) <= TOTAL[1])), lambda i: F.get(p, i))
-        return let(got, lambda a: let(total(a), lambda w: F.when(w > 0, total(a, lambda v: F.when(v > 0, -(v / w) * F.ln(v / w)).otherwise(F.lit(0.0))) / F.ln(F.size(a)))))
-
-    return let(z_scored(x), lambda z: let(periodogram(z), of))

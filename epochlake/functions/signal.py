@@ -1,15 +1,16 @@
-"""Signal steps that have no expression form, as Arrow-batched functions on array columns.
+"""Signal steps and families that have no expression form, over stacks of epochs of an Arrow batch.
 
-`register_family` is the hook for further ones: a function of one epoch and the
-sampling rate that returns a fixed number of values. An exception or a value that
-isn't finite becomes null for that epoch alone.
+`register_family` is the hook for further ones: a function of a stack (epochs x samples) and the
+sampling rate that returns epochs x values; `each` makes one of a function of a single epoch. A value
+that isn't finite, or an epoch for which `each` raises, becomes null for that epoch alone.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
+
+from . import batches
+from .batches import EPS
 
 FAMILIES: dict[str, tuple[list[str], object]] = {}
 
@@ -18,45 +19,30 @@ def register_family(name: str, columns: list[str], fn) -> None:
     FAMILIES[name] = (columns, fn)
 
 
-def family(name: str, x, fs: float):
-    """array<double> column of a family's values, in the order of its columns."""
-    columns, fn = FAMILIES[name]
-    n = len(columns)
+def each(fn, n: int):
+    """A function of a stack from one of a single epoch that returns n values."""
 
-    def run(s: pd.Series) -> pd.Series:
-        def one(v):
+    def of(stack: np.ndarray, fs: float) -> np.ndarray:
+        out = np.full((len(stack), n), np.nan)
+        for i, x in enumerate(stack):
             try:
-                got = np.asarray(fn(np.asarray(v, float), fs), float)
+                out[i] = fn(x, fs)
             except (ValueError, FloatingPointError, ZeroDivisionError, np.linalg.LinAlgError):
-                return [None] * n
-            return [float(g) if np.isfinite(g) else None for g in got]
+                pass
+        return out
 
-        return s.map(lambda v: [None] * n if v is None else one(v))
+    return of
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<double>")(x)
 
-
-def welch(x: np.ndarray, fs: float, segment: int = 128, nfft: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, power density): Hamming segments with half overlap."""
-    segment = min(segment, len(x))
-    w = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(segment) / (segment - 1))
-    starts = range(0, len(x) - segment + 1, segment - segment // 2)
-    spectra = [np.abs(np.fft.rfft(x[s : s + segment] * w, max(nfft, segment))) ** 2 for s in starts]
-    p = np.mean(spectra, axis=0) / (fs * (w**2).sum())
-    p[1 : len(p) - (max(nfft, segment) % 2 == 0)] *= 2
-    return np.fft.rfftfreq(max(nfft, segment), 1 / fs), p
+def family(name: str, x, fs: float):
+    """array<double> column of a family's values, in the order of its columns."""
+    columns, fn = FAMILIES[name]
+    return batches.over(lambda stack: fn(stack, fs), len(columns), x)
 
 
-def welch_bands(x: np.ndarray, fs: float) -> list[float]:
+def welch_bands(x: np.ndarray, fs: float) -> np.ndarray:
     """Relative delta, theta, alpha, beta power over 0.5-45 Hz, and theta over beta."""
-    from .features import BANDS, TOTAL
-
-    f, p = welch(x, fs)
-    area = lambda m: float(((p[m][1:] + p[m][:-1]) / 2 * np.diff(f[m])).sum())
-    total = max(area((f >= TOTAL[0]) & (f <= TOTAL[1])), np.finfo(float).eps)
-    rel = [area((f >= low) & (f < high)) / total for _, low, high in BANDS]
-    return [*rel, rel[1] / max(rel[3], np.finfo(float).eps)]
+    return batches.band_power(x, fs)[:, :5]
 
 
 def daubechies(order: int) -> np.ndarray:
@@ -74,24 +60,25 @@ def daubechies(order: int) -> np.ndarray:
 
 
 def wavelet_bands(x: np.ndarray, order: int = 4, levels: int = 4) -> list[np.ndarray]:
-    """Detail coefficients of each level and the last approximation; ends are mirrored."""
+    """Detail coefficients of each level and the last approximation, of each epoch; ends are mirrored."""
     low = daubechies(order)
     high = low[::-1] * (-1.0) ** np.arange(len(low))
     bands, a = [], x
     for _ in range(levels):
-        padded = np.pad(a, len(low) - 1, mode="symmetric")
-        bands.append(np.convolve(padded, high, "valid")[1::2])
-        a = np.convolve(padded, low, "valid")[1::2]
+        padded = np.pad(a, ((0, 0), (len(low) - 1, len(low) - 1)), mode="symmetric")
+        cut = np.lib.stride_tricks.sliding_window_view(padded, len(low), axis=1)[:, 1::2]
+        bands.append(cut @ high[::-1])
+        a = cut @ low[::-1]
     return [*bands, a]
 
 
-def wavelet_features(x: np.ndarray, fs: float) -> list[float]:
+def wavelet_features(x: np.ndarray, fs: float) -> np.ndarray:
     """Log energy, relative energy and deviation of D1..D4 and A4, and the entropy of the relative energies."""
     bands = wavelet_bands(x)
-    e = np.array([(b**2).sum() for b in bands])
-    rel = e / max(e.sum(), np.finfo(float).eps)
-    p = rel[rel > 0]
-    return [*np.log(e + np.finfo(float).eps), *rel, *[b.std(ddof=1) for b in bands], -(p * np.log(p)).sum()]
+    e = np.stack([(b**2).sum(1) for b in bands], 1)
+    rel = e / np.maximum(e.sum(1, keepdims=True), EPS)
+    entropy = -np.where(rel > 0, rel * np.log(np.where(rel > 0, rel, 1)), 0).sum(1)
+    return np.column_stack([np.log(e + EPS), rel, *[b.std(1, ddof=1) for b in bands], entropy])
 
 
 def lempel_ziv(x: np.ndarray, fs: float) -> list[float]:
@@ -128,45 +115,27 @@ def notch_gain(n: int, fs: float, at: float, quality: float = 35.0) -> np.ndarra
 
 
 def cleaned(x: np.ndarray, fs: float, low: float = 0.5, high: float = 45.0, order: int = 4, mains: float = 50.0) -> np.ndarray:
-    """Mean removed, band-pass and notch without phase, with odd reflection at both ends."""
-    x = x - x.mean()
-    pad = min(len(x) - 1, int(3 * fs))
-    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    gain = butterworth_gain(len(y), fs, low, min(high, 0.49 * fs), order)
+    """Each epoch with mean removed, band-pass and notch without phase, with odd reflection at both ends."""
+    x = x - x.mean(1, keepdims=True)
+    n = x.shape[1]
+    pad = min(n - 1, int(3 * fs))
+    y = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1)
+    gain = butterworth_gain(y.shape[1], fs, low, min(high, 0.49 * fs), order)
     if mains < fs / 2:
-        gain = gain * notch_gain(len(y), fs, mains)
-    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[pad : pad + len(x)]
+        gain = gain * notch_gain(y.shape[1], fs, mains)
+    return np.fft.irfft(np.fft.rfft(y) * gain, y.shape[1])[:, pad : pad + n]
 
 
 def resampled(x: np.ndarray, fs: float, to: float) -> np.ndarray:
-    """x at another rate, band-limited below both half rates."""
-    n = int(np.ceil(len(x) * to / fs))
+    """Each epoch at another rate, band-limited below both half rates."""
+    n = int(np.ceil(x.shape[1] * to / fs))
     spectrum = np.fft.rfft(x)
-    keep = min(len(spectrum), n // 2 + 1)
-    out = np.zeros(n // 2 + 1, complex)
-    out[:keep] = spectrum[:keep]
-    return np.fft.irfft(out, n) * n / len(x)
-
-
-def log_covariance(x: np.ndarray, kind: str = "full", shrink: float = 1e-3) -> np.ndarray:
-    """Upper triangle, column by column, of the matrix logarithm of the channels' covariance; off-diagonals times sqrt(2).
-
-    x: channels x samples; channels with missing samples are left out by the caller. The covariance is
-    shrunk by shrink * trace / n. kind: full, diag, offdiag, or corr for the correlation matrix.
-    """
-    c = np.atleast_2d(np.cov(x))
-    n = len(c)
-    c = c + shrink * np.trace(c) / n * np.eye(n)
-    if kind == "corr":
-        d = np.sqrt(np.diag(c))
-        c = c / np.outer(d, d) + shrink * np.eye(n)
-    values, vectors = np.linalg.eigh(c)
-    m = (vectors * np.log(np.maximum(values, np.finfo(float).tiny))) @ vectors.T
-    rows, cols = np.tril_indices(n)
-    flat = m[cols, rows] * np.where(rows == cols, 1.0, np.sqrt(2))
-    return flat[rows == cols] if kind == "diag" else flat[rows != cols] if kind == "offdiag" else flat
+    keep = min(spectrum.shape[1], n // 2 + 1)
+    out = np.zeros((len(x), n // 2 + 1), complex)
+    out[:, :keep] = spectrum[:, :keep]
+    return np.fft.irfft(out, n) * n / x.shape[1]
 
 
 register_family("welch_bands", ["delta", "theta", "alpha", "beta", "theta_beta"], welch_bands)
 register_family("wavelet", [f"{a}_{b}" for a in ("log_energy", "rel_energy", "sd") for b in ("d1", "d2", "d3", "d4", "a4")] + ["entropy"], wavelet_features)
-register_family("lempel_ziv", ["complexity"], lempel_ziv)
+register_family("lempel_ziv", ["complexity"], each(lempel_ziv, 1))

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epochlake.sources.stores import held
+
+from . import ranks
+
 
 def centroid_models(long: DataFrame, keys: list[str], fold: str = "fold", holdout: bool = True) -> DataFrame:
     """(keys, fold, feature, mean, sd, c1, c0): scaling and scaled class centres of the rows outside each fold.
@@ -67,7 +71,8 @@ def cross_validated(rows: DataFrame, fold: str, keep: list[str], name: str, **pa
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     n = len(rows.select("features").first()["features"])
-    flat = rows.select(*keep, "y", fold, *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(n)])
+    # every fold's imputer, weights, model and predictions read it
+    flat = held(rows.select(*keep, "y", fold, *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(n)]))
     names = [f"f{i}" for i in range(n)]
     out = None
     for k in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:  # a few folds
@@ -154,6 +159,5 @@ def permuted_labels(subjects: DataFrame, n: int, seed: int) -> DataFrame:
     """(perm, subject, y): labels dealt anew among the subjects, n times, by orders of hashes."""
     many = subjects.crossJoin(F.broadcast(subjects.sparkSession.range(1, n + 1).toDF("perm")))
     order = lambda tag: F.md5(F.concat_ws(":", F.lit(f"{seed}{tag}"), "perm", "subject").cast("binary"))
-    places = many.select("perm", "subject", F.row_number().over(Window.partitionBy("perm").orderBy(order("a"), "subject")).alias("r"))
-    labels = many.select("perm", "y", F.row_number().over(Window.partitionBy("perm").orderBy(order("b"), "subject")).alias("r"))
-    return places.join(labels, ["perm", "r"]).select("perm", "subject", "y")
+    at = lambda tag: ranks.places(many.withColumn("_h", order(tag)), ["perm"], "_h", ["subject"])
+    return at("a").select("perm", "subject", "place").join(at("b").select("perm", "y", "place"), ["perm", "place"]).select("perm", "subject", "y")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import folds, learn, metrics
+from . import folds, learn, metrics, ranks
 
 
 def ranked(models: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,8 +32,8 @@ def choose_k(long: DataFrame, grid: list[int], inner: int = 3, seed: int = 11) -
     outer = long.select("fold").distinct().withColumnRenamed("fold", "outer")
     training = long.join(outer, F.col("fold") != F.col("outer")).drop("fold")
     subjects = training.select("outer", "subject", "y").distinct()
-    dealt = Window.partitionBy("outer", "y").orderBy(folds.shuffled(seed, "subject"), "subject")
-    inner_folds = subjects.withColumn("fold", (F.row_number().over(dealt) - 1) % inner + 1).select("outer", "subject", "fold")
+    placed = ranks.places(subjects.withColumn("_h", folds.shuffled(seed, "subject")), ["outer", "y"], "_h", ["subject"])
+    inner_folds = placed.select("outer", "subject", (F.col("place") % inner + 1).alias("fold"))
     rows = training.join(inner_folds, ["outer", "subject"])
     models = ranked(learn.centroid_models(rows, ["outer"]), ["outer", "fold"])
     many = models.withColumn("k", F.explode(F.array(*map(F.lit, grid)))).filter(F.col("rank") <= F.col("k")).drop("rank")
@@ -98,13 +98,13 @@ def grey_wolves(losses, n: int, wolves: int = 8, rounds: int = 10, seed: int = 1
     x = rng.random((wolves, n))
     leaders: list[tuple[float, np.ndarray]] = []
     for t in range(rounds):
-        for loss, p in zip(losses(x > 0.5), x, strict=True):
+        for loss, p in zip(losses(x >= 0.5), x, strict=True):
             leaders.append((float(loss), p.copy()))
         leaders = sorted(leaders, key=lambda a: a[0])[:3]
         a = 2 * (1 - t / rounds)
         steps = [lead - a * (2 * rng.random(x.shape) - 1) * np.abs(2 * rng.random(x.shape) * lead - x) for _, lead in leaders]
         x = np.clip(np.mean(steps, axis=0), 0, 1)
-    return leaders[0][1] > 0.5
+    return leaders[0][1] >= 0.5
 
 
 def levy(rng, shape, beta: float = 1.5) -> np.ndarray:
@@ -116,7 +116,7 @@ def aquila(losses, n: int, eagles: int = 8, rounds: int = 10, seed: int = 1) ->
     """Mask of the best eagle: wide and narrow exploration for two thirds of the rounds, then two kinds of attack."""
     rng = np.random.default_rng(seed)
     x = rng.random((eagles, n))
-    loss = losses(x > 0.5)
+    loss = losses(x >= 0.5)
     best, least = x[loss.argmin()].copy(), float(loss.min())
     for t in range(1, rounds + 1):
         new = np.empty_like(x)
@@ -125,7 +125,7 @@ def aquila(losses, n: int, eagles: int = 8, rounds: int = 10, seed: int = 1) ->
             if t <= 2 * rounds / 3 and r < 0.5:
                 new[i] = best * (1 - t / rounds) + x.mean(0) - best * rng.random()
             elif t <= 2 * rounds / 3:
-                turn = rng.integers(1, 21) + 0.00565 * np.arange(1, n + 1)
+                turn = 10 + 0.00565 * np.arange(1, n + 1)
                 angle = -0.005 * np.arange(1, n + 1) + 1.5 * math.pi
                 new[i] = best * levy(rng, n) + x[rng.integers(eagles)] + turn * (np.cos(angle) - np.sin(angle)) * rng.random()
             elif r < 0.5:
@@ -134,9 +134,9 @@ def aquila(losses, n: int, eagles: int = 8, rounds: int = 10, seed: int = 1) ->
                 quality = t ** ((2 * rng.random() - 1) / (1 - rounds) ** 2)
                 new[i] = quality * best - (2 * rng.random() - 1) * x[i] * rng.random() - 2 * (1 - t / rounds) * levy(rng, n) + rng.random() * (2 * rng.random() - 1)
         new = np.clip(new, 0, 1)
-        found = losses(new > 0.5)
+        found = losses(new >= 0.5)
         better = found < loss
         x[better], loss[better] = new[better], found[better]
         if loss.min() < least:
             best, least = x[loss.argmin()].copy(), float(loss.min())
-    return best > 0.5
+    return best >= 0.5

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from . import joins
+from . import joins, ranks
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -101,17 +101,28 @@ def benjamini_hochberg(tests: DataFrame, key: str, p: str = "p", q: float = 0.05
 
 
 def top_features(tests: DataFrame, feature: str, k: int, t: str = "t") -> DataFrame:
-    """(feature, t, rank): the k largest |t|, ties to the lower feature."""
-    return tests.withColumn("rank", F.row_number().over(Window.orderBy(F.abs(t).desc(), feature))).filter(F.col("rank") <= k)
+    """tests with rank: the k largest |t|, ties to the lower feature. Only k rows meet in the window."""
+    order = [F.abs(t).desc(), F.col(feature)]
+    return tests.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, percents: list[float]) -> DataFrame:
-    """(keys, percent, value): linear interpolation between knots at (i - 0.5) / n, ends held."""
-    ranked = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    asked = ranked.withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
+    """(keys, percent, value): linear interpolation between knots at (i - 0.5) / n, ends held.
+
+    Rows are first counted by value, so places are running sums over distinct values, in slices of them.
+    """
+    v = F.col(value).cast("double")
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
+    placed = ranks.before(ranks.by_value(counted, F.col("_v")), keys, ["_v"], {"_below": "_c"})
+    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    asked = placed.join(totals, keys).withColumn("percent", F.explode(F.array(*[F.lit(float(p)) for p in percents])))
     at = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.col("percent") / 100 * F.col("_n") + 0.5))
-    near = asked.withColumn("_at", at).filter(F.abs(F.col("_i") - F.col("_at")) < 1)
-    return near.groupBy(*keys, "percent").agg(F.sum(F.col("_v") * (1 - F.abs(F.col("_i") - F.col("_at")))).alias("value"))
+    # a value stands at the places below + 1 .. below + count; the knots on both sides of `at` weigh 1 - distance
+    first, last = F.floor(at), F.ceil(at)
+    has = lambda i: (i > F.col("_below")) & (i <= F.col("_below") + F.col("_c"))
+    weight = F.when(has(first), 1 - (at - first)).otherwise(0.0) + F.when((last > first) & has(last), at - first).otherwise(0.0)
+    near = asked.withColumn("_w", weight).filter("_w > 0")
+    return near.groupBy(*keys, "percent").agg(F.sum(F.col("_v") * F.col("_w")).alias("value"))
 
 
 def histogram(rows: DataFrame, keys: list[str], value: str, low: float, width: float, bins: int) -> DataFrame:

@@ -59,3 +59,9 @@ class Queries:
             return f
 
         return register
+
+    def also(self, name: str, of: str) -> None:
+        """A second name of a query."""
+        self.queries[name] = self.queries[of]
+        if of in self.sql:
+            self.sql[name] = self.sql[of]

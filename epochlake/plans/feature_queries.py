@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epochlake.functions import batches
 from epochlake.functions import features as ft
 
 FS = 128.0
@@ -31,6 +32,11 @@ def family(name: str, build, sql: str, columns: list[str]) -> None:
     ORACLE_SQL[name] = f"SELECT vec_id, {', '.join(f'round({c}, 6) AS {c}' for c in columns)} FROM ({sql})"
 
 
+def stacked(fn, columns: list[str], **room):
+    """A struct of the values of a function of stacks of epochs."""
+    return lambda x: batches.named(batches.over(fn, len(columns), x, **room), columns)
+
+
 def moment_sql() -> str:
     return E + """,
 d AS (SELECT vec_id, i, x, x - avg(x) OVER (PARTITION BY vec_id) AS c, lead(x) OVER w - x AS d1, lead(x, 2) OVER w - 2 * lead(x) OVER w + x AS d2,
@@ -61,7 +67,7 @@ _t = lambda m: f"t{m} AS (SELECT vec_id, i, {', '.join(f'lead(x, {k}) OVER w AS
 _match = lambda m: f"(SELECT a.vec_id, count(*) FILTER (WHERE greatest({', '.join(f'abs(a.x{k} - b.x{k})' for k in range(m))}, 0) <= r) AS c FROM t{m} a JOIN t{m} b ON a.vec_id = b.vec_id AND a.i < b.i JOIN s ON s.vec_id = a.vec_id WHERE b.i < b.n - {m} GROUP BY a.vec_id)"
 family(
     "sample_entropy",
-    ft.sample_entropy,
+    lambda x: F.get(batches.over(batches.sample_entropy, 1, x, batches.pairs_room), F.lit(0)),
     Z + f", s AS (SELECT vec_id, 0.2::DOUBLE * stddev_samp(x) AS r FROM z GROUP BY vec_id), {_t(2)}, {_t(3)} SELECT vec_id, CASE WHEN p.c > 0 AND q.c > 0 THEN -ln(q.c / p.c::DOUBLE) END AS entropy FROM {_match(2)} p JOIN {_match(3)} q USING (vec_id)",
     ["entropy"],
 )
@@ -78,7 +84,7 @@ def fuzzy_sql() -> str:
     return Z + f", s AS (SELECT vec_id, 0.2::DOUBLE * stddev_samp(x) AS r FROM z GROUP BY vec_id), {_t(2)}, {_t(3)} SELECT vec_id, ln(p.f) - ln(q.f) AS entropy FROM {phi(2)} p JOIN {phi(3)} q USING (vec_id)"
 
 
-family("fuzzy_entropy", ft.fuzzy_entropy, fuzzy_sql(), ["entropy"])
+family("fuzzy_entropy", lambda x: F.get(batches.over(batches.fuzzy_entropy, 1, x, batches.pairs_room), F.lit(0)), fuzzy_sql(), ["entropy"])
 family(
     "katz_dimension",
     ft.katz,
@@ -130,10 +136,9 @@ SELECT vec_id, regr_slope(v, a) AS exponent FROM g GROUP BY vec_id""",
     ["exponent"],
 )
 
-PSR = ["cem", "tps", "ica", "ism", "iam", "tms", "pdd", "sdd", "ocm", "rda", "sam", "ots", "oam", "bdi", "ecm"]
 family(
     "phase_space_2d",
-    ft.phase_space,
+    stacked(batches.phase_space, batches.PSR2),
     E + """, p AS (SELECT vec_id, i, x, lead(x) OVER w AS y FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 q AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(x, 2) OVER w AS x3, lead(y, 2) OVER w AS y3 FROM p WHERE y IS NOT NULL WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 t AS (SELECT *, 0.5 * abs(x * (y2 - y3) + x2 * (y3 - y) + x3 * (y - y2)) AS area, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS a, sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) AS b, sqrt(pow(x - x3, 2) + pow(y - y3, 2)) AS c FROM q),
@@ -149,11 +154,11 @@ g AS (SELECT vec_id, sum(pow(x2 - x, 2) + pow(y2 - y, 2)) AS tms, sum(area) AS t
 h AS (SELECT *, sqrt(greatest(pow(sxx + syy, 2) - 4 * (sxx * syy - sxy * sxy), 0)) AS delta FROM g)
 SELECT vec_id, pi() * tms AS cem, tps, ica, ism, iam, tms, pdd, sdd, 2 / (1 + sqrt(2)) * 3 * (sxx + syy + delta) AS ocm, rda, sam, ots, oam, bdi,
   pi() * sqrt(3 * greatest(sxx + syy + delta, 0)) * sqrt(3 * greatest(sxx + syy - delta, 0)) AS ecm FROM h""",
-    PSR,
+    batches.PSR2,
 )
 family(
     "phase_space_3d",
-    ft.phase_space_3d,
+    stacked(batches.phase_space_3d, batches.PSR3),
     E + """, q AS (SELECT vec_id, i, x AS a, lead(x) OVER w AS b, lead(x, 2) OVER w AS c FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 p AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS m FROM q WHERE c IS NOT NULL),
 r AS (SELECT *, min(a) OVER v AS la, max(a) OVER v AS ha, min(b) OVER v AS lb, max(b) OVER v AS hb, min(c) OVER v AS lc, max(c) OVER v AS hc FROM p WINDOW v AS (PARTITION BY vec_id)),
@@ -172,22 +177,20 @@ SELECT vec_id, sci, dem, tbi, tti FROM sci JOIN dem USING (vec_id) JOIN tor USIN
     ["sci", "dem", "tbi", "tti"],
 )
 
-_dft = """, f AS (SELECT vec_id, k, any_value(n) AS n, pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2) AS p
-  FROM (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n FROM {src}), range(0, 33) r(k) WHERE k <= n // 2 GROUP BY vec_id, k),
-hz AS (SELECT *, k * 128.0::DOUBLE / n AS hz FROM f)"""
-_area = lambda low, high, end: f"(sum(p) FILTER (WHERE hz >= {low} AND hz {end} {high}) - (arg_min(p, hz) FILTER (WHERE hz >= {low} AND hz {end} {high}) + arg_max(p, hz) FILTER (WHERE hz >= {low} AND hz {end} {high})) / 2) * 128.0 / any_value(n)"
-_bands = {k: f"coalesce({_area(low, high, '<')}, 0)" for k, low, high in ft.BANDS}
-family(
-    "band_power",
-    lambda x: ft.band_power(x, FS),
-    E + _dft.format(src="e") + f""", g AS (SELECT vec_id, {_area(0.5, 45.0, '<=')} AS tot, {', '.join(f'{v} AS {k}' for k, v in _bands.items())} FROM hz GROUP BY vec_id)
-SELECT vec_id, {', '.join(f'{k} / tot AS {k}' for k in _bands)}, (theta / tot) / greatest(beta / tot, 2.220446049250313e-16) AS theta_beta, ln(tot + 2.220446049250313e-16) AS log_total, {', '.join(f'ln({k} + 2.220446049250313e-16) AS log_{k}' for k in _bands)} FROM g""",
-    [*_bands, "theta_beta", "log_total", *[f"log_{k}" for k in _bands]],
-)
+# Welch's density of an epoch of 64 samples at 128 Hz: one Hamming segment, 256 frequencies
+WINDOW = "w AS (SELECT i, 0.54 - 0.46 * cos(2 * pi() * i / 63) AS w FROM range(0, 64) t(i))"
+PSD = """f AS (SELECT {key}, k, k * 0.5 AS hz, (CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END) * (pow(sum(x * w * cos(2 * pi() * k * i / 256)), 2) + pow(sum(x * w * sin(2 * pi() * k * i / 256)), 2)) / (128 * (SELECT sum(w * w) FROM w)) AS p
+  FROM {src} JOIN w USING (i), range(0, 129) r(k) GROUP BY {key}, k)"""
+_area = lambda low, high: f"(sum(p) FILTER (WHERE hz >= {low} AND hz < {high}) - (arg_min(p, hz) FILTER (WHERE hz >= {low} AND hz < {high}) + arg_max(p, hz) FILTER (WHERE hz >= {low} AND hz < {high})) / 2) * 0.5"
+_named = {k: _area(low, high) for k, low, high in [("tot", 0.5, 45.01), ("lv_1_30", 1, 30), ("hf_30_45", 30, 45.01), *batches.BANDS]}
+_log = lambda c, name: f"ln({c} + 2.220446049250313e-16) AS {name}"
+BAND_SQL = E + f""", {WINDOW}, {PSD.format(key="vec_id", src="e")}, g AS (SELECT vec_id, {', '.join(f'{v} AS {k}' for k, v in _named.items())} FROM f GROUP BY vec_id)
+SELECT vec_id, {', '.join(f'{k} / tot AS {k}' for k, _, _ in batches.BANDS)}, (theta / tot) / greatest(beta / tot, 2.220446049250313e-16) AS theta_beta, {_log('tot', 'lv_full')}, {_log('lv_1_30', 'lv_1_30')}, {_log('hf_30_45', 'hf_30_45')}, {', '.join(_log(k, f'log_{k}') for k, _, _ in batches.BANDS)} FROM g"""
+family("band_power", stacked(lambda x: batches.band_power(x, FS), batches.BAND_COLUMNS), BAND_SQL, batches.BAND_COLUMNS)
 family(
     "spectral_entropy",
-    lambda x: ft.spectral_entropy(x, FS),
-    Z + _dft.format(src="z") + """, g AS (SELECT vec_id, p, sum(p) OVER (PARTITION BY vec_id) AS w, count(*) OVER (PARTITION BY vec_id) AS c FROM hz WHERE hz >= 0.5 AND hz <= 45)
+    lambda x: F.get(batches.over(lambda v: batches.spectral_entropy(v, FS), 1, x), F.lit(0)),
+    Z + f""", {WINDOW}, {PSD.format(key="vec_id", src="z")}, g AS (SELECT vec_id, p, sum(p) OVER (PARTITION BY vec_id) AS w, count(*) OVER (PARTITION BY vec_id) AS c FROM f WHERE hz >= 0.5 AND hz <= 45)
 SELECT vec_id, -sum(p / w * ln(p / w)) / ln(any_value(c)) AS entropy FROM g WHERE p > 0 GROUP BY vec_id""",
     ["entropy"],
 )

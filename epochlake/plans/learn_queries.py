@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochlake.functions import features as ft
 from epochlake.functions.arrays import diff, mean
-from epochlake.operators import epochs, folds, learn, matching, metrics, selection
+from epochlake.operators import epochs, folds, learn, matching, metrics, ranks, selection
 from epochlake.sources.stores import held
 
 from .common import EP, SPARSE, Queries, R, event_epochs, read
@@ -112,10 +112,8 @@ def label_permutation(spark, sf_dir):
     subjects = long.select("subject", "y").distinct()
     truth = subjects.withColumn("perm", F.lit(0).cast("long"))
     labels = learn.permuted_labels(subjects, 200, 5).unionByName(truth)
-    dealt = folds.shuffled(1, "perm", "subject")
-    from pyspark.sql import Window
-
-    own = labels.withColumn("fold", (F.row_number().over(Window.partitionBy("perm", "y").orderBy(dealt, "subject")) - 1) % K + 1)
+    placed = ranks.places(labels.withColumn("_h", folds.shuffled(1, "perm", "subject")), ["perm", "y"], "_h", ["subject"])
+    own = placed.select("perm", "subject", "y", (F.col("place") % K + 1).alias("fold"))
     many = held(long.drop("y").join(own, "subject"))
     p = learn.centroid_predictions(many, learn.centroid_models(many, ["perm"]), ["perm", "subject", "epoch", "y"], ["perm", "fold"])
     bal = scored(held(p), ["perm"]).filter("level = 'subject'").select(F.lit("centroid").alias("model"), "perm", "bal")
@@ -149,31 +147,21 @@ def kernel_svm_grouped_cv(spark, sf_dir):
 
 @Q.add(
     "nearest_neighbours",
-    """WITH v AS (SELECT vec_id, (label % 2)::INT AS y, [x::DOUBLE for x in embedding[1:8]] AS f FROM embeddings),
-d AS (SELECT q.vec_id, t.vec_id AS other, t.y, list_sum([pow(q.f[i] - t.f[i], 2) for i in range(1, 9)]) AS d FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS n FROM d)
-SELECT vec_id, (avg(y) > 0.5)::INT AS yhat, round(avg(y), 6) AS score FROM r WHERE n <= 5 GROUP BY vec_id""",
-)
-def nearest_neighbours(spark, sf_dir):
-    f = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
-    v = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("y"), f.alias("features"))
-    return learn.nearest(v.filter("vec_id % 5 <> 0"), v.filter("vec_id % 5 = 0"), ["vec_id"], 5, order=["vec_id"])
-
-
-@Q.add(
-    "nearest_neighbours_whole",
     """WITH v AS (SELECT vec_id, (label % 2)::INT AS y, [x::DOUBLE for x in embedding] AS f FROM embeddings),
 d AS (SELECT q.vec_id, t.vec_id AS other, t.y, list_sum([pow(q.f[i] - t.f[i], 2) for i in range(1, 65)]) AS d FROM v q, v t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS n FROM d)
 SELECT vec_id, (avg(y) > 0.5)::INT AS yhat, round(avg(y), 6) AS score FROM r WHERE n <= 5 GROUP BY vec_id""",
 )
-def nearest_neighbours_whole(spark, sf_dir):
-    """nearest_neighbours over all components of the vectors."""
+def nearest_neighbours(spark, sf_dir):
+    """A fifth of the vectors against all others, over all components."""
     f = F.transform("embedding", lambda x: x.cast("double"))
     v = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("y"), f.alias("features"))
     return learn.nearest(v.filter("vec_id % 5 <> 0"), v.filter("vec_id % 5 = 0"), ["vec_id"], 5, order=["vec_id"])
 
 
+Q.also("nearest_neighbours_whole", "nearest_neighbours")
+
+
 @Q.add("match_nearest_age")
 def match_nearest_age(spark, sf_dir):
     c = read(spark, sf_dir, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')")

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
-from epochlake.functions import decompose, signal
-from epochlake.functions import features as ft
+from epochlake.functions import batches, decompose, signal
 
 from .common import Queries, channel_epochs
 from .feature_queries import FS, store
@@ -30,13 +27,7 @@ def _covariance(kind: str) -> None:
     @Q.add(f"log_covariance_{kind}")
     def run(spark, sf_dir):
         e = channel_epochs(spark, sf_dir).groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "x"))), lambda s: s["x"]).alias("xs"))
-
-        def features(s: pd.Series) -> pd.Series:
-            return s.map(lambda v: signal.log_covariance(np.array([np.asarray(c, float) for c in v]), kind).tolist())
-
-        features.__annotations__ = {"s": pd.Series, "return": pd.Series}
-        v = e.select("vec_id", F.pandas_udf(features, "array<double>")("xs").alias("v"))
-        return v.select("vec_id", F.posexplode("v").alias("position", "value"))
+        return e.select("vec_id", F.posexplode(batches.log_covariances(F.col("xs"), kind)).alias("position", "value"))
 
 
 for _k in ("full", "diag", "offdiag", "corr"):
@@ -45,16 +36,14 @@ for _k in ("full", "diag", "offdiag", "corr"):
 
 @Q.add("filter_and_resample")
 def filter_and_resample(spark, sf_dir):
-    def clean(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: signal.resampled(signal.cleaned(np.asarray(v, float), FS), FS, FS / 2).tolist())
-
-    clean.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    done = store(spark, sf_dir).select("vec_id", F.pandas_udf(clean, "array<double>")("x").alias("x"))
+    clean = batches.over(lambda x: signal.resampled(signal.cleaned(x, FS), FS, FS / 2), None, F.col("x"))
+    done = store(spark, sf_dir).select("vec_id", clean.alias("x"))
     return done.select("vec_id", F.size("x").alias("n"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v).alias("energy"))
 
 
 @Q.add("mode_phase_space")
 def mode_phase_space(spark, sf_dir):
+    """Phase-space features of every mode of every epoch; null where an epoch hasn't the mode."""
     m = decompose.modes(store(spark, sf_dir), ["vec_id"])
-    f = m.select("vec_id", "imf", "mode", ft.phase_space(F.col("x")).alias("p"), ft.phase_space_3d(F.col("x")).alias("q"))
-    return f.filter("p IS NOT NULL").select("vec_id", "imf", "mode", "p.*", "q.*")
+    f = m.select("vec_id", "imf", "mode", batches.over(batches.phase_space, len(batches.PSR2), F.col("x")).alias("p"), batches.over(batches.phase_space_3d, len(batches.PSR3), F.col("x")).alias("q"))
+    return f.select("vec_id", "imf", "mode", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(batches.PSR2)], *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(batches.PSR3)])

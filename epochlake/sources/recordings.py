@@ -64,14 +64,24 @@ def read_bdf(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
 
 
 def read_channel_csv(spark: SparkSession, path: str, wanted: list[str], time: str = "timestamps") -> tuple[DataFrame, DataFrame]:
-    """(samples, rates) of CSV recordings: units after channel names are cut off, rows with a non-finite value dropped,
-    and each file's sampling rate estimated as (n - 1) / (last - first time)."""
-    raw = spark.read.option("header", True).csv(path).withColumn("path", F.input_file_name())
-    plain = raw.toDF(*[c if c == "path" else c.split("(")[0].strip().lower() for c in raw.columns])
-    numbers = plain.select("path", *[F.col(f"`{c.lower()}`").try_cast("double").alias(c) for c in [time, *wanted]])
-    fine = numbers.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`) AND abs(`{c}`) < double('infinity')" for c in [time, *wanted]))
+    """(samples, rates) of CSV recordings, each by its own header.
+
+    samples: (path, time, wanted); units after channel names are cut off, names are matched without case, and rows with
+    a value that isn't finite are dropped. rates: (path, fs, error), fs estimated as (n - 1) / (last - first time); a file
+    without one of the columns has no samples and names it in error.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value").withColumn("line", F.monotonically_increasing_id())
+    # a file's first line is the earliest of its first block; combined before the shuffle, a row a file
+    files = lines.filter("block = 0").groupBy("path").agg(F.min_by("value", "line").alias("head"))
+    names = F.transform(F.split(F.trim("head"), ","), lambda c: F.lower(F.trim(F.regexp_replace(c, r"\(.*\)$", ""))))
+    places = files.select("path", F.array(*[F.array_position(names, c.lower()).cast("int") for c in [time, *wanted]]).alias("at"))
+    absent = [F.when(F.get("at", F.lit(i)) == 0, F.lit(f"no column {c}")) for i, c in enumerate([time, *wanted])]
+    checked = places.withColumn("error", F.coalesce(*absent))
+    found = lines.select("path", F.split("value", ",").alias("v")).join(checked.filter("error IS NULL").select("path", "at"), "path")
+    cells = [F.trim(F.get("v", F.get("at", F.lit(i)) - 1)).try_cast("double").alias(c) for i, c in enumerate([time, *wanted])]
+    fine = found.select("path", *cells).filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`) AND abs(`{c}`) < double('infinity')" for c in [time, *wanted]))
     rates = fine.groupBy("path").agg(F.try_divide(F.count("*") - 1, F.max(time) - F.min(time)).alias("fs"))
-    return fine, rates
+    return fine, checked.select("path", "error").join(rates, "path", "left").select("path", "fs", "error")
 
 
 def read_demographics(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +104,18 @@ def file_number(path):
     return F.regexp_extract(path, r"(\d+)\D*$", 1).cast("long")
 
 
-def write_metrics(df: DataFrame, path: str, keys: list[str]) -> None:
-    """CSV with values at three decimals; commas in texts become semicolons."""
-    out = [F.format_number(c, "0.000").alias(c) if t in ("double", "float") else F.translate(F.col(c).cast("string"), ",", ";").alias(c) if c in keys else F.col(c) for c, t in df.dtypes]
-    df.select(*out).write.mode("overwrite").option("header", True).csv(path)
+def metric_rows(df: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
+    """keys and values as a report writes them: numbers with `digits` decimals, commas in texts as semicolons, null as nothing."""
+    number = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit(""))
+    out = []
+    for c, t in df.dtypes:
+        if t in ("double", "float"):
+            out.append(F.when(F.col(c).isNotNull(), number(c)).otherwise("").alias(c))
+        else:
+            out.append(F.translate(F.col(c).cast("string"), ",", ";").alias(c) if c in keys or t == "string" else F.col(c))
+    return df.select(*out)
+
+
+def write_metrics(df: DataFrame, path: str, keys: list[str], digits: int = 3) -> None:
+    """A CSV with a header of metric_rows(); a mean and its deviation stand beside each other as the columns do."""
+    metric_rows(df, keys, digits).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

@@ -8,12 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it; in tests without one, a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='epochlake-')}").rstrip("/")
+    """The folder that the driver and all executors share, as the session names it; on one machine (tests) without one, a local one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='epochlake-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
 
 
 def held(df: DataFrame) -> DataFrame:
-    """The same rows, checkpointed in the folder that the session names for it; in tests without one, in a local folder."""
+    """The same rows, checkpointed in that folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder(df.sparkSession))
