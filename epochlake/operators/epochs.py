@@ -107,3 +107,26 @@ def channels(df: DataFrame, keys: list[str], x: str, names: list[str]) -> DataFr
     n = F.floor(F.size(x) / len(names)).cast("int")
     parts = F.array(*[F.struct(F.lit(c).alias("channel"), F.slice(x, n * k + 1, n).alias("x")) for k, c in enumerate(names)])
     return df.select(*keys, F.explode(parts).alias("_p")).select(*keys, "_p.channel", "_p.x")
+
+
+def malformed(rows: DataFrame, keys: list[str], channel: str, wanted: list[str]) -> DataFrame:
+    """(keys, n_channels, malformed): recordings that don't have exactly the wanted channels."""
+    found = F.collect_set(channel)
+    return rows.groupBy(*keys).agg(F.size(found).alias("n_channels"), (F.sort_array(found) != F.array(*map(F.lit, sorted(wanted)))).alias("malformed"))
+
+
+def too_bad(bad: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(keys, n_bad, skipped): keys with more than `most` bad channels are skipped."""
+    return bad.groupBy(*keys).agg(F.count_if("bad").alias("n_bad")).withColumn("skipped", F.col("n_bad") > most)
+
+
+def channel_blocks(df: DataFrame, keys: list[str], vector: str, channels: list[str], kinds: list[str]) -> DataFrame:
+    """(keys, channel, feature, value) of a vector that holds the values of each channel one after another, one for each kind."""
+    at = [(c, k, len(kinds) * i + j) for i, c in enumerate(channels) for j, k in enumerate(kinds)]
+    cells = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(f"{c}_{k}").alias("feature"), F.get(vector, F.lit(p)).alias("value")) for c, k, p in at])
+    return df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
+
+
+def names_of(spark, channels: list[str], kinds: list[str]) -> DataFrame:
+    """(position, feature): the names of such a vector's values, from 1 on."""
+    return spark.createDataFrame([(len(kinds) * i + j + 1, f"{c}_{k}") for i, c in enumerate(channels) for j, k in enumerate(kinds)], "position int, feature string")

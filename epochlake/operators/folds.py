@@ -36,12 +36,13 @@ def stratified_sample(rows: DataFrame, key: list[str], label: str, most: int, se
     return ranked.join(F.broadcast(quota), label).filter(F.col("place") < F.col("_q")).drop("_q", "_h", "place")
 
 
-def validation_split(subjects: DataFrame, subject: str, share: float, seed: int, least: int = 2) -> DataFrame:
-    """(subject, validation): the first max(least, round(share * n)) of the shuffled subjects."""
-    ids = subjects.select(subject).distinct()
+def validation_split(rows: DataFrame, key: str | list[str], share: float, seed: int, least: int = 2) -> DataFrame:
+    """(key, validation): the first max(least, round(share * n)) of the shuffled keys, which name subjects, or single epochs."""
+    keys = [key] if isinstance(key, str) else key
+    ids = rows.select(*keys).distinct()
     take = max(least, int(share * ids.count() + 0.5))
-    chosen = ids.withColumn("_h", shuffled(seed, subject)).orderBy("_h", subject).limit(take).select(subject, F.lit(True).alias("validation"))
-    return ids.join(chosen, subject, "left").withColumn("validation", F.coalesce("validation", F.lit(False)))
+    placed = places(ids.withColumn("_h", shuffled(seed, *keys)), [], "_h", keys)
+    return placed.select(*keys, (F.col("place") < take).alias("validation"))
 
 
 def training_statistics(long: DataFrame, folds: DataFrame, subject: str, feature: str = "feature", value: str = "value") -> DataFrame:
@@ -70,3 +71,14 @@ def age_residuals(rows: DataFrame, folds: DataFrame, subject: str, age: str, val
     k = folds.select("fold").distinct().withColumnRenamed("fold", "_f")
     lines = own.join(k, F.col("fold") != F.col("_f")).groupBy("_f").agg(F.regr_slope(value, age).alias("_b"), F.regr_intercept(value, age).alias("_a"))
     return own.join(lines, F.col("fold") == F.col("_f")).withColumn("residual", F.col(value) - F.col("_a") - F.col("_b") * F.col(age)).drop("_f", "_a", "_b")
+
+
+def robust_scaled(long: DataFrame, folds: DataFrame, subject: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """long, once for each fold, with z: the value over the scaled median absolute deviation of the rows outside the fold, 0 where it is missing."""
+    from .epochs import scaled_mad
+
+    k = folds.select("fold").distinct().withColumnRenamed("fold", "_f")
+    training = long.join(folds.select(subject, "fold"), subject).join(F.broadcast(k), F.col("fold") != F.col("_f")).filter(F.col(value).isNotNull())
+    mad = scaled_mad(training.select(F.col("_f").alias("fold"), feature, value), ["fold", feature], value)
+    z = F.coalesce(F.col(value) / F.greatest(F.col("mad"), F.lit(2.220446049250313e-16)), F.lit(0.0))
+    return long.join(mad, feature).withColumn("z", z).drop("med", "mad")

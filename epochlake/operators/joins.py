@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ranks
@@ -46,3 +46,32 @@ def grid(spark, **axes) -> DataFrame:
     """Every combination of the values of the axes: the task table of an experiment. Its axes are short lists."""
     parts = [spark.createDataFrame([(v,) for v in vs], [k]) for k, vs in axes.items()]
     return reduce(lambda a, b: a.crossJoin(b), parts)
+
+
+def lookup(df: DataFrame, keys: dict, columns: list[str], order: list[str]) -> DataFrame:
+    """The columns of the first row, in the order, whose keys have the values; no row if none has."""
+    for k, v in keys.items():
+        df = df.filter(F.col(k).eqNullSafe(F.lit(v)))
+    return df.orderBy(*order).limit(1).select(*columns)
+
+
+def routed(df: DataFrame, column: str, routes: dict, otherwise: tuple) -> DataFrame:
+    """df with store and label: the route of the value of the column, or the one for all other values. A write partitioned by store makes the stores."""
+    store, label = F.lit(otherwise[0]), F.lit(otherwise[1])
+    for value, (s, n) in routes.items():
+        store, label = F.when(F.col(column) == value, s).otherwise(store), F.when(F.col(column) == value, n).otherwise(label)
+    return df.withColumn("store", store).withColumn("label", label)
+
+
+def in_parts(df: DataFrame, part: str, order: list[str]) -> DataFrame:
+    """df with row, 1 .. n over all parts: the place inside a part, by the order, after the rows of the parts before it.
+
+    Parts are numbered; an order inside a part is cut into slices of its first column.
+    """
+    sliced = ranks.by_value(df, F.col(order[0]), 64).withColumn("_one", F.lit(1))
+    placed = ranks.before(sliced, [part], order, {"_at": "_one"})
+    sizes = df.groupBy(part).agg(F.count("*").alias("_n"))
+    # a row for each part is all that this window sees
+    ahead = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(part, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    return placed.join(offsets, part).withColumn("row", F.col("_before") + F.col("_at") + 1).select(*df.columns, "row")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epochlake.sources.stores import held
 
@@ -62,28 +63,41 @@ def estimator(name: str, seed: int = 1, **params):
     return kinds[name](**common, **({} if name == "svm" else {"seed": seed}), **params)
 
 
+def flattened(rows: DataFrame, fold: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """rows with a column for each feature, held: every fold's imputer, weights, model and predictions read them."""
+    n = len(rows.select("features").first()["features"])
+    names = [f"f{i}" for i in range(n)]
+    return held(rows.select(*keep, "y", fold, *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(n)])), names
+
+
+def fitted_on(flat: DataFrame, names: list[str], fold: str, k, keep: list[str], name: str, **params) -> DataFrame:
+    from pyspark.ml.feature import Imputer
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    train = flat.filter(F.col(fold) != k)
+    filler = Imputer(strategy="median", inputCols=names, outputCols=names, relativeError=0.001).fit(train)
+    counts = train.groupBy("y").agg((1 / F.count("*")).alias("weight"))
+    vector = array_to_vector(F.array(*names)).alias("vector")
+    fitted = estimator(name, **params).fit(filler.transform(train).join(F.broadcast(counts), "y").select("y", "weight", vector))
+    done = fitted.transform(filler.transform(flat.filter(F.col(fold) == k)).select(*keep, "y", fold, vector))
+    score = vector_to_array("probability")[1] if "probability" in done.columns else vector_to_array("rawPrediction")[1]
+    return done.select(*keep, "y", fold, F.col("prediction").cast("int").alias("yhat"), score.alias("score"))
+
+
+def fold_predictions(rows: DataFrame, fold: str, k, keep: list[str], name: str, **params) -> DataFrame:
+    """(keep, y, fold, yhat, score) of the rows of fold k, by learner `name` fitted on the others with equal weight for both classes."""
+    return fitted_on(*flattened(rows, fold, keep), fold, k, keep, name, **params)
+
+
 def cross_validated(rows: DataFrame, fold: str, keep: list[str], name: str, **params) -> DataFrame:
     """(keep, y, fold, yhat, score): MLlib learner `name`, fitted outside each fold with equal weight for both classes.
 
     rows: (keep, y, fold, features array<double>). Missing values are filled by training medians.
     """
-    from pyspark.ml.feature import Imputer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    n = len(rows.select("features").first()["features"])
-    # every fold's imputer, weights, model and predictions read it
-    flat = held(rows.select(*keep, "y", fold, *[F.get("features", F.lit(i)).alias(f"f{i}") for i in range(n)]))
-    names = [f"f{i}" for i in range(n)]
+    flat, names = flattened(rows, fold, keep)
     out = None
-    for k in [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]:  # a few folds
-        train = flat.filter(F.col(fold) != k)
-        filler = Imputer(strategy="median", inputCols=names, outputCols=names, relativeError=0.001).fit(train)
-        counts = train.groupBy("y").agg((1 / F.count("*")).alias("weight"))
-        vector = array_to_vector(F.array(*names)).alias("vector")
-        fitted = estimator(name, **params).fit(filler.transform(train).join(F.broadcast(counts), "y").select("y", "weight", vector))
-        done = fitted.transform(filler.transform(flat.filter(F.col(fold) == k)).select(*keep, "y", fold, vector))
-        score = vector_to_array("probability")[1] if "probability" in done.columns else vector_to_array("rawPrediction")[1]
-        part = done.select(*keep, "y", fold, F.col("prediction").cast("int").alias("yhat"), score.alias("score"))
+    for k in [r[0] for r in flat.select(fold).distinct().orderBy(fold).collect()]:  # a few folds
+        part = fitted_on(flat, names, fold, k, keep, name, **params)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -98,11 +112,12 @@ def fourier(rows: DataFrame, n: int, size: int, gamma: float, seed: int = 1) ->
     return rows.withColumn("features", F.array(*[F.cos(dot(w[i]) + float(b[i])) * float(np.sqrt(2 / size)) for i in range(size)]))
 
 
-def nearest(train: DataFrame, test: DataFrame, row: list[str], k: int, weighted: bool = False, order: list[str] | None = None, block_rows: int = 4096) -> DataFrame:
-    """(row, yhat, score): share of class 1 among the k nearest training rows, Euclidean, ties to the earlier row.
+def neighbours(train: DataFrame, test: DataFrame, row: list[str], k: int, order: list[str] | None = None, within: tuple[str, ...] | list[str] = (), block_rows: int = 4096) -> DataFrame:
+    """(within, row, _n, _d, _y): the k nearest training rows of each test row, with place, squared distance and class; ties to the earlier row.
 
-    train: (y, features), of any size, in the order of the columns `order`, or as the rows come. `row` names a test row.
-    Shards of training rows meet blocks of test rows, each of about block_rows; a window keeps the best of all shards.
+    train: (within, y, features), of any size, in the order of the columns `order`, or as the rows come. `row` names a test
+    row; rows meet where the columns `within` are equal. Shards of training rows meet blocks of test rows, each of about
+    block_rows; a window keeps the best of all shards.
     """
     import numpy as np
     import pyarrow as pa
@@ -113,9 +128,10 @@ def nearest(train: DataFrame, test: DataFrame, row: list[str], k: int, weighted:
     # a row's hash is its shard or block; the other side's numbers are exploded
     deal = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    known = known.select(F.col("y").cast("double").alias("_y"), "features", *places).withColumn("_shard", deal(places, shards)).withColumn("_block", every(blocks))
-    asked = test.select(*row, "features").withColumn("_block", deal(row, blocks)).withColumn("_shard", every(shards))
-    schema = asked.select(*row).join(known.select("_y", *places).withColumn("_d", F.lit(0.0)), how="cross").schema
+    # both sides may come from one table: this one's columns are new ones
+    known = known.select(*[F.col(c).alias(c) for c in within], F.col("y").cast("double").alias("_y"), F.col("features").alias("features"), *[F.col(c).alias(c) for c in places]).withColumn("_shard", deal(places, shards)).withColumn("_block", every(blocks))
+    asked = test.select(*within, *row, "features").withColumn("_block", deal(row, blocks)).withColumn("_shard", every(shards))
+    schema = T.StructType([*asked.select(*within, *row).schema, *known.select("_y", *places).schema, T.StructField("_d", T.DoubleType())])
 
     def matrix(table):
         return np.array(table.column("features").to_pylist(), float)
@@ -142,17 +158,28 @@ def nearest(train: DataFrame, test: DataFrame, row: list[str], k: int, weighted:
                     at_q += [start + i] * len(best)
                     at_x += found[best].tolist()
                     far += d[best].tolist()
-        out = left.select(row).take(pa.array(at_q, pa.int64()))
+        out = left.select([*within, *row]).take(pa.array(at_q, pa.int64()))
         also = right.select(["_y", *places]).take(pa.array(at_x, pa.int64()))
         for c in also.column_names:
             out = out.append_column(c, also.column(c))
         return out.append_column("_d", pa.array(far, pa.float64()))
 
-    met = asked.groupBy("_block", "_shard").cogroup(known.groupBy("_block", "_shard")).applyInArrow(run, schema)
-    ranked = met.withColumn("_n", F.row_number().over(Window.partitionBy(*row).orderBy("_d", *[F.asc_nulls_last(c) for c in places]))).filter(F.col("_n") <= k)
+    met = asked.groupBy(*within, "_block", "_shard").cogroup(known.groupBy(*within, "_block", "_shard")).applyInArrow(run, schema)
+    ordered = Window.partitionBy(*within, *row).orderBy("_d", *[F.asc_nulls_last(c) for c in places])
+    return met.withColumn("_n", F.row_number().over(ordered)).filter(F.col("_n") <= k).select(*within, *row, "_n", "_d", "_y")
+
+
+def voted(near: DataFrame, keys: list[str], ks: list[int], weighted: bool) -> DataFrame:
+    """(keys, k, yhat, score): for each k, the share of class 1 among the first k neighbours, by inverse distance if weighted."""
     weight = 1 / F.greatest(F.sqrt("_d"), F.lit(1e-12)) if weighted else F.lit(1.0)
-    score = F.sum(weight * F.col("_y")) / F.sum(weight)
-    return ranked.groupBy(*row).agg((score > 0.5).cast("int").alias("yhat"), score.alias("score"))
+    share = lambda k: F.sum(F.when(F.col("_n") <= k, weight * F.col("_y"))) / F.sum(F.when(F.col("_n") <= k, weight))
+    scores = near.groupBy(*keys).agg(F.array(*[F.struct(F.lit(k).alias("k"), share(k).alias("score")) for k in ks]).alias("_v"))
+    return scores.select(*keys, F.explode("_v").alias("_v")).select(*keys, "_v.k", (F.col("_v.score") > 0.5).cast("int").alias("yhat"), "_v.score")
+
+
+def nearest(train: DataFrame, test: DataFrame, row: list[str], k: int, weighted: bool = False, order: list[str] | None = None, block_rows: int = 4096) -> DataFrame:
+    """(row, yhat, score): share of class 1 among the k nearest training rows of neighbours()."""
+    return voted(neighbours(train, test, row, k, order, (), block_rows), row, [k], weighted).drop("k")
 
 
 def permuted_labels(subjects: DataFrame, n: int, seed: int) -> DataFrame:

@@ -19,6 +19,9 @@ def before(sliced: DataFrame, keys: list[str], order: list, amounts: dict[str, s
 
     `order` sorts rows inside a slice of a key; a row for each key and slice is all that the totals' window sees.
     """
+    if not keys:
+        one = before(sliced.withColumn("_all", F.lit(0)), ["_all"], order, amounts)
+        return one.drop("_all")
     totals = sliced.groupBy(*keys, "_s").agg(*[F.sum(a).alias(f"_t_{n}") for n, a in amounts.items()])
     ahead = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "_s", *[F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_a_{n}") for n in amounts])

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import folds, learn, metrics, ranks
+from . import folds, learn, metrics, ranks, statistics
 
 
 def ranked(models: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,6 +49,13 @@ def nested_predictions(long: DataFrame, grid: list[int]) -> DataFrame:
     return learn.centroid_predictions(long, models, ["subject", "epoch", "y"], ["fold"])
 
 
+def kept_by_test(tests: DataFrame, key: str, least: int, p: str = "p", q: float = 0.05) -> DataFrame:
+    """Candidates that the Benjamini-Hochberg test selects; all of them, if it selects fewer than `least`."""
+    done = statistics.benjamini_hochberg(tests, key, p, q)
+    few = done.agg((F.count_if("selected") < least).alias("_few"))
+    return done.crossJoin(F.broadcast(few)).filter("selected OR _few").drop("_few")
+
+
 def wrapper_fitness(spark, x: np.ndarray, y: np.ndarray, group: np.ndarray, k: int = 5, alpha: float = 0.99):
     """A function of masks (population x features) to losses: alpha * error of grouped nearest neighbours + (1 - alpha) * share selected.
 

@@ -75,6 +75,13 @@ def with_p(tests: DataFrame, t: str = "t", df: str = "df") -> DataFrame:
     return tests.withColumn("p", _tails()[0](F.col(t), F.col(df)))
 
 
+def correlation_p(rows: DataFrame, r: str, n: str) -> DataFrame:
+    """rows with the two-sided p of a correlation r of n pairs; null where n < 3 or |r| = 1."""
+    df = F.col(n) - 2
+    t = F.try_divide(F.col(r) * F.sqrt(df.cast("double")), F.sqrt(1 - F.col(r) * F.col(r)))
+    return with_p(rows.withColumn("_t", F.when(df > 0, t)).withColumn("_df", df.cast("double")), "_t", "_df").drop("_t", "_df")
+
+
 def cohen_d(moments: DataFrame) -> DataFrame:
     """moments with d over the root of the average variance."""
     return moments.withColumn("d", F.try_divide(F.col("m1") - F.col("m0"), F.sqrt((F.col("v1") + F.col("v0")) / 2)))

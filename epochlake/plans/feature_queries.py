@@ -179,7 +179,7 @@ SELECT vec_id, sci, dem, tbi, tti FROM sci JOIN dem USING (vec_id) JOIN tor USIN
 
 # Welch's density of an epoch of 64 samples at 128 Hz: one Hamming segment, 256 frequencies
 WINDOW = "w AS (SELECT i, 0.54 - 0.46 * cos(2 * pi() * i / 63) AS w FROM range(0, 64) t(i))"
-PSD = """f AS (SELECT {key}, k, k * 0.5 AS hz, (CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END) * (pow(sum(x * w * cos(2 * pi() * k * i / 256)), 2) + pow(sum(x * w * sin(2 * pi() * k * i / 256)), 2)) / (128 * (SELECT sum(w * w) FROM w)) AS p
+PSD = """f AS (SELECT {key}, k, k * 0.5::DOUBLE AS hz, (CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END) * (pow(sum(x * w * cos(2 * pi() * k * i / 256)), 2) + pow(sum(x * w * sin(2 * pi() * k * i / 256)), 2)) / (128 * (SELECT sum(w * w) FROM w)) AS p
   FROM {src} JOIN w USING (i), range(0, 129) r(k) GROUP BY {key}, k)"""
 _area = lambda low, high: f"(sum(p) FILTER (WHERE hz >= {low} AND hz < {high}) - (arg_min(p, hz) FILTER (WHERE hz >= {low} AND hz < {high}) + arg_max(p, hz) FILTER (WHERE hz >= {low} AND hz < {high})) / 2) * 0.5"
 _named = {k: _area(low, high) for k, low, high in [("tot", 0.5, 45.01), ("lv_1_30", 1, 30), ("hf_30_45", 30, 45.01), *batches.BANDS]}

@@ -75,7 +75,15 @@ def centroid_predictions(spark, sf_dir):
     return learn.centroid_predictions(long, learn.centroid_models(long, []), ["subject", "epoch", "y"], ["fold"])
 
 
-@Q.add("overlap_leakage")
+@Q.add(
+    "overlap_leakage",
+    f"""WITH {R}, {EP}, kept AS (SELECT * FROM ep WHERE subject IN (SELECT subject FROM ep GROUP BY subject HAVING count(*) >= {SPARSE})),
+whole AS (SELECT subject, label AS y, flatten(list(x ORDER BY epoch)) AS a FROM kept GROUP BY subject, label),
+w AS (SELECT subject, y, a, unnest(range(0, len(a) - 7, 2)) AS st FROM whole), wx AS (SELECT subject, y, st // 2 AS epoch, a[st + 1 : st + 8] AS x FROM w),
+feats AS (SELECT subject, y, epoch, unnest(['logvar', 'mean']) AS feature, unnest([ln(list_var_samp(x) + 2.220446049250313e-16), list_avg(x)]) AS value FROM wx),
+rf AS (SELECT subject, epoch, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('2:', subject, ':', epoch)), subject, epoch) - 1) % {K} + 1 AS fold FROM (SELECT DISTINCT subject, epoch, y FROM feats)),
+long AS (SELECT 'P0' AS protocol, f.*, rf.fold FROM feats f JOIN rf USING (subject, epoch)), {MODEL.format(k='protocol')} SELECT protocol, level, n, round(bal, 6) AS bal, round(auc, 6) AS auc FROM res""",
+)
 def overlap_leakage(spark, sf_dir):
     """P0: row folds over overlapping windows of the same recordings."""
     e = epochs.drop_sparse(event_epochs(spark, sf_dir), "subject", SPARSE)
@@ -84,9 +92,9 @@ def overlap_leakage(spark, sf_dir):
     parts = F.array(F.struct(F.lit("logvar").alias("feature"), ft.log_variance(x).alias("value")), F.struct(F.lit("mean").alias("feature"), mean(x).alias("value")))
     long = w.select("subject", F.col("label").alias("y"), F.col("window").alias("epoch"), F.explode(parts).alias("p")).select("subject", "y", "epoch", "p.feature", "p.value")
     by_row = folds.row_folds(long.select("subject", "epoch", "y").distinct(), ["subject", "epoch"], "y", K, 2).select("subject", "epoch", "fold")
-    long = long.join(by_row, ["subject", "epoch"]).withColumn("protocol", F.lit("P0"))
+    long = held(long.join(by_row, ["subject", "epoch"]).withColumn("protocol", F.lit("P0")))
     p = learn.centroid_predictions(long, learn.centroid_models(long, ["protocol"]), ["protocol", "subject", "epoch", "y"], ["protocol", "fold"])
-    return scored(p, ["protocol"])
+    return scored(held(p), ["protocol"])
 
 
 @Q.add(
@@ -105,7 +113,18 @@ def centroid_transfer(spark, sf_dir):
 
 
 
-@Q.add("label_permutation")
+_PERMUTED = """many AS (SELECT perm, subject, y FROM subs, range(1, 201) t(perm)),
+pa AS (SELECT perm, subject, row_number() OVER (PARTITION BY perm ORDER BY md5(concat('5a:', perm, ':', subject)), subject) AS r FROM many),
+pb AS (SELECT perm, y, row_number() OVER (PARTITION BY perm ORDER BY md5(concat('5b:', perm, ':', subject)), subject) AS r FROM many),
+lab AS (SELECT perm, subject, y FROM pa JOIN pb USING (perm, r) UNION ALL SELECT 0, subject, y FROM subs)"""
+
+
+@Q.add(
+    "label_permutation",
+    f"""WITH {BASE.replace('long AS (', 'lp AS (')}, {_PERMUTED}, own AS (SELECT *, (row_number() OVER (PARTITION BY perm, y ORDER BY md5(concat('1:', perm, ':', subject)), subject) - 1) % {K} + 1 AS fold FROM lab),
+long AS (SELECT perm, f.subject, f.epoch, o.y, fold, feature, value FROM feats f JOIN own o USING (subject)), {MODEL.format(k='perm')},
+b AS (SELECT perm, round(bal, 9) AS bal FROM res WHERE level = 'subject') SELECT 'centroid' AS model, round((1 + count(*) FILTER (WHERE n.bal >= o.bal)) / (count(*) + 1), 6) AS p FROM b n, b o WHERE n.perm > 0 AND o.perm = 0""",
+)
 def label_permutation(spark, sf_dir):
     """Share of 200 label permutations of subjects whose balanced accuracy reaches the observed one."""
     long = epoch_features(spark, sf_dir)
@@ -116,7 +135,7 @@ def label_permutation(spark, sf_dir):
     own = placed.select("perm", "subject", "y", (F.col("place") % K + 1).alias("fold"))
     many = held(long.drop("y").join(own, "subject"))
     p = learn.centroid_predictions(many, learn.centroid_models(many, ["perm"]), ["perm", "subject", "epoch", "y"], ["perm", "fold"])
-    bal = scored(held(p), ["perm"]).filter("level = 'subject'").select(F.lit("centroid").alias("model"), "perm", "bal")
+    bal = scored(held(p), ["perm"]).filter("level = 'subject'").select(F.lit("centroid").alias("model"), "perm", F.round("bal", 9).alias("bal"))
     return metrics.permutation_p(bal.filter("perm > 0"), bal.filter("perm = 0").drop("perm"), ["model"], "bal")
 
 
@@ -170,7 +189,23 @@ def match_nearest_age(spark, sf_dir):
     return matching.matched(s, "cohort", ratio=1, smaller_anchors=True)
 
 
-@Q.add("nested_grouped_cv")
+_FITTED = """SELECT k.{keys}, l.feature, avg(value) AS mean, CASE WHEN stddev_samp(value) < 1e-12 THEN 1 ELSE stddev_samp(value) END AS sd, avg(value) FILTER (WHERE y = 1) AS m1, avg(value) FILTER (WHERE y = 0) AS m0"""
+_BY_GAP = "row_number() OVER (PARTITION BY {keys} ORDER BY abs(m1 - m0) / sd DESC, feature) AS rank"
+
+
+@Q.add(
+    "nested_grouped_cv",
+    f"""WITH {BASE.replace('long AS (', 'lp AS (')}, l3 AS (SELECT subject, y, epoch, feature, value, fold FROM lp WHERE protocol = 'P3'),
+ks AS (SELECT DISTINCT fold AS outer_ FROM gf),
+inn AS (SELECT outer_, subject, (row_number() OVER (PARTITION BY outer_, y ORDER BY md5(concat('11:', subject)), subject) - 1) % 3 + 1 AS inner_ FROM subs JOIN gf USING (subject) JOIN ks ON fold <> outer_),
+tr AS (SELECT outer_, inner_, subject, epoch, y, feature, value FROM l3 JOIN inn USING (subject)),
+mi AS (SELECT *, {_BY_GAP.format(keys='outer_, inner_')} FROM ({_FITTED.format(keys='outer_, k.inner_')} FROM (SELECT DISTINCT outer_, inner_ FROM tr) k JOIN tr l ON l.outer_ = k.outer_ AND l.inner_ <> k.inner_ GROUP BY k.outer_, k.inner_, l.feature)),
+fi AS (SELECT outer_, k, subject, epoch, y, sqrt(sum(pow((value - m1) / sd, 2))) AS d1, sqrt(sum(pow((value - m0) / sd, 2))) AS d0 FROM tr JOIN mi USING (outer_, inner_, feature), range(1, 4) t(k) WHERE rank <= k GROUP BY outer_, k, subject, epoch, y),
+bi AS (SELECT outer_, k, 50 * (avg((d1 < d0)::INT) FILTER (WHERE y = 1) + avg(1 - (d1 < d0)::INT) FILTER (WHERE y = 0)) AS bal FROM fi GROUP BY outer_, k),
+best AS (SELECT outer_, arg_min(k, (-round(bal, 9), k)) AS k FROM bi GROUP BY outer_),
+long AS (SELECT 'P3' AS protocol, * FROM l3),
+{MODEL.format(k='protocol').replace("far AS (", f"picked AS (SELECT * FROM (SELECT *, {_BY_GAP.format(keys='fold')} FROM models) JOIN best ON outer_ = fold WHERE rank <= k)," + chr(10) + "far AS (", 1).replace("JOIN models m ON l", "JOIN picked m ON l", 1)} SELECT protocol, level, n, round(bal, 6) AS bal, round(auc, 6) AS auc FROM res""",
+)
 def nested_grouped_cv(spark, sf_dir):
     """Features ranked and counted inside each training part, subjects kept whole."""
     long = held(protocols(epoch_features(spark, sf_dir)).filter("protocol = 'P3'").drop("protocol"))
@@ -178,7 +213,14 @@ def nested_grouped_cv(spark, sf_dir):
     return scored(held(p), ["protocol"])
 
 
-@Q.add("specificity_scores")
+@Q.add(
+    "specificity_scores",
+    f"""WITH {BASE.replace('long AS (', 'lp AS (')}, kf AS (SELECT subject, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('1:', subject)), subject) - 1) % {K} + 1 AS fold FROM subs WHERE subject % 4 <> 3),
+known AS (SELECT f.*, fold FROM feats f JOIN kf USING (subject)),
+models AS (SELECT k.fold, feature, avg(value) AS mean, stddev_samp(value) AS sd, avg(value) FILTER (WHERE y = 1) AS m1, avg(value) FILTER (WHERE y = 0) AS m0 FROM (SELECT DISTINCT fold FROM known) k JOIN known l ON l.fold <> k.fold GROUP BY k.fold, feature),
+far AS (SELECT fold, subject, epoch, sqrt(sum(pow((value - m1) / sd, 2))) AS d1, sqrt(sum(pow((value - m0) / sd, 2))) AS d0 FROM feats JOIN models USING (feature) WHERE subject % 4 = 3 GROUP BY fold, subject, epoch)
+SELECT subject, round(avg(d0 / (d0 + d1)), 6) AS score, (avg(d0 / (d0 + d1)) > 0.5)::INT AS label FROM far GROUP BY subject""",
+)
 def specificity_scores(spark, sf_dir):
     """Every fold's model scores a third population that no fold has seen; the mean score decides."""
     long = epoch_features(spark, sf_dir).withColumn("third", F.col("subject") % 4 == 3)

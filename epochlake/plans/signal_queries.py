@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from epochlake.functions import batches, decompose, signal
 
 from .common import Queries, channel_epochs
-from .feature_queries import FS, store
+from .feature_queries import BAND_SQL, FS, store
 
 Q = Queries()
 
 
+FAMILY_SQL = {"welch_bands": f"SELECT vec_id, {', '.join(f'round({c}, 6) AS {c}' for c in batches.BAND_COLUMNS[:5])} FROM ({BAND_SQL})"}
+
+
 def _family(name: str) -> None:
-    @Q.add(f"{name}_family")
+    @Q.add(f"{name}_family", FAMILY_SQL.get(name))
     def run(spark, sf_dir):
         v = store(spark, sf_dir).select("vec_id", signal.family(name, F.col("x"), FS).alias("v"))
         return v.select("vec_id", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(signal.FAMILIES[name][0])])

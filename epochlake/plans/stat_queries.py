@@ -182,7 +182,12 @@ def welch_t(spark, sf_dir):
     return m.select("feature", "n1", "n0", "t", F.round("df", 4).alias("df"))
 
 
-@Q.add("welch_p")
+# tails by Simpson's rule over an angle: t = sqrt(df) tan(angle), and cos(angle)^2 = d2 / (d2 + d1 f)
+_SIMPSON = "(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+T_TAIL = f"2 * exp(lgamma((any_value(df) + 1) / 2) - lgamma(any_value(df) / 2)) / sqrt(pi()) * (pi() / 2 - atan(any_value(abs(t)) / sqrt(any_value(df)))) / 6000 * sum({_SIMPSON} * pow(greatest(cos(atan(abs(t) / sqrt(df)) + (pi() / 2 - atan(abs(t) / sqrt(df))) * i / 2000), 0), df - 1))"
+
+
+@Q.add("welch_p", f"WITH {FEAT}, {MEANS}, {MOMENTS.format(k='feature', src='mean')}, w AS (SELECT feature, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) AS df FROM mom) SELECT feature, round(any_value(t), 6) AS t, round({T_TAIL}, 6) AS p FROM w, range(0, 2001) r(i) GROUP BY feature")
 def welch_p(spark, sf_dir):
     m = statistics.welch(statistics.two_groups(supplier_means(spark, sf_dir), ["feature"], "y", "value"))
     return statistics.with_p(m).select("feature", "t", "p")
@@ -217,7 +222,15 @@ def anova_f(spark, sf_dir):
     return statistics.anova(c, ["region"], "c_mktsegment", "c_acctbal").select("region", "k", "n", "f")
 
 
-@Q.add("anova_p")
+_F_ANGLE = "acos(sqrt((n - k) / ((n - k) + (k - 1) * f)))"
+
+
+@Q.add(
+    "anova_p",
+    f"""WITH a AS (WITH {_ANOVA}) SELECT region, any_value(k) AS k, any_value(n) AS n, any_value(f) AS f,
+  round(2 * exp(lgamma(any_value(n - 1) / 2.0) - lgamma(any_value(n - k) / 2.0) - lgamma(any_value(k - 1) / 2.0)) * (pi() / 2 - any_value({_F_ANGLE})) / 6000
+  * sum({_SIMPSON} * pow(greatest(cos({_F_ANGLE} + (pi() / 2 - {_F_ANGLE}) * i / 2000), 0), n - k - 1) * pow(sin({_F_ANGLE} + (pi() / 2 - {_F_ANGLE}) * i / 2000), k - 2)), 6) AS p FROM a, range(0, 2001) r(i) GROUP BY region""",
+)
 def anova_p(spark, sf_dir):
     return statistics.anova_p(anova_f(spark, sf_dir))
 
@@ -227,6 +240,12 @@ def pearson_age(spark, sf_dir):
     return read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.corr(F.col("c_nationkey").cast("double"), "c_acctbal").alias("r"))
 
 
+@Q.add("pearson_p", f"WITH c AS (SELECT c_mktsegment, count(*) AS n, corr(c_nationkey::DOUBLE, c_acctbal) AS r FROM customer GROUP BY c_mktsegment), w AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2)::DOUBLE AS df FROM c) SELECT c_mktsegment, any_value(n) AS n, round(any_value(r), 6) AS r, round({T_TAIL}, 6) AS p FROM w, range(0, 2001) x(i) GROUP BY c_mktsegment")
+def pearson_p(spark, sf_dir):
+    """Correlation and its two-sided p; one row a group."""
+    return statistics.correlation_p(pearson_age(spark, sf_dir), "r", "n")
+
+
 _TOPO = f"""{CH}, lv AS (SELECT subject, y, channel, avg(ln(list_var_samp(x) + 2.220446049250313e-16)) AS value, any_value(subject % 7)::DOUBLE AS age FROM ch GROUP BY subject, y, channel)"""
 
 

@@ -38,12 +38,16 @@ def stream_tumbling(spark, sf_dir):
     return out.select("event_type", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', CAST(start AS timestamp_ntz))").alias("start"), "n", "total")
 
 
-@Q.add("stream_counted_epochs")
+@Q.add("stream_counted_epochs", "SELECT user_id, pos // 8 AS epoch, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events) GROUP BY user_id, pos // 8 HAVING count(*) = 8")
 def stream_counted_epochs(spark, sf_dir):
     return _finished(spark, sf_dir, lambda s: windows.counted_epochs(s, "user_id", "value", 8), "append")
 
 
-@Q.add("stream_sessions")
+_GAPS = "g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)"
+
+
+@Q.add("stream_sessions", f"WITH {_GAPS} SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS end, count(*) AS n FROM s GROUP BY user_id, s")
 def stream_sessions(spark, sf_dir):
-    """All sessions, those too that the watermark hasn't closed: append mode would keep them back."""
-    return _finished(spark, sf_dir, lambda s: windows.sessions(s, ["user_id"], "30 minutes"), "complete")
+    """All sessions, those too that the watermark hasn't closed: append mode would keep them back. Times in microseconds."""
+    out = _finished(spark, sf_dir, lambda s: windows.sessions(s, ["user_id"], "30 minutes"), "complete")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")

@@ -40,12 +40,14 @@ def counted_epochs(events: DataFrame, key: str, value: str, n: int, order: str =
         epoch, rest = state.get if state.exists else (0, [])
         rest = list(rest)
         out = []
-        for v in pd.concat(list(frames)).sort_values(order)[value]:
+        rows = [pair for f in frames for pair in zip(f[order], f[value], strict=True)]
+        for _, v in sorted(rows, key=lambda r: r[0]):
             rest.append(float(v))
             if len(rest) == n:
                 out.append((k[0], epoch, sum(rest) / n))
                 epoch, rest = epoch + 1, []
         state.update((epoch, rest))
-        yield pd.DataFrame(out, columns=[key, "epoch", "mean"])
+        if out:
+            yield pd.DataFrame(out, columns=[key, "epoch", "mean"])
 
     return events.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, epoch long, mean double", "epoch long, rest array<double>", "append", GroupStateTimeout.NoTimeout)
