@@ -119,3 +119,19 @@ def metric_rows(df: DataFrame, keys: list[str], digits: int = 3) -> DataFrame:
 def write_metrics(df: DataFrame, path: str, keys: list[str], digits: int = 3) -> None:
     """A CSV with a header of metric_rows(); a mean and its deviation stand beside each other as the columns do."""
     metric_rows(df, keys, digits).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+
+
+# The columns of a row of experiment results.
+EXPERIMENT = ["experiment", "n_pos", "n_neg", "BAL", "BAL_sd", "SEN", "SEN_sd", "SPE", "SPE_sd", "AUC", "AUC_sd", "MCC", "MCC_sd", "perm_p"]
+
+
+def experiment_rows(repeats: DataFrame, counts: DataFrame, p: DataFrame | None = None) -> DataFrame:
+    """A row of EXPERIMENT for each experiment: repeats (experiment, bal, sen, spe, auc, mcc) as mean and deviation over the
+    repeats, counts (experiment, n_pos, n_neg), and the permutation p where there is one (experiment, perm_p)."""
+    from epochlake.operators.metrics import mean_sd
+
+    names = ["bal", "sen", "spe", "auc", "mcc"]
+    m = mean_sd(repeats, ["experiment"], names).select("experiment", *[F.col(f"{c}{x}").alias(f"{c.upper()}{x}") for c in names for x in ("", "_sd")])
+    rows = counts.join(m, "experiment")
+    rows = rows.join(p, "experiment", "left") if p is not None else rows.withColumn("perm_p", F.lit(None).cast("double"))
+    return rows.select(*EXPERIMENT)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +47,25 @@ def load(spark: SparkSession, path: str, exclude: dict[str, list[str]] | None =
     for k, vs in (exclude or {}).items():
         df = df.filter(~df[k].isin(vs))
     return df
+
+
+def run_log(path: str, name: str = "epochlake") -> logging.Logger:
+    """A log of a run on the console and in a file of the driver, each line with its time stamp."""
+    log = logging.getLogger(f"{name}:{path}")
+    if not log.handlers:
+        log.setLevel(logging.INFO)
+        log.propagate = False
+        for h in (logging.StreamHandler(sys.stdout), logging.FileHandler(path, encoding="utf-8")):
+            h.setFormatter(logging.Formatter("%(asctime)s %(message)s", "%Y-%m-%d %H:%M:%S"))
+            log.addHandler(h)
+    return log
+
+
+def counted_errors(read: DataFrame, log: logging.Logger | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of a reader without an error, and how many files were unreadable by error (a row each); the log names the counts."""
+    rows = read.filter("error IS NOT NULL").groupBy("error").count().orderBy("error").limit(1000).collect()
+    counts = {r["error"]: r["count"] for r in rows}
+    for e, n in counts.items():
+        if log:
+            log.info("skipped %d: %s", n, e)
+    return read.filter("error IS NULL").drop("error"), counts
