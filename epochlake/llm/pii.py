@@ -201,7 +201,7 @@ def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 @functools.cache
 def model(n: int = 2500, seed: int = 0) -> tuple[BoostedTrees, tuple[float, ...]]:
-    """The fitted trees and a threshold for each kind. The same on every worker."""
+    """The fitted trees and a threshold for each kind: fitted once, on the driver, from a table of a fixed size."""
     trees = BoostedTrees().fit(*examples(n, seed))
     x, y = examples(n, seed + 1)
     p = trees.predict(x)
@@ -215,13 +215,13 @@ def model(n: int = 2500, seed: int = 0) -> tuple[BoostedTrees, tuple[float, ...]
     return trees, tuple(thresholds)
 
 
-def spans(text: str, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
-    """Base spans and those that the model adds, in order of kind and start."""
+def spans(text: str, base: list[tuple[int, int, int]] | None = None, fitted: tuple | None = None) -> list[tuple[int, int, int]]:
+    """Base spans and those that the model adds, in order of kind and start. fitted: what model() gives, as the driver sends it to tasks."""
     base = base_spans(text) if base is None else base
     proposed = [c for c in dict.fromkeys(candidates(text)) if not any(s < c[2] and c[1] < e for _, s, e in base)]
     if not proposed:
         return base
-    trees, thresholds = model()
+    trees, thresholds = fitted or model()
     scored = zip(trees.predict(np.array([features(text, *c) for c in proposed], float)), proposed, strict=True)
     taken = list(base)
     for _, (k, s, e) in sorted(((-p, c) for p, c in scored if p >= thresholds[c[0]])):
@@ -238,11 +238,12 @@ def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the base spans, all spans."""
     pair = docs.select("doc_id", "text")
     names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"]
+    fitted = model()
 
     def run(batches):
         for b in batches:
             base = [base_spans(t or "") for t in b.column(1).to_pylist()]
-            every = [spans(t or "", f) for t, f in zip(b.column(1).to_pylist(), base, strict=True)]
+            every = [spans(t or "", f, fitted) for t, f in zip(b.column(1).to_pylist(), base, strict=True)]
             counts = [pa.array([sum(x[0] == k for x in f) for f in base], pa.int64()) for k in range(len(KINDS))]
             shas = [hashlib.sha256(written(f).encode()).hexdigest() for f in base]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(shas, pa.string()), pa.array([written(f) for f in every], pa.string())], names=names)
@@ -251,10 +252,10 @@ def find(docs: DataFrame) -> DataFrame:
     return pair.mapInArrow(run, pair.select("doc_id", *columns, F.lit("").alias("base_sha256"), F.lit("").alias("spans")).schema)
 
 
-def redacted(text: str) -> str:
+def redacted(text: str, fitted: tuple | None = None) -> str:
     """The text with each span, or group of overlapping spans, replaced by the name of its first kind."""
     out, after = [], 0
-    for s, e, k in sorted((s, e, k) for k, s, e in spans(text)):
+    for s, e, k in sorted((s, e, k) for k, s, e in spans(text, None, fitted)):
         if s >= after:
             out += [text[after:s], f"[{KINDS[k].upper()}]"]
         after = max(after, e)
@@ -263,11 +264,12 @@ def redacted(text: str) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with redacted texts; n_chars, where there is one, counts the new text."""
+    fitted = model()
 
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array([t and redacted(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
+            yield b.set_column(at, b.schema.field(at), pa.array([t and redacted(t, fitted) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 
     done = docs.mapInArrow(run, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
