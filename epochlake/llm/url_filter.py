@@ -30,23 +30,27 @@ RULES = [
     ("block", "com", "/de/"),
 ]
 # Words of the labelled table; labelled_urls() makes its rows from them.
-BLOCKED_HOSTS = "casino-win poker free-bets slots lottery porn xxx adult-x escort nude warez torrent crack keygen cheap-pills viagra replica spam-farm ads-track clickbait".split()
-BLOCKED_PATHS = "jackpot bonus free-spins sex-videos hot-girls download-crack serial-key buy-pills fake-watches win-prize".split()
-ALLOWED_HOSTS = "news library school museum research docs wiki garden travel weather recipes music history science city health books forum blog shop".split()
-ALLOWED_PATHS = "article about index page 2021 guide contact en fr es de 100 250 365 480 512 640 777 825 910".split()
+BLOCKED_HOSTS = "casino poker bets slots lottery porn xxx adult escort nude warez torrent crack keygen pills viagra replica spam clickbait jackpot gamble roulette webcam hookup payday malware phish steroid counterfeit hotgirls".split()
+BLOCKED_PATHS = "jackpot bonus free-spins sex-videos hot-girls download-crack serial-key buy-pills fake-watches win-prize bet-now live-cams instant-loan".split()
+ALLOWED_HOSTS = "news library school museum research docs wiki garden travel weather recipes music history science city health books forum blog shop bakery theatre football chess cooking railway harbour archive journal university".split()
+ALLOWED_PATHS = "article about contact guide chapter lesson timetable exhibition recipe interview review calendar map".split()
+#: Paths that stand under hosts of both kinds and say nothing.
+NEUTRAL_PATHS = ["index", "page", "home", "en", "fr", "es", "de", "2021", "item", "a", "view"]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """(url, 1 to block): hosts and paths of either list in turn, under several top domains."""
+    """(url, 1 to block): each word in eight hosts, alone and beside others of its kind, with numbers and additions, under
+    several top domains; every other path says nothing, and numbers end all paths."""
     out = []
-    for label, hosts, paths in ((1, BLOCKED_HOSTS, BLOCKED_PATHS), (0, ALLOWED_HOSTS, ALLOWED_PATHS)):
-        for k, h in enumerate(hosts):
-            for j in range(6):
-                top = ("com", "net", "org")[(k + j) % 3]
-                host = (f"www.{h}.{top}", f"m.{h}.{top}", f"{h}.example.{top}", f"blog.{h}.{top}", f"{h}online.{top}", f"www.{h}.example.{top}")[j]
-                # every other path says nothing of its host
-                path = (ALLOWED_PATHS if j % 2 else paths)[(k + 3 * j) % (len(ALLOWED_PATHS) if j % 2 else len(paths))]
-                out.append((f"https://{host}/{path}/{(37 * k + 11 * j) % 997}", label))
+    for label, words, own in ((1, BLOCKED_HOSTS, BLOCKED_PATHS), (0, ALLOWED_HOSTS, ALLOWED_PATHS)):
+        for k, w in enumerate(words):
+            for j in range(8):
+                mate = words[(7 * k + 5 * j + 1) % len(words)]
+                name = (w, f"{w}{mate}", f"{w}-{mate}", f"{mate}-{w}", f"{w}{10 * j + k}", f"the{w}", f"my-{w}s", f"{w}online")[j]
+                front = ("www.", "", "m.", "", "blog.", "www.", "", "")[(k + j) % 8]
+                top = ("com", "net", "org", "info", "co.uk", "example.com", "de")[(k + 2 * j) % 7]
+                path = NEUTRAL_PATHS[(3 * k + j) % len(NEUTRAL_PATHS)] if j % 2 else own[(k + 3 * j) % len(own)]
+                out.append((f"https://{front}{name}.{top}/{path}/{(37 * k + 11 * j) % 997}", label))
     return out
 
 
