@@ -4,6 +4,13 @@ Each stage takes what its predecessor kept, as Parquet, and all but the last ret
 the columns of documents: quality rules reject documents, one document of each
 group of near-duplicates stays, personal data in texts is replaced, sources are
 mixed to target weights (a document may come twice), and texts become token ids.
+
+Nulls and edge cases: a null or blank text fails the base rules and goes; a null language
+is compared with other documents without one; a null source is a source; a row without a doc_id
+can't be named by a group and stays; rows that repeat one doc_id stay or go together, and the mix
+takes them together; ties are decided as the operators say (the smallest doc_id stays); very long
+texts are taken whole; an empty table gives an empty result of the same columns; further columns
+pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,9 +10,10 @@ agenda runs once for each distinct run "marks + characters" and its ids are kept
 in a cache of bounded size. `Pieces` checks that property of its vocabulary and
 runs the agenda over whole texts where it doesn't hold.
 
-Every Arrow batch is checked against the sentencepiece library: all runs that the
-batch met for the first time are encoded by the library too, and a share of whole
-texts, chosen by their content; a difference raises an error.
+Every slice of an Arrow batch is checked against the sentencepiece library: each run that was
+coded anew, of any length, is encoded by the library too if it begins with a space mark (all runs
+of a text but those after other marks do), and every 50th text, chosen by its content, is encoded
+and decoded whole; a difference raises an error.
 
 Edge cases: a null text is an empty one, whose ids are begin and end alone; texts
 of any length are encoded whole; repeated rows get equal results; an empty table
@@ -205,7 +206,7 @@ def encode(docs: DataFrame, model: str, column: str = "text", check_share: int =
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    """Ids and decoded text in short: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     done = encode(docs.select("doc_id", "text"), model)
     return done.select(
         "doc_id",

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from epochlake.llm import pii, queries, sql
@@ -104,3 +105,21 @@ def test_queries_equal_their_sql(spark, name):
     order = [[d[0] for d in want.description].index(n) for n in names]
     plain = lambda v: round(v, 6) if isinstance(v, float) else v
     assert sorted(repr([plain(v) for v in r]) for r in got.collect()) == sorted(repr([plain(r[i]) for i in order]) for r in want.fetchall())
+
+
+def test_stages_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    text = " ".join(f"word{i % 23} of the and {i}" for i in range(60))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text + " once more than before", "en", "a", 6), (None, text, None, None, None), (3, None, "en", "a", 0), (4, "", "xx", None, 0), (5, f"mail jane@example.org {text[::-1]}", None, "b", 7), (6, "x " * 30_000, "en", "b", 1)]
+    extra = ["row", "q", "r_lang", "node", "kept", "dropped_id", "_bucket", "_bits", "ids", "decoded", "place", "n", "source_size"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(c).alias(c) for c in extra])
+    for empty in (False, True):
+        found = docs.limit(0) if empty else docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = found.columns
+            found = stage(spark, found, None)
+            assert name == "pieces" or found.columns == columns
+            found.write.parquet(f"{tmp_path}/{empty}-{k}")
+            found = spark.read.parquet(f"{tmp_path}/{empty}-{k}")
+        assert found.columns[:3] == ["doc_id", "source", "n_tokens"]
+        ids = {r["doc_id"] for r in found.collect()}
+        assert ids <= ({None, 1, 5} if not empty else set()) and (empty or {1, 5} & ids)

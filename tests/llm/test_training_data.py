@@ -401,9 +401,20 @@ def test_url_model_on_its_table_and_unseen_hosts():
     w = url_filter.fit(url_filter.labelled_urls())
     score = lambda u: w[-1] + w[at].sum() / len(at) ** 0.5 if (at := url_filter.grams(*url_filter.parts(u), 14)) else 0
     assert all((score(u) > 0) == bool(y) for u, y in url_filter.labelled_urls())
+    assert len({url_filter.parts(u)[0] for u, _ in url_filter.labelled_urls()}) > 450
     assert score("http://best-casino-poker.net/en/1") > score("http://town-museum.net/en/1")
 
 
+def test_url_model_on_held_out_hosts():
+    table = url_filter.labelled_urls()
+    out = lambda u: zlib.crc32(url_filter.parts(u)[0].encode()) % 5 == 0
+    w = url_filter.fit([(u, y) for u, y in table if not out(u)])
+    scores = {y: [w[-1] + w[at].sum() / len(at) ** 0.5 for u, t in table if t == y and out(u) for at in [url_filter.grams(*url_filter.parts(u), 14)]] for y in (0, 1)}
+    wins = [(p > n) + (p == n) / 2 for p in scores[1] for n in scores[0]]
+    assert len(scores[0]) > 30 and len(scores[1]) > 30 and sum(wins) / len(wins) > 0.95
+    print("held-out AUC by host", sum(wins) / len(wins))
+
+
 # --- WARC
 
 
