@@ -7,6 +7,9 @@ forests are MLlib's, fitted fold by fold on the cluster.
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,17 +92,17 @@ def fold_predictions(rows: DataFrame, fold: str, k, keep: list[str], name: str,
     return fitted_on(*flattened(rows, fold, keep), fold, k, keep, name, **params)
 
 
-def cross_validated(rows: DataFrame, fold: str, keep: list[str], name: str, **params) -> DataFrame:
+def cross_validated(rows: DataFrame, fold: str, keep: list[str], name: str, threads: int = 4, **params) -> DataFrame:
     """(keep, y, fold, yhat, score): MLlib learner `name`, fitted outside each fold with equal weight for both classes.
 
-    rows: (keep, y, fold, features array<double>). Missing values are filled by training medians.
+    rows: (keep, y, fold, features array<double>). Missing values are filled by training medians. The fits of the folds
+    are independent jobs, `threads` of them at a time.
     """
     flat, names = flattened(rows, fold, keep)
-    out = None
-    for k in [r[0] for r in flat.select(fold).distinct().orderBy(fold).collect()]:  # a few folds
-        part = fitted_on(flat, names, fold, k, keep, name, **params)
-        out = part if out is None else out.unionByName(part)
-    return out
+    ks = [r[0] for r in flat.select(fold).distinct().orderBy(fold).collect()]  # a few folds
+    with ThreadPool(threads) as pool:
+        parts = pool.map(lambda k: fitted_on(flat, names, fold, k, keep, name, **params), ks)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fourier(rows: DataFrame, n: int, size: int, gamma: float, seed: int = 1) -> DataFrame:

@@ -4,6 +4,7 @@ subsets, group experiments, and inner grid search. Tables are long: (keys, fold,
 
 from __future__ import annotations
 
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, Window
@@ -120,16 +121,10 @@ def grid_cross_validated(rows: DataFrame, keep: list[str], name: str, parameter:
         training = rows.filter(F.col("fold") != o)
         few = folds.stratified_sample(training, keep, "y", most, seed).drop("fold").join(dealt.filter(F.col("outer") == o), "subject")
         few = held(few.withColumnRenamed("inner", "fold"))
-        tried = [learn.cross_validated(few, "fold", keep, name, **params, **{parameter: v}).withColumn("parameter", F.lit(v)) for v in grid]
-        every = tried[0]
-        for t in tried[1:]:
-            every = every.unionByName(t)
+        every = reduce(DataFrame.unionByName, [learn.cross_validated(few, "fold", keep, name, 1, **params, **{parameter: v}).withColumn("parameter", F.lit(v)) for v in grid])
         return best_of(metrics.confusion(every, ["parameter"]).withColumn("fold", F.lit(o)), ["fold"], grid).first()["parameter"]
 
     with ThreadPool(threads) as pool:
         best = dict(zip(outer, pool.map(chosen, outer), strict=True))
         done = pool.map(lambda o: learn.fold_predictions(rows, "fold", o, keep, name, **params, **{parameter: best[o]}), outer)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, done)

@@ -181,7 +181,18 @@ def nearest_neighbours(spark, sf_dir):
 Q.also("nearest_neighbours_whole", "nearest_neighbours")
 
 
-@Q.add("match_nearest_age")
+@Q.add(
+    "match_nearest_age",
+    """WITH RECURSIVE s AS (SELECT c_nationkey % 5 AS cohort, c_custkey AS id, (c_mktsegment = 'BUILDING')::INT AS grp, c_nationkey % 2 AS sex, c_acctbal AS age FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+side AS (SELECT cohort, CASE WHEN count(*) FILTER (WHERE grp = 0) < count(*) FILTER (WHERE grp = 1) THEN 0 ELSE 1 END AS anchor FROM s GROUP BY cohort),
+a AS (SELECT s.*, row_number() OVER (PARTITION BY cohort ORDER BY md5(concat('1:', id))) AS n FROM s JOIN side USING (cohort) WHERE grp = anchor),
+p AS (SELECT s.* FROM s JOIN side USING (cohort) WHERE grp <> anchor),
+m AS (SELECT cohort, 0::BIGINT AS n, NULL::BIGINT AS anchor, NULL::BIGINT AS pick, []::BIGINT[] AS used FROM side
+  UNION ALL SELECT m.cohort, m.n + 1, any_value(a.id), arg_min(p.id, (p.sex <> a.sex, abs(p.age - a.age), p.id)), list_append(any_value(m.used), arg_min(p.id, (p.sex <> a.sex, abs(p.age - a.age), p.id)))
+  FROM m JOIN a ON a.cohort = m.cohort AND a.n = m.n + 1 JOIN p ON p.cohort = m.cohort WHERE NOT list_contains(m.used, p.id) GROUP BY m.cohort, m.n),
+f AS (SELECT anchor AS id, anchor AS pair FROM m WHERE n > 0 UNION ALL SELECT pick, anchor FROM m WHERE n > 0)
+SELECT cohort, s.id, grp AS "group", sex, round(age, 6) AS age, pair FROM f JOIN s USING (id)""",
+)
 def match_nearest_age(spark, sf_dir):
     c = read(spark, sf_dir, "customer").filter("c_mktsegment IN ('BUILDING', 'MACHINERY')")
     group = (F.col("c_mktsegment") == "BUILDING").cast("int")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from epochlake.functions import batches
 from epochlake.functions import features as ft
 from epochlake.operators import epochs, folds, joins, learn, matching, metrics, statistics
 from epochlake.sources import recordings, stores
@@ -20,7 +21,7 @@ def test_constant_ramp_and_sine(spark):
     sine = [math.sin(2 * math.pi * 10 * i / fs + 0.1) for i in range(256)]
     df = arrays(spark, [1.0] * 64, range(64), sine)
     x = F.col("x")
-    got = df.select(ft.phase_space(x).alias("p"), ft.permutation_entropy(x, 3).alias("e"), ft.time_domain(x).alias("t"), ft.petrosian(x).alias("d"), ft.band_power(x, fs).alias("b")).collect()
+    got = df.select(ft.phase_space(x).alias("p"), ft.permutation_entropy(x, 3).alias("e"), ft.time_domain(x).alias("t"), ft.petrosian(x).alias("d"), batches.named(batches.over(lambda v: batches.band_power(v, fs), 12, x), batches.BAND_COLUMNS).alias("b")).collect()
     assert got[0]["p"] is None and got[0]["t"]["skewness"] is None
     assert got[1]["e"] == pytest.approx(0) and got[1]["d"] == pytest.approx(1) and got[1]["t"]["line_length"] == 1
     assert got[2]["t"]["mobility"] == pytest.approx(2 * math.sin(math.pi * 10 / fs), rel=0.01)
@@ -135,3 +136,47 @@ def test_stores_and_tables(spark, tmp_path):
     assert samples.count() == 3 and rates.first()["fs"] == 1
     (tmp_path / "d.json").write_text('[{"user": "u1", "diagnosed": " Yes", "age": 30, "gender": 1}]')
     assert recordings.read_demographics(spark, f"{tmp_path}/d.json").first()["diagnosed"] == "yes"
+
+
+def test_grid_search_prefers_what_generalises(spark):
+    from epochlake.operators import protocols
+
+    rng = random.Random(7)
+    rows = [(s, e, s % 2, s // 2 % 3, [(1 if rng.random() < 0.85 else -1) * (3.0 if s % 2 else -3.0) + rng.gauss(0, 0.5), rng.gauss(0, 1)]) for s in range(18) for e in range(10)]
+    df = spark.createDataFrame(rows, "subject int, epoch int, y int, fold int, features array<double>")
+    got = protocols.grid_cross_validated(df, ["subject", "epoch"], "tree", "minInstancesPerNode", [1, 20]).collect()
+    assert len(got) == 180 and len({(r["subject"], r["epoch"]) for r in got}) == 180
+    assert sum(r["y"] == r["yhat"] for r in got) > 140
+
+
+def test_best_of_grid_takes_the_first_of_equals(spark):
+    from epochlake.operators import protocols
+
+    df = spark.createDataFrame([(1, 5, 60.0), (1, 15, 70.0), (1, 35, 70.0), (2, 35, 50.0), (2, 5, 50.0)], "outer int, parameter int, bal double")
+    assert {r["outer"]: r["parameter"] for r in protocols.best_of(df, ["outer"], [5, 15, 35]).collect()} == {1: 15, 2: 5}
+
+
+def test_parts_follow_each_other(spark):
+    df = spark.createDataFrame([(p, v) for p, vs in ((10, [4, 2]), (2, [9, 1, 5]), (1, [7])) for v in vs], "part int, v int")
+    got = [(r["part"], r["v"]) for r in joins.in_parts(df, "part", ["v"]).orderBy("row").collect()]
+    assert got == [(1, 7), (2, 1), (2, 5), (2, 9), (10, 2), (10, 4)]
+
+
+def test_percentiles_with_repeated_values_as_plain_ones(spark):
+    rng = random.Random(9)
+    values = {g: [float(rng.randrange(6)) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 57))}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None)], "g string, v double")
+    for r in statistics.percentiles(df, ["g"], "v", [0, 10, 37.5, 50, 99, 100]).collect():
+        vs = sorted(values[r["g"]])
+        at = min(max(1.0, r["percent"] / 100 * len(vs) + 0.5), len(vs))
+        low = int(at)
+        want = vs[low - 1] + (at - low) * (vs[min(low, len(vs) - 1)] - vs[low - 1])
+        assert abs(r["value"] - want) < 1e-12
+
+
+def test_lookup_and_routes(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 3), ("b", None, 7)], "k string, n int, v int")
+    assert [tuple(r) for r in joins.lookup(df, {"k": "a", "n": 1}, ["v"], ["v"]).collect()] == [(3,)]
+    assert joins.lookup(df, {"k": "b", "n": None}, ["v"], ["v"]).first()["v"] == 7 and joins.lookup(df, {"k": "z"}, ["v"], ["v"]).count() == 0
+    routed = {r["k"]: (r["store"], r["label"]) for r in joins.routed(df, "k", {"a": ("main", 1)}, ("rest", 0)).collect()}
+    assert routed == {"a": ("main", 1), "b": ("rest", 0)}
