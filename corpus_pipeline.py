@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochlake.llm import mixing, near_dup, pieces, pii, quality_rules
-from epochlake.llm.common import shared_dir
+from epochlake.llm.common import shared_dir, sweep
 from epochlake.llm.queries import tokenizer_model
 
 
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last stage makes of documents; the others are written to the shared folder and read again."""
+    """What the last stage makes of documents; the others are written to the shared folder and read again.
+
+    What a stage has put there for itself is removed once its result is written; the stages' results stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     where = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -67,4 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{where}/{k}-{name}")
             docs = spark.read.parquet(f"{where}/{k}-{name}")
+            sweep(spark)
     return docs

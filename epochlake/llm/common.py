@@ -46,10 +46,27 @@ def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Folders that this session has made in the shared folder, for sweep().
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared one."""
+    _scratch.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes the folders that scratch() has named; for when no result that reads them is needed any more."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared folder: for wide rows, which a checkpoint would hold uncompressed."""
     spark = df.sparkSession
-    where = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    where = scratch(spark, "stored")
     df.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(df.schema).parquet(where)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, looked_up, shared_dir
+from .common import cut, looked_up, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
@@ -222,6 +222,6 @@ def read(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> DataFra
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of archives written from pages and read back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write(pages, path, min_bytes)
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
