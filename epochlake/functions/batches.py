@@ -148,6 +148,55 @@ def fuzzy_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, n: int = 2) -> np.n
     return np.where((a > 0) & (b > 0), np.log(a) - np.log(b), np.nan)[:, None]
 
 
+# --- scaling exponents
+
+
+def _slopes(at: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Least-squares slope of each row of y on `at`."""
+    away = at - at.mean()
+    return ((y - y.mean(1, keepdims=True)) @ away / (away @ away))[:, None]
+
+
+def _boxes(x: np.ndarray, n: int) -> np.ndarray:
+    """epochs x boxes x n: consecutive boxes; an incomplete tail is left out."""
+    return x[:, : x.shape[1] // n * n].reshape(len(x), -1, n)
+
+
+def higuchi(x: np.ndarray, kmax: int = 8) -> np.ndarray:
+    """Slope of the log of the mean curve length on that of 1 / k, for steps k of 1 .. kmax."""
+    x, n = z(x), x.shape[1]
+    lengths = []
+    for k in range(1, kmax + 1):
+        walks = [np.abs(np.diff(x[:, m::k], axis=1)) for m in range(k)]
+        lengths.append(np.mean([w.sum(1) * (n - 1) / (w.shape[1] * k) / k for w in walks if w.shape[1]], 0))
+    return _slopes(np.log(1 / np.arange(1, kmax + 1)), np.log(np.stack(lengths, 1)))
+
+
+def dfa(x: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Exponent of detrended fluctuation over boxes of the sizes."""
+    x = z(x)
+    y = np.cumsum(x - x.mean(1, keepdims=True), axis=1)
+    logs = []
+    for n in sizes:
+        t = np.arange(n) - (n - 1) / 2
+        b = _boxes(y, n)
+        b = b - b.mean(2, keepdims=True)
+        rest = b - (b @ t / (t @ t))[..., None] * t
+        logs.append(np.log(np.sqrt((rest**2).mean(2).mean(1))))
+    return _slopes(np.log(sizes), np.stack(logs, 1))
+
+
+def hurst(x: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Rescaled-range exponent over segments of the sizes."""
+    x = z(x)
+    logs = []
+    for n in sizes:
+        b = _boxes(x, n)
+        walk = np.cumsum(b - b.mean(2, keepdims=True), axis=2)
+        logs.append(np.log(((walk.max(2) - walk.min(2)) / np.maximum(b.std(2, ddof=1), EPS)).mean(1)))
+    return _slopes(np.log(sizes), np.stack(logs, 1))
+
+
 # --- phase space
 
 PSR2 = ["cem", "tps", "ica", "ism", "iam", "tms", "pdd", "sdd", "ocm", "rda", "sam", "ots", "oam", "bdi", "ecm"]

@@ -35,7 +35,7 @@ def centroid_models(long: DataFrame, keys: list[str], fold: str = "fold", holdou
     names = ["n1", "n0", "s1", "s0", "q"]
     sums = parts.select(*keys, "feature", *[F.sum(c).over(total).alias(c) for c in names]).distinct()
     own = parts.select(*keys, fold, "feature", *[F.col(c).alias(f"_{c}") for c in names])
-    left = models.join(sums, keys).join(own, [*keys, fold, "feature"], "left") if keys else models.crossJoin(F.broadcast(sums)).join(own, [fold, "feature"], "left")
+    left = models.join(sums, keys).join(own, [*keys, fold, "feature"], "left") if keys else sums.crossJoin(F.broadcast(models)).join(own, [fold, "feature"], "left")  # a row for each fold
     t = {c: F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0.0)) if holdout else F.col(c) for c in names}
     n, s = t["n1"] + t["n0"], t["s1"] + t["s0"]
     variance = (t["q"] - s * s / n) / (n - 1)

@@ -103,7 +103,7 @@ SELECT vec_id, log10(n) / (log10(n) + log10(n / (n + 0.4 * turns))) AS dimension
 )
 family(
     "higuchi_dimension",
-    ft.higuchi,
+    lambda x: F.get(batches.over(batches.higuchi, 1, x), F.lit(0)),
     Z + """, n AS (SELECT vec_id, count(*) AS n FROM z GROUP BY vec_id),
 w AS (SELECT z.vec_id, k, i % k AS m, n, abs(x - lag(x) OVER (PARTITION BY z.vec_id, k, i % k ORDER BY i)) AS step FROM z JOIN n USING (vec_id), range(1, 9) r(k)),
 l AS (SELECT vec_id, k, m, sum(step) * (any_value(n) - 1) / (count(step) * k) / k AS len FROM w GROUP BY vec_id, k, m HAVING count(step) > 0),
@@ -115,7 +115,7 @@ SELECT vec_id, regr_slope(b, a) AS dimension FROM lk GROUP BY vec_id""",
 DFA_SIZES, HURST_SIZES = ft.boxes(4, 16, 6), ft.boxes(8, 32, 6)
 family(
     "dfa_exponent",
-    lambda x: ft.dfa(x, DFA_SIZES),
+    lambda x: F.get(batches.over(lambda v: batches.dfa(v, DFA_SIZES), 1, x), F.lit(0)),
     Z + f""", y AS (SELECT vec_id, i, sum(x - m) OVER (PARTITION BY vec_id ORDER BY i) AS y, n FROM (SELECT *, avg(x) OVER w AS m, count(*) OVER w AS n FROM z WINDOW w AS (PARTITION BY vec_id))),
 b AS (SELECT vec_id, s, i // s AS seg, (i % s + 1)::DOUBLE AS t, y FROM y, (SELECT unnest({DFA_SIZES}) AS s) WHERE i < (n // s) * s),
 f AS (SELECT vec_id, s, seg, regr_slope(y, t) AS k, regr_intercept(y, t) AS c FROM b GROUP BY vec_id, s, seg),
@@ -126,7 +126,7 @@ SELECT vec_id, regr_slope(v, a) AS exponent FROM g GROUP BY vec_id""",
 )
 family(
     "hurst_exponent",
-    lambda x: ft.hurst(x, HURST_SIZES),
+    lambda x: F.get(batches.over(lambda v: batches.hurst(v, HURST_SIZES), 1, x), F.lit(0)),
     Z + f""", b AS (SELECT vec_id, s, i // s AS seg, i, x FROM (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n FROM z), (SELECT unnest({HURST_SIZES}) AS s) WHERE i < (n // s) * s),
 c AS (SELECT *, x - avg(x) OVER (PARTITION BY vec_id, s, seg) AS c FROM b),
 w AS (SELECT *, sum(c) OVER (PARTITION BY vec_id, s, seg ORDER BY i) AS walk FROM c),

@@ -35,6 +35,12 @@ def test_entropies_as_expressions(epochs, fn, expression):
     assert all(same(r["a"][0], r["b"]) for r in got) and sum(r["b"] is not None for r in got) >= 6
 
 
+@pytest.mark.parametrize(("fn", "expression"), [(batches.higuchi, ft.higuchi), (lambda x: batches.dfa(x, [4, 6, 9]), lambda x: ft.dfa(x, [4, 6, 9])), (lambda x: batches.hurst(x, [8, 12, 16]), lambda x: ft.hurst(x, [8, 12, 16]))])
+def test_exponents_as_expressions(epochs, fn, expression):
+    got = epochs.filter("i < 8").select(batches.over(fn, 1, F.col("x")).alias("a"), expression(F.col("x")).alias("b")).collect()
+    assert len(got) == 8 and all(same(r["a"][0], r["b"]) and r["b"] is not None for r in got)
+
+
 def test_incomplete_epochs_have_null_values(epochs):
     got = {r["i"]: r["v"] for r in epochs.select("i", batches.over(lambda x: batches.band_power(x, 128.0), 12, F.col("x")).alias("v")).collect()}
     assert all(got[i] == [None] * 12 for i in (10, 11, 12, 13)) and all(v is not None for v in got[0])
