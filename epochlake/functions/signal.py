@@ -97,33 +97,57 @@ def lempel_ziv(x: np.ndarray, fs: float) -> list[float]:
     return [phrases * np.log2(n) / n]
 
 
-def butterworth_gain(n: int, fs: float, low: float, high: float, order: int) -> np.ndarray:
-    """Magnitude of a band-pass Butterworth response at the frequencies of rfft, twice applied (zero phase)."""
-    f = np.tan(np.pi * np.minimum(np.fft.rfftfreq(n, 1 / fs), fs / 2 * 0.999999) / fs)
-    a, b = np.tan(np.pi * low / fs), np.tan(np.pi * high / fs)
-    with np.errstate(divide="ignore"):
-        q = (f * f - a * b) / (f * (b - a))
-    return 1 / (1 + q ** (2 * order))
-
-
-def notch_gain(n: int, fs: float, at: float, quality: float = 35.0) -> np.ndarray:
-    """Magnitude of a second-order notch at the frequencies of rfft, twice applied."""
-    f = np.tan(np.pi * np.minimum(np.fft.rfftfreq(n, 1 / fs), fs / 2 * 0.999999) / fs)
-    w = np.tan(np.pi * at / fs)
-    d = (f * f - w * w) ** 2
-    return d / (d + (f * w / quality) ** 2 + 1e-300)
+def band_pass(fs: float, low: float, high: float, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(numerator, denominator) of second-order sections of a Butterworth band-pass, by the bilinear transform; order is even."""
+    w1, w2 = (2 * fs * np.tan(np.pi * f / fs) for f in (low, high))
+    prototype = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order)) * (w2 - w1) / 2
+    root = np.sqrt(prototype**2 - w1 * w2)
+    s = np.concatenate([prototype + root, prototype - root])
+    poles = (2 * fs + s) / (2 * fs - s)
+    # all poles are in conjugate pairs, and each pair takes a zero at 0 Hz and one at half the rate
+    sections = [(np.array([1.0, 0.0, -1.0]), np.array([1.0, -2 * p.real, abs(p) ** 2])) for p in poles if p.imag > 0]
+    centre = np.exp(2j * np.arctan(np.sqrt(w1 * w2) / (2 * fs)))
+    gain = np.prod([abs(np.polyval(n, centre) / np.polyval(d, centre)) for n, d in sections]) ** (-1 / len(sections))
+    return [(gain * n, d) for n, d in sections]
+
+
+def notch(fs: float, at: float, quality: float = 35.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One second-order section that removes a frequency, with a band of at / quality."""
+    w = 2 * np.pi * at / fs
+    gain = 1 / (1 + np.tan(w / quality / 2))
+    return [(gain * np.array([1.0, -2 * np.cos(w), 1.0]), np.array([1.0, -2 * gain * np.cos(w), 2 * gain - 1]))]
+
+
+def _once(sections, x: np.ndarray) -> np.ndarray:
+    """Each epoch through the sections, which start as if its first value had always been there."""
+    for n, d in sections:
+        first = x[:, 0]
+        settled = first * n.sum() / d.sum()
+        z2 = n[2] * first - d[2] * settled
+        z1 = n[1] * first - d[1] * settled + z2
+        y = np.empty_like(x)
+        # sample by sample, all epochs at a time
+        for t in range(x.shape[1]):
+            v = x[:, t]
+            y[:, t] = out = n[0] * v + z1
+            z1, z2 = n[1] * v - d[1] * out + z2, n[2] * v - d[2] * out
+        x = y
+    return x
+
+
+def both_ways(sections, x: np.ndarray, pad: int) -> np.ndarray:
+    """Each epoch forward and backward through the sections (no phase), with `pad` samples of odd reflection at both ends."""
+    n = x.shape[1]
+    pad = min(n - 1, pad)
+    y = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1) if pad else x
+    y = _once(sections, _once(sections, y)[:, ::-1])[:, ::-1]
+    return y[:, pad : pad + n]
 
 
 def cleaned(x: np.ndarray, fs: float, low: float = 0.5, high: float = 45.0, order: int = 4, mains: float = 50.0) -> np.ndarray:
-    """Each epoch with mean removed, band-pass and notch without phase, with odd reflection at both ends."""
-    x = x - x.mean(1, keepdims=True)
-    n = x.shape[1]
-    pad = min(n - 1, int(3 * fs))
-    y = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1)
-    gain = butterworth_gain(y.shape[1], fs, low, min(high, 0.49 * fs), order)
-    if mains < fs / 2:
-        gain = gain * notch_gain(y.shape[1], fs, mains)
-    return np.fft.irfft(np.fft.rfft(y) * gain, y.shape[1])[:, pad : pad + n]
+    """Each epoch with mean removed, band-pass and notch without phase."""
+    x = both_ways(band_pass(fs, low, min(high, 0.49 * fs), order), x - x.mean(1, keepdims=True), 6 * order)
+    return both_ways(notch(fs, mains), x, 6) if mains < fs / 2 else x
 
 
 def resampled(x: np.ndarray, fs: float, to: float) -> np.ndarray:

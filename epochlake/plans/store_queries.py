@@ -131,3 +131,9 @@ def mode_audit(spark, sf_dir):
     """For each place of a mode, the share of epochs that don't have it: few modes make short feature rows."""
     m = decompose.modes(store(spark, sf_dir), ["vec_id"])
     return m.groupBy("imf", "mode").agg(F.count("*").alias("n"), F.avg(F.col("x").isNull().cast("double")).alias("missing"))
+
+
+@Q.add("run_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")
+def run_stamps(spark, sf_dir):
+    """Time stamps as the logs write them."""
+    return read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"))

@@ -38,6 +38,48 @@ def test_filter_keeps_band_and_removes_mains():
     assert np.abs(y - keep[256:-256]).max() < 0.05
 
 
+def plain_filter(b, a, x, state):
+    y = []
+    for v in x:
+        y.append(b[0] * v + state[0])
+        state = [b[k + 1] * v - a[k + 1] * y[-1] + (state[k + 1] if k + 2 < len(b) else 0) for k in range(len(b) - 1)]
+    return y
+
+
+def plain_both_ways(b, a, x, pad):
+    """Forward and backward through one filter of any order, from steady states that a linear system gives."""
+    n = len(b) - 1
+    companion = np.zeros((n, n))
+    companion[:, 0] = -np.array(a[1:])
+    companion[:-1, 1:] = np.eye(n - 1)
+    start = np.linalg.solve(np.eye(n) - companion, np.array(b[1:]) - np.array(a[1:]) * b[0])
+    y = [2 * x[0] - v for v in x[pad:0:-1]] + list(x) + [2 * x[-1] - v for v in x[-2 : -pad - 2 : -1]]
+    for _ in range(2):
+        y = plain_filter(b, a, y, list(start * y[0]))[::-1]
+    return y[pad : pad + len(x)]
+
+
+def test_sections_as_one_filter_of_the_whole_order():
+    x = np.random.default_rng(3).normal(size=(2, 200)).cumsum(1)
+    for sections, pad in ((signal.band_pass(128.0, 2.0, 30.0, 4), 24), (signal.notch(128.0, 50.0), 6)):
+        b, a = [1.0], [1.0]
+        for n, d in sections:
+            b, a = np.convolve(b, n), np.convolve(a, d)
+        got = signal.both_ways(sections, x, pad)
+        for i in (0, 1):
+            assert got[i] == pytest.approx(plain_both_ways(b, a, x[i], pad), abs=1e-6)
+
+
+def test_band_pass_response():
+    f = np.array([0.5, 5.0, 45.0, 60.0, 0.05])
+    at = np.exp(2j * np.pi * f / 128)
+    gain = np.abs(np.prod([np.polyval(n, at) / np.polyval(d, at) for n, d in signal.band_pass(128.0, 0.5, 45.0, 4)], 0))
+    assert gain[[0, 2]] == pytest.approx([math.sqrt(0.5)] * 2, rel=1e-6) and gain[1] == pytest.approx(1, abs=1e-3) and (gain[3:] < 0.1).all()
+    (n, d) = signal.notch(128.0, 50.0)[0]
+    edge = np.exp(2j * np.pi * 50 / 128), np.exp(1j)
+    assert abs(np.polyval(n, edge[0]) / np.polyval(d, edge[0])) < 1e-9 and abs(np.polyval(n, edge[1]) / np.polyval(d, edge[1])) > 0.99
+
+
 def test_resampling_keeps_a_sine():
     t = np.arange(512) / 256
     y = signal.resampled(np.sin(2 * np.pi * 8 * t)[None], 256, 128)[0]
