@@ -75,4 +75,6 @@ ORACLE_SQL = {
     "op1_source_mix": sql.MIX,
     "op4_quality_rules": sql.quality(quality_rules.COMMON_WORDS, 0.16, 0.3, 200, 100),
     "op5_top_k": sql.TOP_K,
+    "op3_warc": sql.WARC,
+    "op9_near_duplicates": sql.NEAR_DUPLICATES,
 }

@@ -92,3 +92,32 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+#: SHA-1 in base32: each letter is five bits, which lie in two hexadecimal digits.
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+m AS (SELECT payload, max(page_id) AS latest FROM p GROUP BY payload)
+SELECT page_id, strlen(payload)::BIGINT AS payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((16 * (strpos('0123456789abcdef', hex[5 * i // 4 + 1]) - 1) + strpos('0123456789abcdef', hex[5 * i // 4 + 2]) - 1) >> (3 - 5 * i % 4)) % 32, 1) for i in range(0, 32)], 'string_agg', '') AS payload_digest,
+  CASE WHEN latest IS NULL OR page_id IS NOT DISTINCT FROM latest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM latest THEN latest END AS refers_to
+FROM p JOIN m USING (payload)
+"""
+
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT rid, g FROM (
+    SELECT rid, array_to_string(w[i:i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) WHERE len(w) >= 5
+    UNION ALL SELECT rid, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+links AS (
+  SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY x.rid, y.rid)
+  JOIN n p ON p.rid = a JOIN n q ON q.rid = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reached AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+named AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM reached r JOIN d ON d.rid = r.b GROUP BY r.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept
+FROM d JOIN named USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -97,7 +97,7 @@ def test_queries_equal_their_sql(spark, name):
     if not os.path.isdir(data):
         pytest.skip("no tables")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name])
     names = sorted(d[0] for d in want.description)
