@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, token_counts, topk, url_filter, warc
+from . import mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, token_counts, topk, url_filter, vector_codes, warc
 from .common import table
 
 
@@ -58,12 +58,17 @@ def op9_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op8_pieces": op8_pieces,
     "op10_quality_model": op10_quality_model,
+    "op12_vector_codes": op12_vector_codes,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op3_warc": op3_warc,
@@ -76,5 +81,6 @@ ORACLE_SQL = {
     "op4_quality_rules": sql.quality(quality_rules.COMMON_WORDS, 0.16, 0.3, 200, 100),
     "op5_top_k": sql.TOP_K,
     "op3_warc": sql.WARC,
+    "op12_vector_codes": sql.vector_codes(),
     "op9_near_duplicates": sql.NEAR_DUPLICATES,
 }

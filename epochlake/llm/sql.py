@@ -121,3 +121,35 @@ named AS (SELECT r.a AS rid, min(d.doc_id) AS component_id FROM reached r JOIN d
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept
 FROM d JOIN named USING (rid) LEFT JOIN n USING (rid)
 """
+
+
+def vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Codebooks by rounds of means and the codes under them, for vectors of one length that the parts divide, with an id each."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+d{r} AS MATERIALIZED (
+  SELECT vec_id, x.part, entry, sum((v - c) * (v - c))::BIGINT AS d FROM x JOIN b{r} b ON x.part = b.part AND x.k = b.k GROUP BY ALL),
+a{r} AS MATERIALIZED (SELECT vec_id, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM d{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS MATERIALIZED (
+  SELECT x.part, a.entry, x.k, sum(v)::BIGINT AS s, count(*) AS n FROM x JOIN a{r} a ON x.vec_id = a.vec_id AND x.part = a.part GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.k, coalesce((s - ((s % n) + n) % n) // n, c) AS c FROM b{r} b LEFT JOIN m{r} m ON b.part = m.part AND b.entry = m.entry AND b.k = m.k)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding, len(embedding) // {parts} AS size FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // size AS part, (i - 1) % size AS k, floor({scale} * embedding[i]::DOUBLE)::BIGINT AS v
+  FROM (SELECT vec_id, size, embedding, unnest(generate_series(1, len(embedding))) AS i FROM kept)),
+b0 AS MATERIALIZED (
+  SELECT part, entry, k, v AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}) USING (vec_id)),
+{",".join(steps)},
+coded AS (
+  SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, k)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
