@@ -51,7 +51,7 @@ def narrow(x: np.ndarray) -> np.ndarray:
 def integers(x: np.ndarray, scale: int) -> np.ndarray:
     """floor(scale * x) of doubles; as Python integers where distances might leave 64 bits."""
     largest = float(np.abs(x).max()) if x.size else 0.0
-    if (2.0 * scale * largest + 32) ** 2 * max(1, x.shape[1]) < 2.0**62:
+    if largest < 2.0**31 and (2.0 * scale * largest + 32) ** 2 * max(1, x.shape[1]) < 2.0**62:
         return np.floor(scale * x).astype(np.int64)
     # from 2**53 on a double is whole, and its multiple may be no double
     exact = np.frompyfunc(lambda v: int(v) * scale if abs(v) >= 2.0**53 else math.floor(scale * v), 1, 1)
