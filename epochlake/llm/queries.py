@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, token_counts, topk, url_filter, vector_codes, warc
+from . import alignment, mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, token_counts, topk, url_filter, vector_codes, warc
 from .common import table
 
 
@@ -58,6 +58,13 @@ def op9_near_duplicates(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    import public_tokenizers as tokenizers
+
+    ranks, full = (tokenizers.path(f"byte_bpe_50k.{kind}") for kind in ("tiktoken", "json"))
+    return alignment.align(table(spark, sf_dir, "documents"), ranks, full, tokenizers.PATTERN, tokenizer_model())
+
+
 def op12_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op8_pieces": op8_pieces,
     "op10_quality_model": op10_quality_model,
+    "op11_alignment": op11_alignment,
     "op12_vector_codes": op12_vector_codes,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
