@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, token_counts, topk, url_filter, vector_codes, warc
+from . import alignment, mixing, near_dup, pieces, pii, quality_model, quality_rules, sql, suffix_family, token_counts, topk, url_filter, vector_codes, warc
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op12_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark, sf_dir):
+    return suffix_family.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_token_counts": op2_token_counts,
@@ -77,6 +81,7 @@ QUERIES = {
     "op10_quality_model": op10_quality_model,
     "op11_alignment": op11_alignment,
     "op12_vector_codes": op12_vector_codes,
+    "op13_suffix_dedup": op13_suffix_dedup,
     "op6_pii": op6_pii,
     "op7_url_filter": op7_url_filter,
     "op3_warc": op3_warc,
@@ -90,5 +95,6 @@ ORACLE_SQL = {
     "op5_top_k": sql.TOP_K,
     "op3_warc": sql.WARC,
     "op12_vector_codes": sql.vector_codes(),
+    "op13_suffix_dedup": sql.SUFFIX_DEDUP,
     "op9_near_duplicates": sql.NEAR_DUPLICATES,
 }

@@ -153,3 +153,21 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
        (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, k)) FROM b{rounds}) AS codebooks_sha256
 FROM coded JOIN kept USING (vec_id)
 """
+
+
+SUFFIX_DEDUP = r"""
+WITH t AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, b[p + 1 : p + 50] AS s FROM (SELECT doc_id, b, unnest(range(0, greatest(n - 49, 0))) AS p FROM t)),
+firsts AS MATERIALIZED (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+lost AS (SELECT doc_id, p FROM w JOIN firsts USING (s) WHERE doc_id > first_id),
+marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, true) AS starts FROM lost),
+numbered AS (SELECT doc_id, p, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS z FROM numbered GROUP BY doc_id, run),
+sides AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+pieces AS (
+  SELECT doc_id, string_agg(hex(b[before + 1 : a]), '' ORDER BY a) AS head, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last
+  FROM sides JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN last IS NULL THEN b ELSE unhex(head || hex(b[last + 1 : n])) END) AS kept_sha256
+FROM t LEFT JOIN pieces USING (doc_id)
+"""
