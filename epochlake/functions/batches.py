@@ -3,7 +3,7 @@ decomposition, as numpy over stacks of equally long epochs of an Arrow batch.
 
 A stack is epochs x samples; a function of it returns epochs x values. `over` makes a column function of one:
 an epoch that is null, or holds null or a value that isn't finite, has null values, and so has a value that
-comes out as not finite. The expressions of `features` say the same where there are both; tests hold them together.
+comes out as not finite. Where fn raises, only the epochs that make it raise are null. The expressions of `features` say the same where there are both; tests hold them together.
 """
 
 from __future__ import annotations
@@ -36,17 +36,28 @@ def stacks(values, room=lambda n: n):
             yield np.array([i for i, _ in found[k : k + step]]), np.stack([v for _, v in found[k : k + step]])
 
 
+def evaluated(fn, at: np.ndarray, stack: np.ndarray):
+    """(positions, values) of a stack; where fn raises, of its halves, so that only the epochs that make it raise are left out."""
+    todo = [(at, stack)]
+    while todo:
+        at, stack = todo.pop()
+        try:
+            with np.errstate(all="ignore"):
+                values = np.asarray(fn(stack), float)
+        except (ValueError, FloatingPointError, ZeroDivisionError, np.linalg.LinAlgError):
+            if len(at) > 1:
+                k = len(at) // 2
+                todo += [(at[k:], stack[k:]), (at[:k], stack[:k])]
+            continue
+        yield at, values
+
+
 def over(fn, n: int, x, room=lambda n: n):
     """array<double> column of the n values that fn gives for each epoch of column x; n None: as many as come."""
 
     def run(s: pd.Series) -> pd.Series:
         out = [None if n is None else [None] * n] * len(s)
-        for at, stack in stacks(s, room):
-            try:
-                with np.errstate(all="ignore"):
-                    values = np.asarray(fn(stack), float)
-            except (ValueError, FloatingPointError, ZeroDivisionError, np.linalg.LinAlgError):
-                continue
+        for at, values in (part for at, stack in stacks(s, room) for part in evaluated(fn, at, stack)):
             fine = np.isfinite(values)
             for i, v, f in zip(at, values.tolist(), fine, strict=True):
                 out[i] = v if f.all() else [a if b else None for a, b in zip(v, f, strict=True)]

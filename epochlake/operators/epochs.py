@@ -130,3 +130,12 @@ def channel_blocks(df: DataFrame, keys: list[str], vector: str, channels: list[s
 def names_of(spark, channels: list[str], kinds: list[str]) -> DataFrame:
     """(position, feature): the names of such a vector's values, from 1 on."""
     return spark.createDataFrame([(len(kinds) * i + j + 1, f"{c}_{k}") for i, c in enumerate(channels) for j, k in enumerate(kinds)], "position int, feature string")
+
+
+def named_blocks(channels: DataFrame, order: list[str], kinds: list[str]) -> DataFrame:
+    """(position, feature): names_of() for the channels (channel) of a store, in the given order; channels that aren't in it come last, by name."""
+    names = F.array(*map(F.lit, order))
+    place = F.when(F.array_contains(names, F.col("channel")), F.array_position(names, F.col("channel"))).otherwise(len(order) + 1)
+    each = channels.select("channel", place.alias("_c"), F.posexplode(F.array(*map(F.lit, kinds))).alias("_k", "kind"))
+    at = F.row_number().over(Window.orderBy("_c", "channel", "_k"))
+    return each.select(at.cast("int").alias("position"), F.concat_ws("_", "channel", "kind").alias("feature"))

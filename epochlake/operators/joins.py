@@ -48,6 +48,19 @@ def grid(spark, **axes) -> DataFrame:
     return reduce(lambda a, b: a.crossJoin(b), parts)
 
 
+def tasks(axes: list[DataFrame], repeats: int) -> DataFrame:
+    """(columns of the axes, repeat from 1 on, task): every combination of rows of the axes, numbered in their order.
+
+    An axis is a list of names (cohorts, families), and the number of tasks is what an experiment runs one by one.
+    """
+    from pyspark.sql import Window
+
+    every = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes)
+    names = every.columns
+    many = every.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)).cast("array<bigint>")))
+    return many.withColumn("task", F.row_number().over(Window.orderBy(*names, "repeat")).cast("long"))
+
+
 def lookup(df: DataFrame, keys: dict, columns: list[str], order: list[str]) -> DataFrame:
     """The columns of the first row, in the order, whose keys have the values; no row if none has."""
     for k, v in keys.items():

@@ -105,14 +105,35 @@ def cross_validated(rows: DataFrame, fold: str, keep: list[str], name: str, thre
     return reduce(DataFrame.unionByName, parts)
 
 
-def fourier(rows: DataFrame, n: int, size: int, gamma: float, seed: int = 1) -> DataFrame:
-    """rows with features replaced by `size` random Fourier features of an RBF kernel; fixed by the seed."""
+def nystroem(training: DataFrame, key: list[str], landmarks: int = 64, seed: int = 1):
+    """A function that replaces the features of rows by Nystroem features of an RBF kernel, fitted on a training part.
+
+    Landmarks are that many of the training rows in a seeded order; the kernel's scale is the median distance between
+    them, and the features are the kernel with the landmarks times the inverse root of the landmarks' own, so that products of
+    features are the kernel as far as the landmarks span it. Missing values count as 0. A table of landmarks times features, whatever the rows.
+    """
     import numpy as np
+    import pandas as pd
+
+    from . import folds
+
+    few = training.orderBy(folds.shuffled(seed, *key), *key).select("features").limit(landmarks).collect()
+    marks = np.nan_to_num(np.array([r[0] for r in few], float))
+    far = ((marks[:, None] - marks) ** 2).sum(2)
+    apart = far[np.triu_indices(len(marks), 1)]
+    apart = apart[apart > 0]
+    scale = float(np.median(apart)) if len(apart) else 1.0
+    values, vectors = np.linalg.eigh(np.exp(-far / scale))
+    kept = values > 1e-9 * values.max()
+    root = vectors[:, kept] / np.sqrt(values[kept])
 
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (size, n)), rng.uniform(0, 2 * np.pi, size)
-    dot = lambda ws: F.aggregate(F.zip_with("features", F.array(*[F.lit(float(v)) for v in ws]), lambda x, v: F.coalesce(x, F.lit(0.0)) * v), F.lit(0.0), lambda s, v: s + v)
-    return rows.withColumn("features", F.array(*[F.cos(dot(w[i]) + float(b[i])) * float(np.sqrt(2 / size)) for i in range(size)]))
+    def run(s: pd.Series) -> pd.Series:
+        x = np.nan_to_num(np.array(s.tolist(), float)).reshape(len(s), -1)
+        d = np.maximum((x * x).sum(1)[:, None] + (marks * marks).sum(1) - 2 * x @ marks.T, 0)
+        return pd.Series(list(np.exp(-d / scale) @ root), dtype=object)
+
+    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return lambda rows: rows.withColumn("features", F.pandas_udf(run, "array<double>")("features"))
 
 
 def neighbours(train: DataFrame, test: DataFrame, row: list[str], k: int, order: list[str] | None = None, within: tuple[str, ...] | list[str] = (), block_rows: int = 4096) -> DataFrame:
@@ -172,9 +193,18 @@ def neighbours(train: DataFrame, test: DataFrame, row: list[str], k: int, order:
     return met.withColumn("_n", F.row_number().over(ordered)).filter(F.col("_n") <= k).select(*within, *row, "_n", "_d", "_y")
 
 
+def uniform_prior(near: DataFrame, train: DataFrame, within: list[str]) -> DataFrame:
+    """near with _p, by which a neighbour's vote counts so that both classes have the same weight in training: one over its class's rows."""
+    # a row for each class and part
+    counts = train.groupBy(*within, F.col("y").cast("double").alias("_y")).agg((1 / F.count("*")).alias("_p"))
+    return near.join(F.broadcast(counts), [*within, "_y"])
+
+
 def voted(near: DataFrame, keys: list[str], ks: list[int], weighted: bool) -> DataFrame:
-    """(keys, k, yhat, score): for each k, the share of class 1 among the first k neighbours, by inverse distance if weighted."""
+    """(keys, k, yhat, score): for each k, the share of class 1 among the first k neighbours, by inverse distance if weighted, and by the weights _p if there are any."""
     weight = 1 / F.greatest(F.sqrt("_d"), F.lit(1e-12)) if weighted else F.lit(1.0)
+    if "_p" in near.columns:
+        weight = weight * F.col("_p")
     share = lambda k: F.sum(F.when(F.col("_n") <= k, weight * F.col("_y"))) / F.sum(F.when(F.col("_n") <= k, weight))
     scores = near.groupBy(*keys).agg(F.array(*[F.struct(F.lit(k).alias("k"), share(k).alias("score")) for k in ks]).alias("_v"))
     return scores.select(*keys, F.explode("_v").alias("_v")).select(*keys, "_v.k", (F.col("_v.score") > 0.5).cast("int").alias("yhat"), "_v.score")

@@ -93,38 +93,52 @@ def knn_grid(rows: DataFrame, grid: list[int], inner: int = 3, seed: int = 11, w
     """(subject, epoch, y, fold, k, yhat, score): nearest neighbours with the k of the grid that inner folds choose for each fold.
 
     rows: (subject, epoch, y, fold, outer, features), each row once for each outer fold, scaled by what is outside it.
-    The neighbours for the largest k are found once and serve the whole grid.
+    The neighbours for the largest k are found once and serve the whole grid. Both classes have the same prior.
     """
     dealt = inner_folds(rows.select("subject", "y", "fold"), inner, seed)
     part = held(rows.filter(F.col("fold") != F.col("outer")).join(dealt, ["outer", "subject"]))
     other = part.select(F.col("inner").alias("_i")).distinct()
     train = part.join(F.broadcast(other), F.col("inner") != F.col("_i")).drop("inner").withColumnRenamed("_i", "inner")
     row = ["subject", "epoch", "y"]
-    near = learn.neighbours(train, part, row, max(grid), ["subject", "epoch"], ["outer", "inner"])
+    near = learn.uniform_prior(learn.neighbours(train, part, row, max(grid), ["subject", "epoch"], ["outer", "inner"]), train, ["outer", "inner"])
     tried = learn.voted(near, ["outer", "inner", *row], grid, weighted)
     chosen = best_of(metrics.confusion(tried.withColumnRenamed("k", "parameter"), ["outer", "parameter"]), ["outer"], grid).withColumnRenamed("parameter", "k")
-    final = learn.neighbours(rows.filter(F.col("fold") != F.col("outer")), rows.filter(F.col("fold") == F.col("outer")), row, max(grid), ["subject", "epoch"], ["outer"])
+    outside = rows.filter(F.col("fold") != F.col("outer"))
+    final = learn.uniform_prior(learn.neighbours(outside, rows.filter(F.col("fold") == F.col("outer")), row, max(grid), ["subject", "epoch"], ["outer"]), outside, ["outer"])
     return learn.voted(final, ["outer", *row], grid, weighted).join(F.broadcast(chosen), ["outer", "k"]).withColumnRenamed("outer", "fold")
 
 
-def grid_cross_validated(rows: DataFrame, keep: list[str], name: str, parameter: str, grid: list, inner: int = 3, most: int = 6000, seed: int = 11, threads: int = 4, **params) -> DataFrame:
+def grid_cross_validated(rows: DataFrame, keep: list[str], name: str, parameter: str, grid: list, inner: int = 3, most: int = 6000, seed: int = 11, threads: int = 4, prepare=None, setting=None, **params) -> DataFrame:
     """(keep, y, fold, yhat, score): MLlib learner `name`, with the value of the grid that inner folds of whole subjects choose.
 
-    The inner search sees at most `most` rows of a training part, each class in proportion; the fit sees all of them.
-    rows: (keep with subject, y, fold, features). Fits are independent jobs, `threads` of them at a time.
+    rows: (keep with subject, y, fold, outer, features), each row once for each outer fold, prepared by what is outside that fold
+    alone: the model of a fold and its test rows have one scale, in which the fold's rows had no part. `prepare`, given the training
+    part, returns a function of rows (a feature map); `setting`, given a value of the grid and the number of training rows, the
+    parameter. The inner search sees at most `most` rows of a training part, each class in proportion; the fit sees all of them.
+    Fits are independent jobs, `threads` of them at a time.
     """
     rows = held(rows)
-    dealt = held(inner_folds(rows, inner, seed))
-    outer = [r[0] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # a few folds
-
-    def chosen(o):
-        training = rows.filter(F.col("fold") != o)
-        few = folds.stratified_sample(training, keep, "y", most, seed).drop("fold").join(dealt.filter(F.col("outer") == o), "subject")
-        few = held(few.withColumnRenamed("inner", "fold"))
-        every = reduce(DataFrame.unionByName, [learn.cross_validated(few, "fold", keep, name, 1, **params, **{parameter: v}).withColumn("parameter", F.lit(v)) for v in grid])
-        return best_of(metrics.confusion(every, ["parameter"]).withColumn("fold", F.lit(o)), ["fold"], grid).first()["parameter"]
+    dealt = held(inner_folds(rows.select("subject", "y", "fold"), inner, seed))
+    outer = [r[0] for r in rows.select("outer").distinct().orderBy("outer").collect()]  # a few folds
+
+    def predicted(o):
+        own = rows.filter(F.col("outer") == o).drop("outer")
+        training = own.filter(F.col("fold") != o)
+        if prepare:
+            own = held(prepare(training)(own))
+            training = own.filter(F.col("fold") != o)
+
+        def values(part):
+            return [setting(v, part) if setting else v for v in grid]
+
+        best = 0
+        if len(grid) > 1:
+            few = folds.stratified_sample(training, keep, "y", most, seed).drop("fold").join(dealt.filter(F.col("outer") == o), "subject")
+            few = held(few.withColumnRenamed("inner", "fold"))
+            n = few.count() * (inner - 1) / inner
+            every = reduce(DataFrame.unionByName, [learn.cross_validated(few, "fold", keep, name, 1, **params, **{parameter: v}).withColumn("parameter", F.lit(k)) for k, v in enumerate(values(n))])
+            best = best_of(metrics.confusion(every, ["parameter"]).withColumn("fold", F.lit(o)), ["fold"], list(range(len(grid)))).first()["parameter"]
+        return learn.fold_predictions(own, "fold", o, keep, name, **params, **{parameter: values(training.count())[best]})
 
     with ThreadPool(threads) as pool:
-        best = dict(zip(outer, pool.map(chosen, outer), strict=True))
-        done = pool.map(lambda o: learn.fold_predictions(rows, "fold", o, keep, name, **params, **{parameter: best[o]}), outer)
-    return reduce(DataFrame.unionByName, done)
+        return reduce(DataFrame.unionByName, pool.map(predicted, outer))

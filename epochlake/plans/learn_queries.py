@@ -157,13 +157,6 @@ def tree_grouped_cv(spark, sf_dir):
     return scored(p.withColumn("model", F.lit("tree")), ["model"])
 
 
-@Q.add("kernel_svm_grouped_cv")
-def kernel_svm_grouped_cv(spark, sf_dir):
-    rows = learn.fourier(_rows(spark, sf_dir), 3, 32, 0.001)
-    p = learn.cross_validated(rows, "fold", ["subject", "epoch"], "svm", maxIter=10)
-    return scored(p.withColumn("model", F.lit("svm")), ["model"])
-
-
 @Q.add(
     "nearest_neighbours",
     """WITH v AS (SELECT vec_id, (label % 2)::INT AS y, [x::DOUBLE for x in embedding] AS f FROM embeddings),

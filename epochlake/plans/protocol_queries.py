@@ -171,7 +171,7 @@ def _folded(spark, sf_dir):
 
 KNN_GRID = [5, 15, 35]
 _INV = "1 / greatest(sqrt(d), 1e-12)"
-_SHARE = "(sum({w} * y) FILTER (WHERE n <= k) / sum({w}) FILTER (WHERE n <= k))".format(w=_INV)
+_SHARE = "(sum({w} * y / nc) FILTER (WHERE n <= k) / sum({w} / nc) FILTER (WHERE n <= k))".format(w=_INV)
 
 
 @Q.add(
@@ -180,22 +180,22 @@ _SHARE = "(sum({w} * y) FILTER (WHERE n <= k) / sum({w}) FILTER (WHERE n <= k))"
 z AS (SELECT outer_, subject, epoch, y, fold, list((value - mean) / sd ORDER BY feature) AS f FROM long JOIN st USING (feature) WHERE protocol = 'P3' GROUP BY outer_, subject, epoch, y, fold),
 inn AS (SELECT outer_, subject, (row_number() OVER (PARTITION BY outer_, y ORDER BY md5(concat('11:', subject)), subject) - 1) % 3 + 1 AS inner_ FROM (SELECT DISTINCT k.fold AS outer_, subject, y FROM gf JOIN subs USING (subject) JOIN (SELECT DISTINCT fold FROM gf) k ON k.fold <> gf.fold)),
 tr AS (SELECT z.*, inner_ FROM z JOIN inn USING (outer_, subject)),
-d1 AS (SELECT a.outer_, a.subject, a.epoch, a.y AS truth, b.y, list_sum([pow(a.f[i] - b.f[i], 2) for i in range(1, 4)]) AS d, row_number() OVER (PARTITION BY a.outer_, a.subject, a.epoch ORDER BY list_sum([pow(a.f[i] - b.f[i], 2) for i in range(1, 4)]), b.subject, b.epoch) AS n FROM tr a JOIN tr b ON a.outer_ = b.outer_ AND a.inner_ <> b.inner_),
-v1 AS (SELECT outer_, k, subject, epoch, truth, ({_SHARE} > 0.5)::INT AS yhat FROM d1, (SELECT unnest({KNN_GRID}) AS k) WHERE n <= 35 GROUP BY outer_, k, subject, epoch, truth),
+c1 AS (SELECT k.outer_, k.inner_, t.y, count(*) AS nc FROM (SELECT DISTINCT outer_, inner_ FROM tr) k JOIN tr t ON t.outer_ = k.outer_ AND t.inner_ <> k.inner_ GROUP BY k.outer_, k.inner_, t.y),
+c2 AS (SELECT outer_, y, count(*) AS nc FROM z WHERE fold <> outer_ GROUP BY outer_, y),
+d1 AS (SELECT a.outer_, a.inner_, a.subject, a.epoch, a.y AS truth, b.y, list_sum([pow(a.f[i] - b.f[i], 2) for i in range(1, 4)]) AS d, row_number() OVER (PARTITION BY a.outer_, a.subject, a.epoch ORDER BY list_sum([pow(a.f[i] - b.f[i], 2) for i in range(1, 4)]), b.subject, b.epoch) AS n FROM tr a JOIN tr b ON a.outer_ = b.outer_ AND a.inner_ <> b.inner_),
+v1 AS (SELECT outer_, k, subject, epoch, truth, ({_SHARE} > 0.5)::INT AS yhat FROM d1 JOIN c1 USING (outer_, inner_, y), (SELECT unnest({KNN_GRID}) AS k) WHERE n <= 35 GROUP BY outer_, k, subject, epoch, truth),
 bal AS (SELECT outer_, k, 50 * (avg(yhat) FILTER (WHERE truth = 1) + avg(1 - yhat) FILTER (WHERE truth = 0)) AS bal FROM v1 GROUP BY outer_, k),
 best AS (SELECT outer_, arg_min(k, (-round(bal, 9), k)) AS k FROM bal GROUP BY outer_),
 d2 AS (SELECT a.outer_, a.subject, a.epoch, a.y AS truth, b.y, list_sum([pow(a.f[i] - b.f[i], 2) for i in range(1, 4)]) AS d, row_number() OVER (PARTITION BY a.outer_, a.subject, a.epoch ORDER BY list_sum([pow(a.f[i] - b.f[i], 2) for i in range(1, 4)]), b.subject, b.epoch) AS n FROM z a JOIN z b ON a.outer_ = b.outer_ AND a.fold = a.outer_ AND b.fold <> b.outer_)
-SELECT subject, epoch, truth AS y, outer_::INT AS fold, k::INT AS k, ({_SHARE} > 0.5)::INT AS yhat, round({_SHARE}, 6) AS score FROM d2 JOIN best USING (outer_) WHERE n <= 35 GROUP BY outer_, k, subject, epoch, truth""",
+SELECT subject, epoch, truth AS y, outer_::INT AS fold, k::INT AS k, ({_SHARE} > 0.5)::INT AS yhat, round({_SHARE}, 6) AS score FROM d2 JOIN best USING (outer_) JOIN c2 USING (outer_, y) WHERE n <= 35 GROUP BY outer_, k, subject, epoch, truth""",
 )
 def knn_grid_cv(spark, sf_dir):
-    """Nearest neighbours by inverse distance, with a k for each fold that inner folds of whole subjects choose."""
+    """Nearest neighbours by inverse distance, both classes with the same prior, with a k for each fold that inner folds of whole subjects choose."""
     return protocols.knn_grid(held(_folded(spark, sf_dir)), KNN_GRID)
 
 
-def _grid(spark, sf_dir, name, parameter, grid, rows=None, **params):
-    if rows is None:
-        rows = _folded(spark, sf_dir).filter("fold = outer").drop("outer")
-    p = protocols.grid_cross_validated(rows, ["subject", "epoch"], name, parameter, grid, **params)
+def _grid(spark, sf_dir, name, parameter, grid, **params):
+    p = protocols.grid_cross_validated(_folded(spark, sf_dir), ["subject", "epoch"], name, parameter, grid, **params)
     return scored(held(p.withColumn("model", F.lit(name))), ["model"])
 
 
@@ -209,12 +209,20 @@ def forest_grid_cv(spark, sf_dir):
     return _grid(spark, sf_dir, "forest", "minInstancesPerNode", [1, 5], numTrees=100)
 
 
+#: A box constraint C over n rows is a regularisation of 1 / (C n).
+BOX = {"prepare": lambda training: learn.nystroem(training, ["subject", "epoch"]), "setting": lambda c, n: 1 / (c * max(1, n)), "maxIter": 10}
+
+
 @Q.add("kernel_svm_grid_cv")
 def kernel_svm_grid_cv(spark, sf_dir):
-    """Random Fourier features and a linear machine; its regularisation stands for the reciprocal of the box constraint times the rows."""
-    rows = _folded(spark, sf_dir).filter("fold = outer").drop("outer")
-    n = rows.count()
-    return _grid(spark, sf_dir, "svm", "regParam", [1 / (c * n) for c in (0.1, 1.0, 10.0)], rows=learn.fourier(rows, 3, 32, 1 / 3), maxIter=10)
+    """A linear machine on Nystroem features of an RBF kernel, whose landmarks and scale are the training part's; the box constraint is chosen."""
+    return _grid(spark, sf_dir, "svm", "regParam", [0.1, 1.0, 10.0], **BOX)
+
+
+@Q.add("kernel_svm_grouped_cv")
+def kernel_svm_grouped_cv(spark, sf_dir):
+    """The same with a box constraint of 1."""
+    return _grid(spark, sf_dir, "svm", "regParam", [1.0], **BOX)
 
 
 # --- stores and subjects on the way there

@@ -213,10 +213,10 @@ Q.also("bh_select_all", "bh_select")
 
 _ANOVA = """g AS (SELECT c_nationkey % 5 AS region, c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS m, coalesce(var_samp(c_acctbal), 0) AS v FROM customer GROUP BY 1, 2),
 s AS (SELECT region, count(*) AS k, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS q, sum((n - 1) * v) AS w FROM g GROUP BY region)
-SELECT region, k, n::BIGINT AS n, round((q - s * s / n) / (k - 1) / (w / (n - k)), 6) AS f FROM s"""
+SELECT region, k, n::BIGINT AS n, (q - s * s / n) / (k - 1) / (w / (n - k)) AS f FROM s"""
 
 
-@Q.add("anova_f", f"WITH {_ANOVA}")
+@Q.add("anova_f", f"WITH a AS (WITH {_ANOVA}) SELECT region, k, n, round(f, 6) AS f FROM a")
 def anova_f(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).alias("region"), "c_mktsegment", "c_acctbal")
     return statistics.anova(c, ["region"], "c_mktsegment", "c_acctbal").select("region", "k", "n", "f")
@@ -227,7 +227,7 @@ _F_ANGLE = "acos(sqrt((n - k) / ((n - k) + (k - 1) * f)))"
 
 @Q.add(
     "anova_p",
-    f"""WITH a AS (WITH {_ANOVA}) SELECT region, any_value(k) AS k, any_value(n) AS n, any_value(f) AS f,
+    f"""WITH a AS (WITH {_ANOVA}) SELECT region, any_value(k) AS k, any_value(n) AS n, round(any_value(f), 6) AS f,
   round(2 * exp(lgamma(any_value(n - 1) / 2.0) - lgamma(any_value(n - k) / 2.0) - lgamma(any_value(k - 1) / 2.0)) * (pi() / 2 - any_value({_F_ANGLE})) / 6000
   * sum({_SIMPSON} * pow(greatest(cos({_F_ANGLE} + (pi() / 2 - {_F_ANGLE}) * i / 2000), 0), n - k - 1) * pow(sin({_F_ANGLE} + (pi() / 2 - {_F_ANGLE}) * i / 2000), k - 2)), 6) AS p FROM a, range(0, 2001) r(i) GROUP BY region""",
 )
@@ -443,9 +443,12 @@ def transfer_pairs(spark, sf_dir):
     return a.join(b, F.col("a") != F.col("b")).select("train", "test")
 
 
-@Q.add("task_grid", "SELECT c AS cohort, f AS family, r::BIGINT AS repeat FROM (SELECT unnest(['D1', 'D2']) AS c), (SELECT unnest(['td', 'bp', 'psr']) AS f), range(1, 4) t(r)")
+@Q.add("task_grid", "WITH c AS (SELECT DISTINCT c_mktsegment AS cohort FROM customer), f AS (SELECT DISTINCT event_type AS family FROM events) SELECT cohort, family, r::BIGINT AS repeat, (row_number() OVER (ORDER BY cohort, family, r))::BIGINT AS task FROM c, f, range(1, 4) t(r)")
 def task_grid(spark, sf_dir):
-    return joins.grid(spark, cohort=["D1", "D2"], family=["td", "bp", "psr"], repeat=[1, 2, 3])
+    """Every cohort and family that the tables hold, three times each: the numbered tasks of an experiment."""
+    cohorts = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("cohort")).distinct()
+    families = read(spark, sf_dir, "events").select(F.col("event_type").alias("family")).distinct()
+    return joins.tasks([cohorts, families], 3)
 
 
 @Q.add("one_hot_code", "SELECT o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END)::INT AS code, o_custkey + CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN 100000 ELSE 200000 END AS global_id FROM orders")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epochlake.functions import decompose, features as ft
+from epochlake.functions import batches, decompose, features as ft
 from epochlake.operators import epochs, joins
 
 from .common import CH, CHANNELS, EP, R, Queries, channel_epochs, event_epochs, read, recordings
 from .epoch_queries import MAD, PTP
-from .feature_queries import store
+from .feature_queries import BAND_SQL, FS, WINDOW, E, store
 
 Q = Queries()
 
@@ -87,34 +87,39 @@ def multi_part_rows(spark, sf_dir):
     return joins.in_parts(o, "part", ["o_orderkey"]).select("o_orderkey", "row")
 
 
-_BLOCKS = f"{CH}, b AS (SELECT vec_id, channel, unnest(['d1', 'd2', 'd3', 'd4']) AS band, unnest(x[1:4]) AS value FROM ch)"
+_KINDS = ["delta", "theta", "alpha", "beta"]
+#: epochs of single channels under the name that the statement of band powers takes
+_CH_EPOCHS = f"WITH {CH}, e AS (SELECT vec_id * 4 + list_position(['Fz', 'Cz', 'Pz', 'Oz'], channel) - 1 AS vec_id, unnest(x) AS x, unnest(range(0, len(x))) AS i FROM ch)"
+_SHORT = WINDOW.replace("63", "15").replace("64", "16")
+_BLOCKS = f"p AS ({BAND_SQL.replace(E, _CH_EPOCHS).replace(WINDOW, _SHORT)}), b AS (SELECT vec_id // 4 AS vec_id, ['Fz', 'Cz', 'Pz', 'Oz'][vec_id % 4 + 1] AS channel, unnest({_KINDS}) AS band, unnest([{', '.join(_KINDS)}]) AS value FROM p)"
 
 
 @Q.add("block_pick", f"WITH {_BLOCKS} SELECT vec_id, concat(channel, '_', band) AS feature, round(value, 6) AS value FROM b WHERE channel IN ('Cz', 'Pz')")
 def block_pick(spark, sf_dir):
     """The blocks of two channels from a vector with four values a channel, by position."""
-    blocks = epochs.channel_blocks(_vector(spark, sf_dir), ["vec_id"], "v", CHANNELS, ["d1", "d2", "d3", "d4"])
+    blocks = epochs.channel_blocks(_vector(spark, sf_dir), ["vec_id"], "v", CHANNELS, _KINDS)
     return blocks.filter(F.col("channel").isin("Cz", "Pz")).select("vec_id", "feature", "value")
 
 
 def _vector(spark, sf_dir):
-    """(vec_id, v): four values of each channel in one array."""
-    e = channel_epochs(spark, sf_dir).select("vec_id", F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("channel")).alias("at"), F.slice("x", 1, 4).alias("x"))
+    """(vec_id, v): the relative band powers of each channel's whole epoch, in one array."""
+    power = F.slice(batches.over(lambda x: batches.band_power(x, FS), len(batches.BAND_COLUMNS), F.col("x")), 1, len(_KINDS))
+    e = channel_epochs(spark, sf_dir).select("vec_id", F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("channel")).alias("at"), power.alias("x"))
     return e.groupBy("vec_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"])).alias("v"))
 
 
-@Q.add("feature_concat", f"WITH {_BLOCKS}, l AS (SELECT vec_id, channel, ln(list_var_samp(x) + 2.220446049250313e-16) AS value FROM ch) SELECT vec_id, concat(channel, '_', band) AS feature, round(value, 6) AS value FROM b UNION ALL SELECT vec_id, concat(channel, '_logvar'), round(value, 6) FROM l")
+@Q.add("feature_concat", f"WITH {CH}, {_BLOCKS}, l AS (SELECT vec_id, channel, ln(list_var_samp(x) + 2.220446049250313e-16) AS value FROM ch) SELECT vec_id, concat(channel, '_', band) AS feature, round(value, 6) AS value FROM b UNION ALL SELECT vec_id, concat(channel, '_logvar'), round(value, 6) FROM l")
 def feature_concat(spark, sf_dir):
     """Two families of one store side by side: their named values under each other."""
-    blocks = epochs.channel_blocks(_vector(spark, sf_dir), ["vec_id"], "v", CHANNELS, ["d1", "d2", "d3", "d4"]).drop("channel")
+    blocks = epochs.channel_blocks(_vector(spark, sf_dir), ["vec_id"], "v", CHANNELS, _KINDS).drop("channel")
     logvar = channel_epochs(spark, sf_dir).select("vec_id", F.concat("channel", F.lit("_logvar")).alias("feature"), ft.log_variance(F.col("x")).alias("value"))
     return blocks.unionByName(logvar)
 
 
-@Q.add("feature_names", "SELECT (row_number() OVER (ORDER BY c, b))::INT AS position, concat(['Fz', 'Cz', 'Pz', 'Oz'][c], '_', ['delta', 'theta', 'alpha', 'beta', 'ratio'][b]) AS feature FROM range(1, 5) x(c), range(1, 6) y(b)")
+@Q.add("feature_names", f"WITH {CH}, n AS (SELECT DISTINCT concat(channel, '_', unnest({_KINDS})) AS feature FROM ch) SELECT (row_number() OVER (ORDER BY list_position(['Fz', 'Cz', 'Pz', 'Oz'], feature[1:2]), list_position({_KINDS}, feature[4:])))::INT AS position, feature FROM n")
 def feature_names(spark, sf_dir):
-    """Names of a vector's values: channel and kind, in the order of the blocks."""
-    return epochs.names_of(spark, CHANNELS, ["delta", "theta", "alpha", "beta", "ratio"])
+    """Names of the values of a vector, channel and kind, in the order of its blocks, for the channels that the store holds."""
+    return epochs.named_blocks(channel_epochs(spark, sf_dir).select("channel").distinct(), CHANNELS, _KINDS)
 
 
 @Q.add("amplitude_direction", f"WITH {CH}, c AS (SELECT subject, y, vec_id, avg(ln(list_var_samp(x) + 2.220446049250313e-16)) AS v FROM ch WHERE subject % 3 <> 0 GROUP BY subject, y, vec_id), s AS (SELECT subject, y, avg(v) AS v FROM c GROUP BY subject, y) SELECT y, count(*) AS n, round(avg(v), 6) AS level, round(stddev_samp(v), 6) AS level_sd FROM s GROUP BY y")

@@ -31,7 +31,8 @@ def plain(v):
     if isinstance(v, bool) or type(v).__name__ == "bool_":
         return bool(v)
     if isinstance(v, float):
-        return round(v, 5) + 0.0
+        # queries and statements round to the same digits
+        return round(v, 12) + 0.0
     return v
 
 
