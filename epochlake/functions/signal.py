@@ -135,13 +135,60 @@ def _once(sections, x: np.ndarray) -> np.ndarray:
     return x
 
 
-def both_ways(sections, x: np.ndarray, pad: int) -> np.ndarray:
-    """Each epoch forward and backward through the sections (no phase), with `pad` samples of odd reflection at both ends."""
+def both_ways(sections, x: np.ndarray, pad: int, start: bool = True, end: bool = True) -> np.ndarray:
+    """Each epoch forward and backward through the sections (no phase), with `pad` samples of odd reflection at both ends.
+
+    A part of a longer recording has no reflection at a side where the recording goes on; what is within settling() of that side is
+    not what the whole recording has there.
+    """
     n = x.shape[1]
-    pad = min(n - 1, pad)
-    y = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], 1) if pad else x
+    pad = max(0, min(n - 1, pad))
+    parts = [2 * x[:, :1] - x[:, pad:0:-1]] * (start and pad > 0), [x], [2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]] * (end and pad > 0)
+    y = np.concatenate([p for some in parts for p in some], 1)
     y = _once(sections, _once(sections, y)[:, ::-1])[:, ::-1]
-    return y[:, pad : pad + n]
+    return y[:, pad * start : pad * start + n]
+
+
+def settling(sections, tolerance: float = 1e-12) -> int:
+    """Samples after which the sections have forgotten their initial state but for that share."""
+    slowest = max(abs(r) for _, d in sections for r in np.roots(d))
+    # neighbouring poles decay a little slower than each of them
+    return int(np.ceil(1.25 * np.log(tolerance) / np.log(slowest)))
+
+
+def rational(ratio: float, most: int = 1000) -> tuple[int, int]:
+    """A ratio of rates as p / q in lowest terms."""
+    from fractions import Fraction
+
+    found = Fraction(ratio).limit_denominator(most)
+    return found.numerator, found.denominator
+
+
+def resampling_filter(p: int, q: int, half: int = 10, beta: float = 5.0) -> np.ndarray:
+    """Taps of the low-pass for resampling by p / q: a sinc of 2 * half * max(p, q) + 1 taps that is cut off at the lower half rate, under a Kaiser window."""
+    most = max(p, q)
+    at = np.arange(-half * most, half * most + 1)
+    return p / most * np.sinc(at / most) * np.kaiser(len(at), beta)
+
+
+def polyphase(x: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Each epoch at p / q of its rate, ceil(n p / q) samples: zeros go on beyond its ends. Every phase of the filter is one matrix product."""
+    if p == q == 1:
+        return x
+    h = resampling_filter(p, q)
+    middle, n = len(h) // 2, x.shape[1]
+    n_out = -(-n * p // q)
+    taps = -(-len(h) // p)
+    padded = np.pad(x, ((0, 0), (taps, taps + middle // p + 1)))
+    view = np.lib.stride_tricks.sliding_window_view(padded, taps, axis=1)
+    y = np.zeros((len(x), n_out))
+    for r in range(min(p, n_out)):
+        last, first = divmod(r * q + middle, p)
+        own = np.pad(h[first::p], (0, taps - len(h[first::p])))
+        count = -(-(n_out - r) // p)
+        # windows end at sample last + q t, and the newest sample meets the first tap
+        y[:, r::p] = view[:, last + 1 :: q][:, :count] @ own[::-1]
+    return y
 
 
 def cleaned(x: np.ndarray, fs: float, low: float = 0.5, high: float = 45.0, order: int = 4, mains: float = 50.0) -> np.ndarray:
@@ -151,13 +198,42 @@ def cleaned(x: np.ndarray, fs: float, low: float = 0.5, high: float = 45.0, orde
 
 
 def resampled(x: np.ndarray, fs: float, to: float) -> np.ndarray:
-    """Each epoch at another rate, band-limited below both half rates."""
-    n = int(np.ceil(x.shape[1] * to / fs))
-    spectrum = np.fft.rfft(x)
-    keep = min(spectrum.shape[1], n // 2 + 1)
-    out = np.zeros((len(x), n // 2 + 1), complex)
-    out[:, :keep] = spectrum[:, :keep]
-    return np.fft.irfft(out, n) * n / x.shape[1]
+    """Each epoch at another rate, by a polyphase low-pass."""
+    return polyphase(x, *rational(to / fs))
+
+
+class Chain:
+    """Resampling, band-pass and notch for parts of recordings.
+
+    `halo` input samples on each side of a part (a multiple of q) are enough for the middle to be what the whole recording gives.
+    """
+
+    def __init__(self, fs: float, to: float, low: float = 0.5, high: float = 45.0, order: int = 4, mains: float = 50.0, tolerance: float = 1e-12):
+        self.p, self.q = rational(to / fs)
+        self.steps = [(band_pass(to, low, min(high, 0.49 * to), order), 6 * order)]
+        if mains < to / 2:
+            self.steps.append((notch(to, mains), 6))
+        self.lost = [settling(s, tolerance) + pad for s, pad in self.steps]
+        #: output samples near an open side that resampling gets wrong
+        self.blurred = 0 if self.p == self.q else -(-10 * max(self.p, self.q) // self.q) + 1
+        out = sum(self.lost) + self.blurred
+        self.halo = (-(-(out * self.q) // self.p) // self.q + 1) * self.q
+
+    def run(self, x: np.ndarray, start: bool, end: bool) -> tuple[np.ndarray, int]:
+        """(values, how many are cut off on the left) of a stack of parts, which are the recording's start or end or have more beyond it."""
+        y, gone = polyphase(x, self.p, self.q), 0
+
+        def trimmed(y, n):
+            return y[:, 0 if start else n : y.shape[1] if end else max(0, y.shape[1] - n)]
+
+        y = trimmed(y, self.blurred)
+        gone += 0 if start else self.blurred
+        for (sections, pad), n in zip(self.steps, self.lost, strict=True):
+            if not y.shape[1]:
+                break
+            y = trimmed(both_ways(sections, y, pad, start, end), n)
+            gone += 0 if start else n
+        return y, gone
 
 
 register_family("welch_bands", ["delta", "theta", "alpha", "beta", "theta_beta"], welch_bands)
