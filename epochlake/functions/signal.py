@@ -198,20 +198,26 @@ def cleaned(x: np.ndarray, fs: float, low: float = 0.5, high: float = 45.0, orde
 
 
 def resampled(x: np.ndarray, fs: float, to: float) -> np.ndarray:
-    """Each epoch at another rate, by a polyphase low-pass."""
-    return polyphase(x, *rational(to / fs))
+    """Each epoch at another rate, band-limited below both half rates; for single epochs, whose ends polyphase() would blur."""
+    n = int(np.ceil(x.shape[1] * to / fs))
+    spectrum = np.fft.rfft(x)
+    keep = min(spectrum.shape[1], n // 2 + 1)
+    out = np.zeros((len(x), n // 2 + 1), complex)
+    out[:, :keep] = spectrum[:, :keep]
+    return np.fft.irfft(out, n) * n / x.shape[1]
 
 
 class Chain:
     """Resampling, band-pass and notch for parts of recordings.
 
     `halo` input samples on each side of a part (a multiple of q) are enough for the middle to be what the whole recording gives.
+    Without low there is no band-pass, and without mains no notch.
     """
 
-    def __init__(self, fs: float, to: float, low: float = 0.5, high: float = 45.0, order: int = 4, mains: float = 50.0, tolerance: float = 1e-12):
+    def __init__(self, fs: float, to: float, low: float | None = 0.5, high: float = 45.0, order: int = 4, mains: float | None = 50.0, tolerance: float = 1e-12):
         self.p, self.q = rational(to / fs)
-        self.steps = [(band_pass(to, low, min(high, 0.49 * to), order), 6 * order)]
-        if mains < to / 2:
+        self.steps = [(band_pass(to, low, min(high, 0.49 * to), order), 6 * order)] if low is not None else []
+        if mains is not None and mains < to / 2:
             self.steps.append((notch(to, mains), 6))
         self.lost = [settling(s, tolerance) + pad for s, pad in self.steps]
         #: output samples near an open side that resampling gets wrong

@@ -61,7 +61,7 @@ def epochs_of_chunk(chain: Chain, x: np.ndarray, mean: np.ndarray, start: int, n
     return y[:, a : a + whole * length].reshape(len(x), whole, length)
 
 
-def filtered_epochs(parts: DataFrame, keys: list[str], fs: float, to: float, seconds: float, low: float = 0.5, high: float = 45.0, order: int = 4, mains: float = 50.0, chunk_seconds: float = 60.0) -> DataFrame:
+def filtered_epochs(parts: DataFrame, keys: list[str], fs: float, to: float, seconds: float, low: float | None = 0.5, high: float = 45.0, order: int = 4, mains: float | None = 50.0, chunk_seconds: float = 60.0) -> DataFrame:
     """(keys, epoch, x): recordings less their mean, resampled to rate `to`, band-passed and freed of the mains, and then cut into epochs.
 
     parts: segments (keys, start, x) at rate fs. Filters have no phase. An incomplete last epoch is dropped; a recording with a gap,

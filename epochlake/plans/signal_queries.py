@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epochlake.functions import batches, decompose, signal
+from epochlake.operators import recordings
 
-from .common import Queries, channel_epochs
+from .common import Queries, channel_epochs, read
 from .feature_queries import BAND_SQL, FS, store
 
 Q = Queries()
@@ -50,3 +52,38 @@ def mode_phase_space(spark, sf_dir):
     m = decompose.modes(store(spark, sf_dir), ["vec_id"])
     f = m.select("vec_id", "imf", "mode", batches.over(batches.phase_space, len(batches.PSR2), F.col("x")).alias("p"), batches.over(batches.phase_space_3d, len(batches.PSR3), F.col("x")).alias("q"))
     return f.select("vec_id", "imf", "mode", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(batches.PSR2)], *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(batches.PSR3)])
+
+
+# --- recordings: the vectors of a label, one after another, are the samples of one channel
+
+
+def _segments(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings")
+    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return e.select(F.col("label").alias("channel"), (at * F.size("embedding")).cast("long").alias("start"), F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _samples(e):
+    return e.select("channel", "epoch", F.posexplode("x").alias("position", "value"))
+
+
+_TAPS = ", ".join(f"({k - 20}, {float(v)!r}::DOUBLE)" for k, v in enumerate(signal.resampling_filter(1, 2)))
+
+
+@Q.add(
+    "recording_resampled",
+    f"""WITH s AS (SELECT label AS channel, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 64 AS start, embedding FROM embeddings),
+x AS (SELECT channel, start + i AS pos, embedding[i + 1]::DOUBLE AS v FROM s, range(0, 64) r(i)), c AS (SELECT channel, avg(v) AS mean, count(*) AS n FROM x GROUP BY channel),
+h(k, tap) AS (VALUES {_TAPS}),
+y AS (SELECT channel, (pos + k) // 2 AS m, sum((v - mean) * tap) AS v FROM x JOIN c USING (channel), h WHERE (pos + k) % 2 = 0 AND pos + k >= 0 AND pos + k < n GROUP BY channel, (pos + k) // 2)
+SELECT channel, m // 64 AS epoch, (m % 64)::INT AS position, round(v, 6) AS value FROM y JOIN c USING (channel) WHERE m // 64 < (n + 1) // 2 // 64""",
+)
+def recording_resampled(spark, sf_dir):
+    """Recordings at half their rate, cut into epochs of a second."""
+    return _samples(recordings.filtered_epochs(_segments(spark, sf_dir), ["channel"], FS, FS / 2, 1.0, low=None, mains=None))
+
+
+@Q.add("recording_epochs")
+def recording_epochs(spark, sf_dir):
+    """Epochs of two seconds of recordings that were resampled, band-passed and freed of the mains before they were cut."""
+    return _samples(recordings.filtered_epochs(_segments(spark, sf_dir), ["channel"], FS, FS / 2, 2.0))

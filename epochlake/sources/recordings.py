@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bdf
+
 CHANNEL_ROWS = "path string, channel string, fs double, samples array<double>, error string"
 
 
@@ -14,34 +16,8 @@ def decode_bdf(content: bytes, wanted: list[str]) -> list[tuple[str, float, np.n
 
     A record count below 0 is taken from the file's length; a truncated last record is dropped.
     """
-    if content[:1] != b"\xff" or content[1:8] != b"BIOSEMI":
-        raise ValueError("not a BDF file")
-    text = lambda a, n: content[a : a + n].decode("ascii", "replace").strip()
-    header, n_records, seconds, n = int(text(184, 8)), int(text(236, 8)), float(text(244, 8)), int(text(252, 4))
-    field = lambda offset, width: [text(256 + offset * n + width * i, width) for i in range(n)]
-    labels = field(0, 16)
-    low, high, dlow, dhigh = ([float(v) for v in field(o, 8)] for o in (104, 112, 120, 128))
-    per_record = [int(v) for v in field(216, 8)]
-    record_bytes = 3 * sum(per_record)
-    body = np.frombuffer(content, np.uint8, offset=header)
-    whole = len(body) // record_bytes
-    records = whole if n_records < 0 else min(n_records, whole)
-    raw = body[: records * record_bytes].reshape(records, -1, 3).astype(np.int32)
-    value = raw[..., 0] | raw[..., 1] << 8 | raw[..., 2] << 16
-    value = np.where(value >= 1 << 23, value - (1 << 24), value)
-    at = np.concatenate([[0], np.cumsum(per_record)])
-    by_label = {s.lower(): i for i, s in reversed(list(enumerate(labels)))}
-    missing = [w for w in wanted if w.lower() not in by_label]
-    if missing:
-        raise ValueError(f"no channel {', '.join(missing)}")
-    out = []
-    for w in wanted:
-        i = by_label[w.lower()]
-        gain = (high[i] - low[i]) / (dhigh[i] - dlow[i])
-        out.append((w, per_record[i] / seconds, (value[:, at[i] : at[i + 1]].ravel() - dlow[i]) * gain + low[i]))
-    if len({fs for _, fs, _ in out}) > 1:
-        raise ValueError("the wanted channels have several sampling rates")
-    return out
+    header = bdf.Header(content, len(content))
+    return header.decoded(content[header.length :], wanted, header.records)
 
 
 def read_bdf(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
