@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from epochlake.functions import features as ft
 from epochlake.functions.arrays import diff, mean
-from epochlake.operators import epochs, folds, learn, matching, metrics, ranks, selection
+from epochlake.operators import epochs, folds, learn, matching, metrics, permutation, selection
 from epochlake.sources.stores import held
 
 from .common import EP, SPARSE, Queries, R, event_epochs, read
@@ -127,15 +127,8 @@ b AS (SELECT perm, round(bal, 9) AS bal FROM res WHERE level = 'subject') SELECT
 )
 def label_permutation(spark, sf_dir):
     """Share of 200 label permutations of subjects whose balanced accuracy reaches the observed one."""
-    long = epoch_features(spark, sf_dir)
-    subjects = long.select("subject", "y").distinct()
-    truth = subjects.withColumn("perm", F.lit(0).cast("long"))
-    labels = learn.permuted_labels(subjects, 200, 5).unionByName(truth)
-    placed = ranks.places(labels.withColumn("_h", folds.shuffled(1, "perm", "subject")), ["perm", "y"], "_h", ["subject"])
-    own = placed.select("perm", "subject", "y", (F.col("place") % K + 1).alias("fold"))
-    many = held(long.drop("y").join(own, "subject"))
-    p = learn.centroid_predictions(many, learn.centroid_models(many, ["perm"]), ["perm", "subject", "epoch", "y"], ["perm", "fold"])
-    bal = scored(held(p), ["perm"]).filter("level = 'subject'").select(F.lit("centroid").alias("model"), "perm", F.round("bal", 9).alias("bal"))
+    found = permutation.permuted_balance(epoch_features(spark, sf_dir), 200, k=K)
+    bal = held(found.select(F.lit("centroid").alias("model"), "perm", F.round("bal", 9).alias("bal")))
     return metrics.permutation_p(bal.filter("perm > 0"), bal.filter("perm = 0").drop("perm"), ["model"], "bal")
 
 
