@@ -40,8 +40,8 @@ WINDOW, PREFIX = 50, 24
 #: Prefixes in a window, and bytes of the longest string that one suffix stands for.
 SHARE = WINDOW - PREFIX + 1
 LONGEST = WINDOW + SHARE - 1
-#: Bytes of text for each bucket, and of those that a task cuts at once.
-BUCKET_BYTES, PIECE = 2**24, 2**20
+#: Bytes of text for each bucket, of those whose entries a task packs together, and of those that it cuts at once.
+BUCKET_BYTES, SLICE_BYTES, PIECE = 2**23, 2**23, 2**20
 #: Entries of a prefix from which its strings are dealt out one by one; of such prefixes there are at most HOT_KEYS.
 HOT, HOT_KEYS = 20_000, 100_000
 LAST = 2**63 - 1
@@ -143,8 +143,16 @@ def by_bucket(bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def sampled(texts: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob): packed entries of texts (rank, sub, text), sorted by key."""
 
+    def slices(b):
+        _, edges = bytes_of(b.column(2))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + SLICE_BYTES, "right")) - 1)
+            yield b.slice(at, to - at)
+            at = to
+
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             x, edges = bytes_of(b.column(2))
             start, n, key = sampled_suffixes(x, edges[1:])
             doc = np.searchsorted(edges, start, "right") - 1
@@ -179,11 +187,14 @@ class Family:
     def rows(self, path: str, kind: int) -> DataFrame:
         return self.spark.read.schema(f"{self.SCHEMA}, kind int").parquet(path).filter(F.col("kind") == kind).drop("kind")
 
-    def add(self, texts: DataFrame) -> None:
-        """Scans a batch (rank, sub, text) against all levels and takes it in. Ranks aren't below those of earlier batches."""
+    def add(self, texts: DataFrame, keep: bool = True) -> None:
+        """Scans a batch (rank, sub, text) against all levels and takes it in. Ranks aren't below those of earlier batches.
+
+        Without `keep` the batch is only scanned and the levels stay as they are: for a last batch.
+        """
         size, carried = 1, []
         kept = list(self.levels)
-        while kept and kept[-1][0] == size:
+        while keep and kept and kept[-1][0] == size:
             carried.append(kept.pop())
             size *= 2
         rows = sampled(texts, self.buckets).select("bucket", F.lit(-1).alias("level"), "blob")
@@ -216,9 +227,10 @@ class Family:
                     yield Family.FOUND, int(block[order[s]]), None, None, pack(*(c[order[s:e]] for c in found))
                 for k in np.flatnonzero(met & (count + to - at > HOT)):
                     yield Family.HOT, 0, int(key[k].astype(np.int64)), int(count[k] + to[k] - at[k]), None
-                taken = [np.concatenate(c) for c in zip(new, low, strict=True)]
-                order = np.argsort(taken[0], kind="stable")
-                yield Family.LEVEL, int(bucket), None, None, pack(*(c[order] for c in taken))
+                if keep:
+                    taken = [np.concatenate(c) for c in zip(new, low, strict=True)]
+                    order = np.argsort(taken[0], kind="stable")
+                    yield Family.LEVEL, int(bucket), None, None, pack(*(c[order] for c in taken))
 
         def run(batches):
             for row in merged(batches):
@@ -228,10 +240,10 @@ class Family:
         dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "level")
         dealt.mapInArrow(run, f"kind int, {self.SCHEMA}").write.partitionBy("kind").parquet(where)
         self.made.append(where)
-        self.levels = [*kept, (size, where)]
+        if keep:
+            self.levels = [*kept, (size, where)]
         for _, path in carried:
             remove(self.spark, f"{path}/kind={self.LEVEL}")
-        release(self.spark)
 
     def found(self) -> DataFrame:
         parts = [self.rows(p, self.FOUND) for p in self.made]
@@ -519,7 +531,9 @@ def repeats(docs: DataFrame, batches: int = 4) -> DataFrame:
             part = part.filter(F.col("rank") > low)
         if high is not None:
             part = part.filter(F.col("rank") <= high)
-        family.add(distinct_texts(part, special))
+        # no batch comes after the last
+        family.add(distinct_texts(part, special), keep=high is not None)
+        release(spark)
     family.drop_levels()
     stay = cut(staying(cut_strings(distinct_texts(base, special), family), family.blocks))
     release(spark)
