@@ -46,22 +46,35 @@ def validation_split(rows: DataFrame, key: str | list[str], share: float, seed:
 
 
 def training_statistics(long: DataFrame, folds: DataFrame, subject: str, feature: str = "feature", value: str = "value") -> DataFrame:
-    """(fold, feature, med, mean, sd) of the rows outside each fold; missing values count as the median in mean and sd.
+    """(fold, feature, med, mean, sd) of the rows outside each fold; missing values (null or NaN) count as the median in mean and sd.
 
-    A feature without values has median 0; a deviation under 1e-12 counts as 1.
+    A feature without values has median 0; a deviation under 1e-12 counts as 1. Sums outside a fold are the total less the
+    fold's; medians are found by middles.medians(), so no task holds a feature.
     """
-    k = folds.select("fold").distinct().withColumnRenamed("fold", "_f")
-    own = long.join(folds.select(subject, "fold"), subject)
-    training = own.join(k, F.col("fold") != F.col("_f")).drop("fold").withColumnRenamed("_f", "fold")
-    med = training.groupBy("fold", feature).agg(F.coalesce(F.median(value), F.lit(0.0)).alias("med"))
-    filled = training.join(med, ["fold", feature]).withColumn("_v", F.coalesce(F.col(value), F.col("med")))
-    sd = F.coalesce(F.stddev_samp("_v"), F.lit(0.0))
-    return filled.groupBy("fold", feature).agg(F.first("med").alias("med"), F.avg("_v").alias("mean"), F.when(sd < 1e-12, 1.0).otherwise(sd).alias("sd"))
+    from .middles import medians
+
+    v = F.when(~F.isnan(F.col(value)), F.col(value))
+    own = long.join(folds.select(subject, "fold"), subject).select("fold", feature, v.alias("_v"))
+    k = folds.select("fold").distinct()
+    centre = own.groupBy(feature).agg(F.coalesce(F.avg("_v"), F.lit(0.0)).alias("_c"))
+    away = F.col("_v") - F.col("_c")
+    # a row for each feature and fold
+    parts = own.join(centre, feature).groupBy(feature, "fold").agg(F.count("*").alias("_n"), F.count("_v").alias("_k"), F.coalesce(F.sum(away), F.lit(0.0)).alias("_s"), F.coalesce(F.sum(away * away), F.lit(0.0)).alias("_q"), F.first("_c").alias("_c"))
+    names = ["_n", "_k", "_s", "_q"]
+    total = parts.groupBy(feature).agg(*[F.sum(c).alias(c) for c in names], F.first("_c").alias("_c"))
+    each = total.crossJoin(F.broadcast(k)).join(parts.select(feature, "fold", *[F.col(c).alias(f"{c}o") for c in names]), [feature, "fold"], "left")
+    rest = each.select("fold", feature, "_c", *[(F.col(c) - F.coalesce(F.col(f"{c}o"), F.lit(0))).alias(c) for c in names]).filter("_n > 0")
+    met = rest.join(medians(own, [feature], "_v", "fold"), ["fold", feature], "left").withColumn("med", F.coalesce("med", F.lit(0.0)))
+    # missing values are the median, from the common centre on
+    m, gone = F.col("med") - F.col("_c"), F.col("_n") - F.col("_k")
+    s, q = F.col("_s") + gone * m, F.col("_q") + gone * m * m
+    sd = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q - s * s / F.col("_n"), F.col("_n") - 1))), F.lit(0.0))
+    return met.select("fold", feature, "med", (F.col("_c") + s / F.col("_n")).alias("mean"), F.when(sd < 1e-12, 1.0).otherwise(sd).alias("sd"))
 
 
 def scaled(long: DataFrame, statistics: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
     """long, once for each fold of the statistics, with z: filled by the fold's median and scaled by its mean and sd."""
-    z = (F.coalesce(F.col(value), F.col("med")) - F.col("mean")) / F.col("sd")
+    z = (F.coalesce(F.when(~F.isnan(F.col(value)), F.col(value)), F.col("med")) - F.col("mean")) / F.col("sd")
     return long.join(statistics, feature).withColumn("z", z).drop("med", "mean", "sd")
 
 
@@ -75,10 +88,14 @@ def age_residuals(rows: DataFrame, folds: DataFrame, subject: str, age: str, val
 
 def robust_scaled(long: DataFrame, folds: DataFrame, subject: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """long, once for each fold, with z: the value over the scaled median absolute deviation of the rows outside the fold, 0 where it is missing."""
-    from .epochs import scaled_mad
+    from .epochs import MAD_SCALE
+    from .middles import medians
 
     k = folds.select("fold").distinct().withColumnRenamed("fold", "_f")
-    training = long.join(folds.select(subject, "fold"), subject).join(F.broadcast(k), F.col("fold") != F.col("_f")).filter(F.col(value).isNotNull())
-    mad = scaled_mad(training.select(F.col("_f").alias("fold"), feature, value), ["fold", feature], value)
+    own = long.join(folds.select(subject, "fold"), subject).select("fold", feature, F.col(value).alias("_v"))
+    med = medians(own, [feature], "_v", "fold").withColumnRenamed("fold", "_f")
+    # distances from each fold's median: counted where they are, never gathered
+    away = own.join(F.broadcast(k), F.col("fold") != F.col("_f")).join(med, [feature, "_f"]).select(F.col("_f").alias("fold"), feature, F.abs(F.col("_v") - F.col("med")).alias("_d"))
+    mad = medians(away, ["fold", feature], "_d").select("fold", feature, (F.col("med") * MAD_SCALE).alias("mad"))
     z = F.coalesce(F.col(value) / F.greatest(F.col("mad"), F.lit(2.220446049250313e-16)), F.lit(0.0))
-    return long.join(mad, feature).withColumn("z", z).drop("med", "mad")
+    return long.join(mad, feature).withColumn("z", z).drop("mad")

@@ -10,6 +10,7 @@ from __future__ import annotations
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,10 +75,12 @@ def flattened(rows: DataFrame, fold: str, keep: list[str]) -> tuple[DataFrame, l
 
 
 def fitted_on(flat: DataFrame, names: list[str], fold: str, k, keep: list[str], name: str, **params) -> DataFrame:
+    """Predictions of fold k; a parameter may be a function of the training part."""
     from pyspark.ml.feature import Imputer
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     train = flat.filter(F.col(fold) != k)
+    params = {p: v(train) if callable(v) else v for p, v in params.items()}
     filler = Imputer(strategy="median", inputCols=names, outputCols=names, relativeError=0.001).fit(train)
     counts = train.groupBy("y").agg((1 / F.count("*")).alias("weight"))
     vector = array_to_vector(F.array(*names)).alias("vector")
@@ -92,33 +95,46 @@ def fold_predictions(rows: DataFrame, fold: str, k, keep: list[str], name: str,
     return fitted_on(*flattened(rows, fold, keep), fold, k, keep, name, **params)
 
 
-def cross_validated(rows: DataFrame, fold: str, keep: list[str], name: str, threads: int = 4, **params) -> DataFrame:
+def cross_validated(rows: DataFrame, fold: str, keep: list[str], name: str, threads: int = 4, prepare=None, **params) -> DataFrame:
     """(keep, y, fold, yhat, score): MLlib learner `name`, fitted outside each fold with equal weight for both classes.
 
     rows: (keep, y, fold, features array<double>). Missing values are filled by training medians. The fits of the folds
-    are independent jobs, `threads` of them at a time.
+    are independent jobs, `threads` of them at a time. `prepare`, given a training part, returns a function of rows (a feature map);
+    a parameter may be a function of the training part.
     """
-    flat, names = flattened(rows, fold, keep)
-    ks = [r[0] for r in flat.select(fold).distinct().orderBy(fold).collect()]  # a few folds
+    if prepare:
+        rows = held(rows)
+        one = lambda k: fitted_on(*flattened(prepare(rows.filter(F.col(fold) != k))(rows), fold, keep), fold, k, keep, name, **params)
+    else:
+        flat, names = flattened(rows, fold, keep)
+        one = lambda k: fitted_on(flat, names, fold, k, keep, name, **params)
+    ks = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]  # a few folds
     with ThreadPool(threads) as pool:
-        parts = pool.map(lambda k: fitted_on(flat, names, fold, k, keep, name, **params), ks)
+        parts = pool.map(one, ks)
     return reduce(DataFrame.unionByName, parts)
 
 
-def nystroem(training: DataFrame, key: list[str], landmarks: int = 64, seed: int = 1):
+def nystroem(training: DataFrame, key: list[str], landmarks: int = 64, seed: int = 1, standardised: bool = False):
     """A function that replaces the features of rows by Nystroem features of an RBF kernel, fitted on a training part.
 
     Landmarks are that many of the training rows in a seeded order; the kernel's scale is the median distance between
     them, and the features are the kernel with the landmarks times the inverse root of the landmarks' own, so that products of
     features are the kernel as far as the landmarks span it. Missing values count as 0. A table of landmarks times features, whatever the rows.
+    Standardised, features are first brought to mean 0 and deviation 1 by the training part, where missing values are left out.
     """
-    import numpy as np
     import pandas as pd
 
     from . import folds
 
     few = training.orderBy(folds.shuffled(seed, *key), *key).select("features").limit(landmarks).collect()
-    marks = np.nan_to_num(np.array([r[0] for r in few], float))
+    marks = np.array([r[0] for r in few], float)
+    shift, width = 0.0, 1.0
+    if standardised:
+        v = training.select(F.posexplode("features").alias("i", "v")).filter("v IS NOT NULL AND NOT isnan(v)")
+        by = {r["i"]: r for r in v.groupBy("i").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("sd")).collect()}
+        shift = np.array([by[i]["m"] if i in by else 0.0 for i in range(marks.shape[1])])
+        width = np.array([by[i]["sd"] if i in by and (by[i]["sd"] or 0) > 1e-12 else 1.0 for i in range(marks.shape[1])])
+    marks = np.nan_to_num((marks - shift) / width)
     far = ((marks[:, None] - marks) ** 2).sum(2)
     apart = far[np.triu_indices(len(marks), 1)]
     apart = apart[apart > 0]
@@ -128,7 +144,7 @@ def nystroem(training: DataFrame, key: list[str], landmarks: int = 64, seed: int
     root = vectors[:, kept] / np.sqrt(values[kept])
 
     def run(s: pd.Series) -> pd.Series:
-        x = np.nan_to_num(np.array(s.tolist(), float)).reshape(len(s), -1)
+        x = np.nan_to_num((np.array(s.tolist(), float).reshape(len(s), -1) - shift) / width)
         d = np.maximum((x * x).sum(1)[:, None] + (marks * marks).sum(1) - 2 * x @ marks.T, 0)
         return pd.Series(list(np.exp(-d / scale) @ root), dtype=object)
 
@@ -136,29 +152,128 @@ def nystroem(training: DataFrame, key: list[str], landmarks: int = 64, seed: int
     return lambda rows: rows.withColumn("features", F.pandas_udf(run, "array<double>")("features"))
 
 
-def neighbours(train: DataFrame, test: DataFrame, row: list[str], k: int, order: list[str] | None = None, within: tuple[str, ...] | list[str] = (), block_rows: int = 4096) -> DataFrame:
+class Cells:
+    """Voronoi cells of the training rows of each part: pivots, how far from its pivot a cell reaches, and its rows."""
+
+    def __init__(self, pivots: dict[tuple, np.ndarray]):
+        self.pivots = pivots
+        self.radius = {g: np.zeros(len(p)) for g, p in pivots.items()}
+        self.rows = {g: np.zeros(len(p), np.int64) for g, p in pivots.items()}
+        self.shards = {g: np.ones(len(p), np.int64) for g, p in pivots.items()}
+        #: rows with a missing value: infinitely far from everything
+        self.odd = {g: 0 for g in pivots}
+
+    def far(self, g: tuple, x: np.ndarray) -> np.ndarray:
+        """Distances of rows to the pivots."""
+        p = self.pivots[g]
+        return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T, 0))
+
+    def visits(self, g: tuple, x: np.ndarray, kth: np.ndarray, k: int, first: bool) -> list[np.ndarray]:
+        """Cells that each query looks into: at first the nearest ones that hold k rows, then all others that may hold a row as near as kth (squared)."""
+        far = self.far(g, x)
+        order = np.argsort(np.where(np.isnan(far), np.inf, far), axis=1, kind="stable")
+        held_ = np.cumsum(self.rows[g][order], axis=1)
+        near = held_ - self.rows[g][order] < k
+        if first:
+            return [o[m] for o, m in zip(order, near, strict=True)]
+        # distances by products have an error, which may only add cells
+        scale = 1e-6 * (1 + np.abs(self.pivots[g]).max(initial=0) + np.nan_to_num(np.abs(x)).max(1, initial=0))
+        least = np.maximum(far - self.radius[g] - scale[:, None], 0)
+        within = ~(least > np.sqrt(kth)[:, None])
+        out = []
+        for o, m, w, q in zip(order, near, within, kth, strict=True):
+            cells = o[~m & w[o]]
+            out.append(np.append(cells, -1) if self.odd[g] and not np.isfinite(q) else cells)
+        return out
+
+
+def neighbours(train: DataFrame, test: DataFrame, row: list[str], k: int, order: list[str] | None = None, within: tuple[str, ...] | list[str] = (), block_rows: int = 4096, cell_rows: int = 512, most_cells: int = 1024) -> DataFrame:
     """(within, row, _n, _d, _y): the k nearest training rows of each test row, with place, squared distance and class; ties to the earlier row.
 
     train: (within, y, features), of any size, in the order of the columns `order`, or as the rows come. `row` names a test
-    row; rows meet where the columns `within` are equal. Shards of training rows meet blocks of test rows, each of about
-    block_rows; a window keeps the best of all shards.
+    row; rows meet where the columns `within` are equal, of which there are few. Training rows belong to the nearest of the pivots, a seeded sample of
+    at most most_cells in each part. A test row looks into the nearest cells that hold k rows, and then into those whose reach is not beyond its k-th
+    distance by the triangle inequality. A cell with more than block_rows rows is dealt to shards, and the test rows of one cell to blocks.
     """
-    import numpy as np
     import pyarrow as pa
 
     known = train.withColumn("_o0", F.monotonically_increasing_id()) if order is None else train.withColumns({f"_o{i}": F.col(c) for i, c in enumerate(order)})
     places = [f"_o{i}" for i in range(len(order or [0]))]
-    shards, blocks = (max(1, -(-df.count() // block_rows)) for df in (train, test))
-    # a row's hash is its shard or block; the other side's numbers are exploded
-    deal = lambda columns, n: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    within = list(within)
     # both sides may come from one table: this one's columns are new ones
-    known = known.select(*[F.col(c).alias(c) for c in within], F.col("y").cast("double").alias("_y"), F.col("features").alias("features"), *[F.col(c).alias(c) for c in places]).withColumn("_shard", deal(places, shards)).withColumn("_block", every(blocks))
-    asked = test.select(*within, *row, "features").withColumn("_block", deal(row, blocks)).withColumn("_shard", every(shards))
-    schema = T.StructType([*asked.select(*within, *row).schema, *known.select("_y", *places).schema, T.StructField("_d", T.DoubleType())])
+    known = held(known.select(*[F.col(c).alias(c) for c in within], F.col("y").cast("double").alias("_y"), F.col("features").alias("features"), *[F.col(c).alias(c) for c in places]))
+    whole = F.forall("features", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    group = lambda r: tuple(r[c] for c in within)
+    # a row for each part
+    sizes = {group(r): r["n"] for r in known.groupBy(*within).agg(F.count("*").alias("n")).collect()}
+    wanted = max([min(most_cells, -(-n // cell_rows)) for n in sizes.values()], default=1)
+    first_ones = Window.partitionBy(*(within or [F.lit(0)])).orderBy(F.xxhash64(*places), *places)
+    picked: dict[tuple, list] = {g: [] for g in sizes}
+    for r in known.filter(whole).withColumn("_r", F.row_number().over(first_ones)).filter(F.col("_r") <= wanted).orderBy("_r").collect():
+        if len(picked[group(r)]) < min(most_cells, -(-sizes[group(r)] // cell_rows)):
+            picked[group(r)].append(r["features"])
+    space = Cells({g: np.array(p, float).reshape(len(p), -1) for g, p in picked.items()})
+
+    def matrix(batch):
+        return np.array(batch.column("features").to_pylist(), float).reshape(batch.num_rows, -1)
+
+    def parts(batch):
+        """(part, positions of its rows) of a batch."""
+        by: dict[tuple, list[int]] = {}
+        for i, g in enumerate(zip(*[batch.column(c).to_pylist() for c in within], strict=True) if within else [()] * batch.num_rows):
+            by.setdefault(g, []).append(i)
+        return by.items()
+
+    def placed(batches):
+        for b in batches:
+            cell, far = np.full(b.num_rows, -1), np.zeros(b.num_rows)
+            for g, at in parts(b):
+                x = matrix(b.take(pa.array(at)))
+                fine = np.flatnonzero(np.isfinite(x).all(1))
+                if len(fine):
+                    d = space.far(g, x[fine])
+                    cell[np.array(at)[fine]], far[np.array(at)[fine]] = d.argmin(1), d.min(1)
+            yield b.append_column("_cell", pa.array(cell, pa.int32())).append_column("_far", pa.array(far))
+
+    known = held(known.mapInArrow(placed, T.StructType([*known.schema, T.StructField("_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())])))
+    for r in known.groupBy(*within, "_cell").agg(F.count("*").alias("n"), F.max("_far").alias("far")).collect():
+        g, c = group(r), r["_cell"]
+        if c < 0:
+            space.odd[g] = -(-r["n"] // block_rows)
+        else:
+            space.rows[g][c], space.radius[g][c], space.shards[g][c] = r["n"], r["far"], -(-r["n"] // block_rows)
+    many = [(*g, int(c), int(n)) for g, s in space.shards.items() for c, n in [*enumerate(s), (-1, space.odd[g])]]
+    shard_schema = T.StructType([*[known.schema[c] for c in within], T.StructField("_cell", T.IntegerType()), T.StructField("_shards", T.IntegerType())])
+    shards = F.broadcast(known.sparkSession.createDataFrame(many, shard_schema))
+    known = known.join(shards, [*within, "_cell"]).withColumn("_shard", F.pmod(F.xxhash64(*places), F.greatest(F.col("_shards"), F.lit(1))).cast("int")).drop("_shards", "_far")
+    blocks = max(1, -(-test.count() // block_rows))
+    asked = test.select(*within, *row, "features").withColumn("_block", F.pmod(F.xxhash64(*row), F.lit(blocks)).cast("int"))
+
+    def sent(first):
+        def run(batches):
+            for b in batches:
+                at_row, at_cell, at_shard = [], [], []
+                kth = b.column("_kth").to_numpy()
+                for g, at in parts(b):
+                    if g not in space.pivots:
+                        continue
+                    x = matrix(b.take(pa.array(at)))
+                    if not len(space.pivots[g]):
+                        found = [np.array([-1] if not first and space.odd[g] else [], int)] * len(at)
+                    else:
+                        found = space.visits(g, x, kth[at], k, first)
+                    for i, cells in zip(at, found, strict=True):
+                        for c in cells.tolist():
+                            n = space.odd[g] if c < 0 else int(space.shards[g][c])
+                            at_row += [i] * n
+                            at_cell += [c] * n
+                            at_shard += range(n)
+                out = b.drop_columns(["_kth"]).take(pa.array(at_row, pa.int64()))
+                yield out.append_column("_cell", pa.array(at_cell, pa.int32())).append_column("_shard", pa.array(at_shard, pa.int32()))
+
+        return run
 
-    def matrix(table):
-        return np.array(table.column("features").to_pylist(), float)
+    schema = T.StructType([*asked.select(*within, *row).schema, *known.select("_y", *places).schema, T.StructField("_d", T.DoubleType())])
 
     def run(left, right):
         right = right.sort_by([(c, "ascending") for c in places])
@@ -188,9 +303,24 @@ def neighbours(train: DataFrame, test: DataFrame, row: list[str], k: int, order:
             out = out.append_column(c, also.column(c))
         return out.append_column("_d", pa.array(far, pa.float64()))
 
-    met = asked.groupBy(*within, "_block", "_shard").cogroup(known.groupBy(*within, "_block", "_shard")).applyInArrow(run, schema)
+    where = [*within, "_block", "_cell", "_shard"]
     ordered = Window.partitionBy(*within, *row).orderBy("_d", *[F.asc_nulls_last(c) for c in places])
-    return met.withColumn("_n", F.row_number().over(ordered)).filter(F.col("_n") <= k).select(*within, *row, "_n", "_d", "_y")
+    best = lambda df: df.withColumn("_n", F.row_number().over(ordered)).filter(F.col("_n") <= k)
+
+    def met(queries, first):
+        sent_schema = T.StructType([*asked.schema, T.StructField("_cell", T.IntegerType()), T.StructField("_shard", T.IntegerType())])
+        dealt = held(queries.mapInArrow(sent(first), sent_schema))
+        # training rows go to the blocks that ask for their cell
+        blocks_of = dealt.select(*where).distinct()
+        met_ = known.join(blocks_of, [*within, "_cell", "_shard"])
+        # new columns again: the blocks are the queries' own
+        theirs = met_.select(*[F.col(c).alias(c) for c in met_.columns])
+        return dealt.groupBy(*where).cogroup(theirs.groupBy(*where)).applyInArrow(run, schema)
+
+    found = held(best(met(asked.withColumn("_kth", F.lit(float("inf"))), True)))
+    kth = found.filter(F.col("_n") == k).select(*within, *row, F.col("_d").alias("_kth"))
+    again = asked.join(kth, [*within, *row], "left").withColumn("_kth", F.coalesce("_kth", F.lit(float("inf"))))
+    return best(found.drop("_n").unionByName(met(again.select(*asked.columns, "_kth"), False))).select(*within, *row, "_n", "_d", "_y")
 
 
 def uniform_prior(near: DataFrame, train: DataFrame, within: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Permutation of labels among subjects, by moments: rows are shuffled once, however many permutations there are.
 
-Labels and folds of every permutation are a row of the list of subjects, two small numbers each, dealt in parallel by permutation. Sums of
+Labels and folds of every permutation are lists over the subjects, two small numbers each, dealt in parallel by permutation. Sums of
 each feature by permutation, fold and class are then one matrix product of indicators with rows in every Arrow batch, and
 what is shuffled of them is a block a task. The models that follow are a table of permutations, folds and features;
 the distances of a row to the class centres of all of them are one more matrix product, and its own fold's are taken.
@@ -30,30 +30,28 @@ def order(subjects: list, *words) -> np.ndarray:
     return np.array(sorted(range(len(subjects)), key=lambda i: (hashlib.md5(f"{head}:{subjects[i]}".encode()).hexdigest(), subjects[i])), np.int64)
 
 
-def dealt(subjects: list, y: np.ndarray, perm: int, seed: int, fold_seed: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, folds from 0 on) of the subjects in one permutation; 0 has the true labels. The same orders of hashes as learn.permuted_labels()."""
-    labels = y.copy()
-    if perm:
-        labels[order(subjects, f"{seed}a", perm)] = y[order(subjects, f"{seed}b", perm)]
-    fold, by = np.zeros(len(y), np.int8), order(subjects, fold_seed, perm)
+def fold_of(subjects: list, labels: np.ndarray, perm: int, seed: int, k: int) -> np.ndarray:
+    """Folds from 0 on of the subjects in one permutation, dealt in turn inside each class by an order of hashes."""
+    fold, by = np.zeros(len(labels), np.int8), order(subjects, seed, perm)
     for c in (0, 1):
         own = by[labels[by] == c]
         fold[own] = np.arange(len(own)) % k
-    return labels, fold
+    return fold
 
 
 def assignments(subjects: DataFrame, n: int, seed: int, fold_seed: int, k: int) -> tuple[dict, np.ndarray, np.ndarray]:
-    """(place of each subject, labels, folds), the last two permutations x subjects in a byte each."""
-    rows = sorted((r[0], int(r[1])) for r in subjects.select("subject", "y").collect())
-    ids, y = [s for s, _ in rows], np.array([c for _, c in rows], np.int8)
+    """(place of each subject, labels, folds), the last two permutations x subjects in a byte each; permutation 0 has the true labels."""
+    ids = sorted(r[0] for r in subjects.select("subject").collect())
+    labels = learn.permuted_labels(subjects, n, seed).select("perm", "subject", "y").unionByName(subjects.select(F.lit(0).cast("long").alias("perm"), "subject", "y"))
+    per = labels.groupBy("perm").agg(F.transform(F.array_sort(F.collect_list(F.struct("subject", "y"))), lambda s: s["y"].cast("int")).alias("ys"))
 
     def run(batches):
         for b in batches:
-            found = [dealt(ids, y, p, seed, fold_seed, k) for p in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([f[j].tobytes() for f in found], pa.binary()) for j in (0, 1))], names=["perm", "labels", "folds"])
+            found = [np.array(y, np.int8) for y in b.column("ys").to_pylist()]
+            folds_ = [fold_of(ids, y, p, fold_seed, k) for p, y in zip(b.column("perm").to_pylist(), found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("perm"), *(pa.array([v.tobytes() for v in vs], pa.binary()) for vs in (found, folds_))], names=["perm", "labels", "folds"])
 
-    spark = subjects.sparkSession
-    every = spark.range(n + 1).toDF("perm").mapInArrow(run, "perm long, labels binary, folds binary").orderBy("perm").collect()
+    every = per.mapInArrow(run, "perm long, labels binary, folds binary").orderBy("perm").collect()
     return {s: i for i, s in enumerate(ids)}, *(np.stack([np.frombuffer(r[c], np.int8) for r in every]) for c in ("labels", "folds"))
 
 

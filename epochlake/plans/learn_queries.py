@@ -150,6 +150,14 @@ def tree_grouped_cv(spark, sf_dir):
     return scored(p.withColumn("model", F.lit("tree")), ["model"])
 
 
+@Q.add("kernel_svm_grouped_cv")
+def kernel_svm_grouped_cv(spark, sf_dir):
+    """A linear machine on Nystroem features of an RBF kernel, fitted with scaling and landmarks on each training part; box constraint 1."""
+    fit = {"prepare": lambda training: learn.nystroem(training, ["subject", "epoch"], standardised=True), "regParam": lambda training: 1 / max(1, training.count()), "maxIter": 10}
+    p = learn.cross_validated(_rows(spark, sf_dir), "fold", ["subject", "epoch"], "svm", **fit)
+    return scored(p.withColumn("model", F.lit("svm")), ["model"])
+
+
 @Q.add(
     "nearest_neighbours",
     """WITH v AS (SELECT vec_id, (label % 2)::INT AS y, [x::DOUBLE for x in embedding] AS f FROM embeddings),

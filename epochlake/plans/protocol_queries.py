@@ -219,12 +219,6 @@ def kernel_svm_grid_cv(spark, sf_dir):
     return _grid(spark, sf_dir, "svm", "regParam", [0.1, 1.0, 10.0], **BOX)
 
 
-@Q.add("kernel_svm_grouped_cv")
-def kernel_svm_grouped_cv(spark, sf_dir):
-    """The same with a box constraint of 1."""
-    return _grid(spark, sf_dir, "svm", "regParam", [1.0], **BOX)
-
-
 # --- stores and subjects on the way there
 
 

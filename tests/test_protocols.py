@@ -28,7 +28,7 @@ def folded(spark, rows, k=3):
 
 
 SVM = {"prepare": lambda t: learn.nystroem(t, ["subject", "epoch"], 40), "setting": lambda c, n: 1 / (c * n), "maxIter": 30}
-LEARNERS = {"tree": ("minInstancesPerNode", [1, 5], {}), "svm": ("regParam", [1.0], SVM)}
+LEARNERS = {"tree": ("minInstancesPerNode", [1, 5], {}), "svm": ("regParam", [10.0], SVM)}
 
 
 def scores(spark, rows, name):
