@@ -48,28 +48,27 @@ def validation_split(rows: DataFrame, key: str | list[str], share: float, seed:
 def training_statistics(long: DataFrame, folds: DataFrame, subject: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """(fold, feature, med, mean, sd) of the rows outside each fold; missing values (null or NaN) count as the median in mean and sd.
 
-    A feature without values has median 0; a deviation under 1e-12 counts as 1. Sums outside a fold are the total less the
-    fold's; medians are found by middles.medians(), so no task holds a feature.
+    A feature without values has median 0; a deviation under 1e-12 counts as 1. Rows aren't copied for each fold: their moments are
+    added up by fold, and medians are found by middles.medians(), so no task holds a feature.
     """
     from .middles import medians
 
     v = F.when(~F.isnan(F.col(value)), F.col(value))
     own = long.join(folds.select(subject, "fold"), subject).select("fold", feature, v.alias("_v"))
     k = folds.select("fold").distinct()
-    centre = own.groupBy(feature).agg(F.coalesce(F.avg("_v"), F.lit(0.0)).alias("_c"))
-    away = F.col("_v") - F.col("_c")
-    # a row for each feature and fold
-    parts = own.join(centre, feature).groupBy(feature, "fold").agg(F.count("*").alias("_n"), F.count("_v").alias("_k"), F.coalesce(F.sum(away), F.lit(0.0)).alias("_s"), F.coalesce(F.sum(away * away), F.lit(0.0)).alias("_q"), F.first("_c").alias("_c"))
-    names = ["_n", "_k", "_s", "_q"]
-    total = parts.groupBy(feature).agg(*[F.sum(c).alias(c) for c in names], F.first("_c").alias("_c"))
-    each = total.crossJoin(F.broadcast(k)).join(parts.select(feature, "fold", *[F.col(c).alias(f"{c}o") for c in names]), [feature, "fold"], "left")
-    rest = each.select("fold", feature, "_c", *[(F.col(c) - F.coalesce(F.col(f"{c}o"), F.lit(0))).alias(c) for c in names]).filter("_n > 0")
+    # a row for each feature and fold; what is outside a fold is put together from the other folds' rows, in which the fold has no part
+    parts = own.groupBy(feature, "fold").agg(F.count("_v").alias("n"), (F.count("*") - F.count("_v")).alias("_gone"), F.coalesce(F.avg("_v"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("_v"), F.lit(0.0)).alias("v"))
+    others = parts.join(F.broadcast(k.withColumnRenamed("fold", "_f")), F.col("fold") != F.col("_f"))
+    rest = others.groupBy(feature, "_f").agg(F.collect_list(F.struct("n", "m", "v")).alias("_p"), F.sum("_gone").alias("_gone")).withColumnRenamed("_f", "fold")
     met = rest.join(medians(own, [feature], "_v", "fold"), ["fold", feature], "left").withColumn("med", F.coalesce("med", F.lit(0.0)))
-    # missing values are the median, from the common centre on
-    m, gone = F.col("med") - F.col("_c"), F.col("_n") - F.col("_k")
-    s, q = F.col("_s") + gone * m, F.col("_q") + gone * m * m
-    sd = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.try_divide(q - s * s / F.col("_n"), F.col("_n") - 1))), F.lit(0.0))
-    return met.select("fold", feature, "med", (F.col("_c") + s / F.col("_n")).alias("mean"), F.when(sd < 1e-12, 1.0).otherwise(sd).alias("sd"))
+    # the missing values are one more part: all of them the median
+    every = F.concat("_p", F.array(F.struct(F.col("_gone").alias("n"), F.col("med").alias("m"), F.lit(0.0).alias("v"))))
+    total = lambda f: F.aggregate(every, F.lit(0.0), lambda s, p: s + p["n"] * f(p))
+    n = total(lambda p: F.lit(1.0))
+    placed = met.withColumn("_n", n).withColumn("mean", F.try_divide(total(lambda p: p["m"]), F.col("_n"))).filter("_n > 0")
+    square = total(lambda p: p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean")))
+    sd = F.coalesce(F.sqrt(F.try_divide(square, F.col("_n") - 1)), F.lit(0.0))
+    return placed.select("fold", feature, "med", "mean", F.when(sd < 1e-12, 1.0).otherwise(sd).alias("sd"))
 
 
 def scaled(long: DataFrame, statistics: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
