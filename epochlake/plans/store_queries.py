@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from epochlake.functions import batches, decompose, features as ft
+from epochlake.functions.arrays import mean
 from epochlake.operators import epochs, joins
+from epochlake.sources import stores
 
 from .common import CH, CHANNELS, EP, R, Queries, channel_epochs, event_epochs, read, recordings
 from .epoch_queries import MAD, PTP
@@ -142,3 +146,19 @@ def mode_audit(spark, sf_dir):
 def run_stamps(spark, sf_dir):
     """Time stamps as the logs write them."""
     return read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("stamp"))
+
+
+@Q.add("resumed_store", f"WITH {CH}, f AS (SELECT channel AS cohort, 'logvar' AS family, vec_id, ln(list_var_samp(x) + 2.220446049250313e-16) AS value FROM ch UNION ALL SELECT channel, 'mean', vec_id, list_avg(x) FROM ch) SELECT cohort, family, vec_id, round(value, 6) AS value FROM f")
+def resumed_store(spark, sf_dir):
+    """A feature store built task by task (channel and family) in two runs, of which the second does what the first has left."""
+    e = channel_epochs(spark, sf_dir)
+    families = {"logvar": ft.log_variance, "mean": mean}
+    work = e.select(F.col("channel").alias("cohort")).distinct().join(F.broadcast(spark.createDataFrame([(f,) for f in families], "family string")))
+    path = f"{stores.folder(spark)}/resumed-{uuid.uuid4().hex}"
+
+    def build(key):
+        return e.filter(F.col("channel") == key["cohort"]).select("vec_id", families[key["family"]](F.col("x")).alias("value"))
+
+    stores.resume(spark, path, work.filter("family = 'mean' OR cohort = 'Cz'"), build)
+    stores.resume(spark, path, work, build)
+    return spark.read.schema("vec_id long, value double, cohort string, family string").parquet(path).select("cohort", "family", "vec_id", "value")

@@ -14,8 +14,11 @@ from .common import Queries, read
 Q = Queries()
 
 
-def _finished(spark, sf_dir, build, mode: str):
-    """What a stream over events has put out once all files are read: its last table in complete mode, else all it added."""
+def _finished(spark, sf_dir, build, mode: str, rest=None):
+    """What a stream over events has put out once all files are read: its last table in complete mode, else all it added.
+
+    rest: what a closing batch adds to that from the stream's state, of whose folder it is a function.
+    """
     schema = read(spark, sf_dir, "events").schema
     out = build(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
     where = f"{stores.folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -29,7 +32,8 @@ def _finished(spark, sf_dir, build, mode: str):
     query.awaitTermination()
     if not paths:
         return spark.createDataFrame([], out.schema)
-    return spark.read.schema(out.schema).parquet(*([paths[max(paths)]] if mode == "complete" else paths.values()))
+    done = spark.read.schema(out.schema).parquet(*([paths[max(paths)]] if mode == "complete" else paths.values()))
+    return done.unionByName(rest(f"{where}/state")) if rest else done
 
 
 @Q.add("stream_tumbling", """SELECT event_type, epoch(date_trunc('day', ts))::BIGINT AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""", digits=6)
@@ -48,6 +52,6 @@ _GAPS = "g AS (SELECT user_id, ts, (lag(ts) OVER w IS NULL OR ts - lag(ts) OVER
 
 @Q.add("stream_sessions", f"WITH {_GAPS} SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 1800000000 AS end, count(*) AS n FROM s GROUP BY user_id, s")
 def stream_sessions(spark, sf_dir):
-    """All sessions, those too that the watermark hasn't closed: append mode would keep them back. Times in microseconds."""
-    out = _finished(spark, sf_dir, lambda s: windows.sessions(s, ["user_id"], "30 minutes"), "complete")
+    """All sessions: each comes out once the watermark has passed its end and leaves the state; a closing batch adds those still open at the end of the run. Times in microseconds."""
+    out = _finished(spark, sf_dir, lambda s: windows.sessions(s, ["user_id"], "30 minutes"), "append", lambda state: windows.open_sessions(spark, state, ["user_id"]))
     return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")

@@ -7,6 +7,7 @@ import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,9 +30,52 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _files(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def whole(spark: SparkSession, path: str) -> bool:
+    """Has a store been written to its end?"""
+    fs, there = _files(spark, f"{path}/_SUCCESS")
+    return fs.exists(there)
+
+
 def save(df: DataFrame, path: str, by: list[str], skip_existing: bool = True) -> None:
-    """Writes a store partitioned by its leading keys; one that is there already stays, as a finished stage isn't run again."""
-    df.write.partitionBy(*by).mode("ignore" if skip_existing else "overwrite").parquet(path)
+    """Writes a store partitioned by its leading keys; a whole one that is there already stays, as a finished stage isn't run again. One that was left half-written is written anew."""
+    keep = skip_existing and whole(df.sparkSession, path)
+    df.write.partitionBy(*by).mode("ignore" if keep else "overwrite").parquet(path)
+
+
+def finished(spark: SparkSession, path: str, keys: dict[str, str]) -> DataFrame:
+    """(keys): the tasks that a resumable store's manifest names. keys: column and type."""
+    manifest, schema = f"{path}.done", ", ".join(f"{k} {t}" for k, t in keys.items())
+    fs, there = _files(spark, manifest)
+    return spark.read.schema(schema).parquet(manifest).distinct() if fs.exists(there) else spark.createDataFrame([], schema)
+
+
+def resume(spark: SparkSession, path: str, work: DataFrame, build, log: logging.Logger | None = None) -> int:
+    """Builds what is missing of a store partitioned by the columns of `work`, a list of tasks; returns how many tasks that were.
+
+    build(key as a dict) gives a task's rows without the keys. Each task overwrites its partition alone, and is named in the manifest
+    (`path`.done) when that is written: a run that ends in between does that task again, and no other. What a task wrote before it was
+    broken off is gone, also if it has no rows now.
+    """
+    kinds = dict(work.dtypes)
+    keys = list(kinds)
+    left = work.distinct().join(finished(spark, path, kinds), keys, "left_anti").orderBy(*keys).collect()
+    for r in left:
+        key = r.asDict()
+        part = build(key).select(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in key.items()], "*")
+        # the partition as Spark would name it, removed first: an empty result wouldn't overwrite it
+        names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        fs, there = _files(spark, "/".join([path, *(f"{names.escapePathName(k)}={names.escapePathName(str(v))}" for k, v in key.items())]))
+        fs.delete(there, True)
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+        spark.createDataFrame([tuple(r)], work.schema).coalesce(1).write.mode("append").parquet(f"{path}.done")
+        if log:
+            log.info("finished %s", key)
+    return len(left)
 
 
 def load(spark: SparkSession, path: str, exclude: dict[str, list[str]] | None = None, **equal: str) -> DataFrame | None:

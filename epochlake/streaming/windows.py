@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,15 @@ def sessions(events: DataFrame, keys: list[str], gap: str, late: str = "1 hour",
     return by.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def open_sessions(spark: SparkSession, state: str, keys: list[str]) -> DataFrame:
+    """(keys, start, end, n): sessions that a finished run of sessions() in append mode has in its state, as its checkpoint folder keeps it.
+
+    The watermark hasn't passed their end: what the run put out and these are all sessions. In append mode the state holds no others, however long the stream.
+    """
+    v = spark.read.format("statestore").load(state).select("value.*")
+    return v.select(*keys, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("count").alias("n"))
+
+
 def counted_epochs(events: DataFrame, key: str, value: str, n: int, order: str = "event_id") -> DataFrame:
     """(key, epoch, mean): epochs of n consecutive rows of each key, across micro-batches.
 
