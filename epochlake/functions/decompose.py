@@ -82,6 +82,121 @@ def wavelet_modes(x: np.ndarray, n: int = 2) -> list[np.ndarray]:
     return out
 
 
+# --- the same over stacks: splines of all epochs are solved together, and epochs that are done are left as they are
+
+
+def splines(at: np.ndarray, values: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """Natural cubic splines at 0 .. n - 1, one for each row: the first count knots of a row of at, the first below 0 and the last beyond n - 1."""
+    rows, most = at.shape
+    h = np.diff(at, axis=1)
+    inner = np.arange(1, most - 1)[None] < count[:, None] - 1
+    slope = np.diff(values, axis=1) / h
+    # second derivatives by elimination, all rows at a time; a row's own end has none
+    right, off = 6 * np.diff(slope, axis=1), np.where(inner, h[:, 1:], 0)
+    diagonal = np.where(inner, 2 * (h[:, :-1] + h[:, 1:]), 1.0)
+    right = np.where(inner, right, 0)
+    upper, reduced = np.zeros_like(right), np.zeros_like(right)
+    for i in range(most - 2):
+        below = np.where(inner[:, i], h[:, i], 0) if i else 0.0
+        pivot = diagonal[:, i] - (below * upper[:, i - 1] if i else 0.0)
+        upper[:, i] = off[:, i] / pivot
+        reduced[:, i] = (right[:, i] - (below * reduced[:, i - 1] if i else 0.0)) / pivot
+    m = np.zeros((rows, most))
+    for i in range(most - 3, -1, -1):
+        following = m[:, i + 2] if i < most - 3 else 0.0
+        m[:, i + 1] = np.where(inner[:, i], reduced[:, i] - upper[:, i] * following, 0)
+    # which knot stands before each sample
+    marks = np.zeros((rows, n + 1), np.int64)
+    known = np.arange(most)[None] < count[:, None]
+    r, c = np.nonzero(known)
+    np.add.at(marks, (r, np.clip(at[r, c], 0, n).astype(np.int64)), 1)
+    k = np.minimum(np.cumsum(marks[:, :n], 1) - 1, count[:, None] - 2)
+    take = lambda a, j: np.take_along_axis(a, j, 1)
+    width, u = take(h, k), np.arange(n) - take(at, k)
+    w = take(at, k + 1) - np.arange(n)
+    return (take(m, k) * w**3 + take(m, k + 1) * u**3) / (6 * width) + (take(values, k) / width - take(m, k) * width / 6) * w + (take(values, k + 1) / width - take(m, k + 1) * width / 6) * u
+
+
+def extrema(x: np.ndarray, sign: int) -> np.ndarray:
+    """Where each epoch has a maximum (sign 1) or minimum (-1)."""
+    y = sign * x
+    out = np.zeros(x.shape, bool)
+    out[:, 1:-1] = (y[:, 1:-1] > y[:, :-2]) & (y[:, 1:-1] >= y[:, 2:])
+    return out
+
+
+def envelopes(x: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """(has one, values) of each epoch: _envelope() of a stack."""
+    n, there = x.shape[1], extrema(x, sign)
+    count = there.sum(1)
+    fine = count >= 2
+    out = np.zeros(x.shape)
+    rows = np.flatnonzero(fine)
+    if not len(rows):
+        return fine, out
+    r, c = np.nonzero(there[rows])
+    count = count[rows]
+    place = np.arange(len(r)) - (np.cumsum(count) - count)[r]
+    # beyond a row's own knots come further ones, which it doesn't use
+    at = np.cumsum(np.ones((len(rows), count.max() + 4)), 1) + 4.0 * n
+    heights = np.zeros(at.shape)
+    at[r, place + 2], heights[r, place + 2] = c, x[rows][r, c]
+    every = np.arange(len(rows))
+    for knot, source, mirror in ((0, 3, 0), (1, 2, 0), (count + 2, count + 1, 2 * (n - 1)), (count + 3, count, 2 * (n - 1))):
+        at[every, knot], heights[every, knot] = mirror - at[every, source], heights[every, source]
+    out[rows] = splines(at, heights, count + 4, n)
+    return fine, out
+
+
+def empirical_stack(x: np.ndarray, most: int = 4, sifts: int = 50, tolerance: float = 0.2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(epochs x most x samples, which modes an epoch has, residue): empirical_modes() of a stack."""
+    rest, going = x.astype(float).copy(), np.arange(len(x))
+    out, has = np.zeros((len(x), most, x.shape[1])), np.zeros((len(x), most), bool)
+    for k in range(most):
+        # an epoch without two maxima and two minima is done
+        going = going[(extrema(rest[going], 1).sum(1) >= 2) & (extrema(rest[going], -1).sum(1) >= 2)]
+        if not len(going):
+            break
+        h, live = rest[going].copy(), np.arange(len(going))
+        for _ in range(sifts):
+            (a, high), (b, low) = envelopes(h[live], 1), envelopes(h[live], -1)
+            both = a & b
+            live = live[both]
+            new = h[live] - (high[both] + low[both]) / 2
+            moved = ((h[live] - new) ** 2).sum(1) / np.maximum((h[live] ** 2).sum(1), 1e-300)
+            h[live] = new
+            live = live[moved >= tolerance / 10]
+            if not len(live):
+                break
+        out[going, k], has[going, k] = h, True
+        rest[going] -= h
+    return out, has, rest
+
+
+def wavelet_stack(x: np.ndarray, n: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(epochs x n x samples, which modes an epoch has): wavelet_modes() of a stack."""
+    s = np.fft.rfft(x, axis=1)
+    p = np.abs(s)
+    peaks = extrema(p, 1)
+    count = np.minimum(peaks.sum(1), n)
+    order = np.argsort(np.where(peaks, -p, np.inf), axis=1, kind="stable")[:, :n]
+    order = np.pad(order, ((0, 0), (0, n - order.shape[1])))
+    top = np.sort(np.where(np.arange(n)[None] < count[:, None], order, p.shape[1]), axis=1)
+    f = np.arange(p.shape[1])[None]
+    out, has, below = np.zeros((len(x), n, x.shape[1])), np.zeros((len(x), n), bool), np.zeros(p.shape)
+    for k in range(n):
+        present = (k < count) | (k == 0)
+        last = k + 1 >= count
+        w = np.ones(p.shape)
+        if k + 1 < n:
+            a, b = top[:, k : k + 1], top[:, k + 1 : k + 2]
+            cut = np.where((f >= a) & (f <= b), p, np.inf).argmin(1)[:, None]
+            w = np.where(last[:, None], 1.0, np.clip((cut * 1.1 + 0.5 - f) / np.maximum(0.2 * cut, 1.0), 0, 1))
+        out[:, k] = np.where(present[:, None], np.fft.irfft(s * (w - below), x.shape[1], axis=1), 0)
+        has[:, k], below = present, w
+    return out, has
+
+
 def variational_modes(x: np.ndarray, k: int = 4, alpha: float = 2000.0, rounds: int = 200, tolerance: float = 1e-6) -> np.ndarray:
     """epochs x modes x samples, in rising order of their centre: alternate Wiener filters and centre frequencies of k modes.
 
@@ -128,19 +243,21 @@ def modes(epochs: DataFrame, keys: list[str], x: str = "x", imfs: int = 4, per_i
     A mode that an epoch hasn't, or all of an epoch that can't be split, have null for x, so every epoch has a row for each mode.
     """
 
-    def split(v):
-        try:
-            v = np.asarray(v, float)
-            if not len(v) or not np.isfinite(v).all():
-                return {}
-            found = empirical_modes(batches.z(v[None])[0], imfs)[:-1]
-            return {(i, j): m.tolist() for i, h in enumerate(found) for j, m in enumerate(wavelet_modes(h, per_imf))}
-        except (TypeError, ValueError, np.linalg.LinAlgError):
-            return {}
-
     def run(s: pd.Series) -> pd.Series:
         every = [(i, j) for i in range(imfs) for j in range(per_imf)]
-        return s.map(lambda v: (lambda found: [{"imf": i + 1, "mode": j + 1, "x": found.get((i, j))} for i, j in every])(split(v)), na_action=None)
+        out = [[{"imf": i + 1, "mode": j + 1, "x": None} for i, j in every] for _ in range(len(s))]
+        # an epoch's modes and the splines on the way to them
+        for at, stack in batches.stacks(s, lambda n: (imfs * per_imf + 12) * n):
+            found, there, _ = empirical_stack(batches.z(stack), imfs)
+            for i in range(imfs):
+                rows = np.flatnonzero(there[:, i])
+                if not len(rows):
+                    continue
+                parts, has = wavelet_stack(found[rows, i], per_imf)
+                for j in range(per_imf):
+                    for r in np.flatnonzero(has[:, j] & np.isfinite(parts[:, j]).all(1)):
+                        out[at[rows[r]]][i * per_imf + j]["x"] = parts[r, j].tolist()
+        return pd.Series(out, dtype=object)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     split_ = F.pandas_udf(run, "array<struct<imf:int,mode:int,x:array<double>>>")(x)
