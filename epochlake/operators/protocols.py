@@ -45,6 +45,53 @@ def over_subsets(long: DataFrame, subsets: DataFrame) -> DataFrame:
     return long.join(F.broadcast(subsets.dropDuplicates()), "feature")
 
 
+def columns_of(rows: DataFrame, names: list[str], wanted: list[str]) -> DataFrame:
+    """rows with features, an array in the order of names, cut to the wanted ones."""
+    return rows.withColumn("features", F.array(*[F.get("features", F.lit(names.index(n))) for n in wanted]))
+
+
+def over_columns(rows: DataFrame, names: list[str], subsets: dict[str, list[str]], predict) -> DataFrame:
+    """Predictions of each subset (subset, ...) by a function of rows whose features are the subset's."""
+    return reduce(DataFrame.unionByName, [predict(columns_of(rows, names, wanted)).withColumn("subset", F.lit(s)) for s, wanted in subsets.items()])
+
+
+def nested_forest(rows: DataFrame, long: DataFrame, names: list[str], grid: list[int], inner: int = 3, most: int = 6000, seed: int = 11, threads: int = 4, name: str = "forest", **params) -> DataFrame:
+    """(subject, epoch, y, fold, yhat, score): for each fold the k best features by |t| of the training subjects' means, with the k of the grid that
+    inner folds of these subjects choose for learner `name`; in the inner folds the features are ranked anew.
+
+    rows: (subject, epoch, y, fold, features in the order of names); long: the same values in rows (subject, epoch, y, fold, feature, value).
+    The inner search sees at most `most` rows of a training part, each class in proportion; the last fit sees all of them.
+    """
+    rows = held(rows)
+    dealt = held(inner_folds(rows.select("subject", "y", "fold"), inner, seed))
+    # the order of features for each fold, and for each inner fold of it: a row for each of them
+    first = {r["fold"]: r["order"] for r in _orders(subject_ranks(long.withColumn("_all", F.lit(0)), ["_all"]), ["fold"]).collect()}
+    inside = held(long.drop("fold").join(dealt, "subject").withColumnRenamed("inner", "fold"))
+    second = {(r["outer"], r["fold"]): r["order"] for r in _orders(subject_ranks(inside, ["outer"]), ["outer", "fold"]).collect()}
+    keep = ["subject", "epoch"]
+
+    def predicted(o):
+        training = rows.filter(F.col("fold") != o)
+        few = folds.stratified_sample(training, keep, "y", most, seed).drop("fold").join(dealt.filter(F.col("outer") == o), "subject")
+        few = held(few.withColumnRenamed("inner", "fold"))
+        tried = []
+        for i in range(1, inner + 1):
+            for k in grid:
+                part = columns_of(few, names, second[o, i][:k])
+                tried.append(learn.fold_predictions(part, "fold", i, keep, name, **params).withColumn("parameter", F.lit(k)))
+        every = reduce(DataFrame.unionByName, tried)
+        k = best_of(metrics.confusion(every, ["parameter"]).withColumn("fold", F.lit(o)), ["fold"], grid).first()["parameter"]
+        return learn.fold_predictions(columns_of(rows, names, first[o][:k]), "fold", o, keep, name, **params)
+
+    with ThreadPool(threads) as pool:
+        return reduce(DataFrame.unionByName, pool.map(predicted, sorted(first)))
+
+
+def _orders(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, order): names of features by rank."""
+    return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda s: s["feature"]).alias("order"))
+
+
 def transfer(long: DataFrame, cohort: str, k: int | None = None, own_scale: bool = False) -> DataFrame:
     """(train, test, subject, epoch, y, yhat, score): scaling, the k best features and class centres of each cohort, applied to the others.
 

@@ -12,6 +12,7 @@ from epochlake.sources.stores import held
 from .common import SPARSE, Queries, event_epochs, read
 from .learn_queries import BASE, MODEL, K, epoch_features, scored
 from .learn_queries import protocols as by_protocol
+from .stat_queries import T_TAIL
 
 Q = Queries()
 TOP = 2
@@ -72,6 +73,28 @@ def logvar_baseline(spark, sf_dir):
     return _subsets(spark, sf_dir, ["all", "logvar"])
 
 
+@Q.add("forest_ablation")
+def forest_ablation(spark, sf_dir):
+    """The subsets under the same folds with a forest each. A missing value is the training median."""
+    rows, _ = _wide(spark, sf_dir)
+    p = protocols.over_columns(rows, FEATURES, {n: SUBSETS[n] for n in ("all", "logvar", "not_logvar", "first")}, lambda part: learn.cross_validated(part, "fold", ["subject", "epoch"], "forest", numTrees=100, minInstancesPerNode=5))
+    return scored(held(p), ["subset"])
+
+
+@Q.add("forest_nested_cv")
+def forest_nested_cv(spark, sf_dir):
+    """Features ranked in each training part, and how many of them a forest takes chosen by inner folds of its subjects."""
+    rows, long = _wide(spark, sf_dir)
+    p = protocols.nested_forest(rows, long, FEATURES, [1, 2, 3], numTrees=100, minInstancesPerNode=5)
+    return scored(held(p.withColumn("protocol", F.lit("P3"))), ["protocol"])
+
+
+def _wide(spark, sf_dir):
+    """(subject, epoch, y, fold, features) and the long rows with folds of whole subjects."""
+    long = held(by_protocol(epoch_features(spark, sf_dir)).filter("protocol = 'P3'").drop("protocol"))
+    return held(learn.wide(long, ["subject", "epoch", "y", "fold"], FEATURES)), long
+
+
 # --- transfer
 
 _COH = f"{BASE}, coh AS (SELECT *, subject % 3 AS cohort FROM feats)"
@@ -118,20 +141,37 @@ def transfer_matrix(spark, sf_dir):
 
 # --- selection chain
 
-_MASKS = "a AS (SELECT p_partkey AS k FROM part WHERE p_size % 3 = 0), b AS (SELECT p_partkey AS k FROM part WHERE p_size % 5 = 0), both_ AS (SELECT * FROM a INTERSECT SELECT * FROM b), cand AS (SELECT * FROM both_ UNION SELECT u.* FROM (SELECT * FROM a UNION SELECT * FROM b) u WHERE (SELECT count(*) FROM both_) < 8)"
+_CHAIN = f"""v AS (SELECT label * 5 + vec_id % 5 AS subject, (label % 2)::INT AS y, printf('c%02d', i) AS feature, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(0, 64) r(i)),
+fo AS (SELECT subject, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('1:', subject)), subject) - 1) % {K} + 1 AS fold FROM (SELECT DISTINCT subject, y FROM v)),
+tr AS (SELECT v.* FROM v JOIN fo USING (subject) WHERE fold <> 1),
+a AS (SELECT feature AS k FROM (SELECT feature, row_number() OVER (ORDER BY abs(avg(value) FILTER (WHERE y = 1) - avg(value) FILTER (WHERE y = 0)) / stddev_samp(value) DESC, feature) AS n FROM tr GROUP BY feature) WHERE n <= 20),
+sm AS (SELECT subject, any_value(y) AS y, feature, avg(value) AS value FROM tr GROUP BY subject, feature),
+mo AS (SELECT feature, {_MOM} FROM sm GROUP BY feature),
+w AS (SELECT feature AS k, {_T} AS t, (n1 + n0 - 2)::DOUBLE AS df FROM mo),
+b AS (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY round(abs(t), 9) DESC, k) AS n FROM w) WHERE n <= 20),
+both_ AS (SELECT * FROM a INTERSECT SELECT * FROM b), cand AS (SELECT * FROM both_ UNION SELECT u.* FROM (SELECT * FROM a UNION SELECT * FROM b) u WHERE (SELECT count(*) FROM both_) < 8),
+p AS (SELECT k, {T_TAIL} AS p FROM w SEMI JOIN cand USING (k), range(0, 2001) x(i) GROUP BY k)"""
 
 
 @Q.add(
     "selection_chain",
-    f"""WITH {_MASKS}, p AS (SELECT k, (k * 7919 % 1000) / 20000.0::DOUBLE AS p FROM cand), r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rank, count(*) OVER () AS m FROM p),
+    f"""WITH {_CHAIN}, r AS (SELECT *, row_number() OVER (ORDER BY p, k) AS rank, count(*) OVER () AS m FROM p),
 l AS (SELECT coalesce(max(rank) FILTER (WHERE p <= rank / m * 0.05), 0) AS last FROM r) SELECT k FROM r, l WHERE rank <= last OR last < 5""",
 )
 def selection_chain(spark, sf_dir):
-    """What both masks hold (what either does, if both hold fewer than eight), then what a test keeps (all of it, if the test keeps fewer than five)."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
-    candidates = joins.masks(p.filter("p_size % 3 = 0"), p.filter("p_size % 5 = 0"), "k", 8)
-    tests = candidates.withColumn("p", F.col("k") * 7919 % 1000 / F.lit(20000.0))
-    return selection.kept_by_test(tests, "k", 5).select("k")
+    """Of a training part, the features that both the distance of class centres and the t of subjects' means rank high (either, if both hold fewer
+    than eight), then those whose t passes a test for many (all of them, if fewer than five do)."""
+    e = read(spark, sf_dir, "embeddings").select((F.col("label") * 5 + F.col("vec_id") % 5).alias("subject"), (F.col("label") % 2).cast("int").alias("y"), F.posexplode("embedding").alias("i", "value"))
+    long = held(e.select("subject", "y", F.format_string("c%02d", "i").alias("feature"), F.col("value").cast("double").alias("value")))
+    outside = folds.grouped_folds(long.select("subject", "y").distinct(), "subject", "y", K, 1).filter("fold <> 1").select("subject")
+    training = held(long.join(outside, "subject", "left_semi"))
+    centres = selection.ranked(learn.centroid_models(training.withColumn("fold", F.lit(1)), [], holdout=False), ["fold"]).filter("rank <= 20").select(F.col("feature").alias("k"))
+    means = training.groupBy("subject", "y", "feature").agg(F.avg("value").alias("value"))
+    tests = held(statistics.pooled_t(statistics.two_groups(means, ["feature"], "y", "value")).withColumnRenamed("feature", "k"))
+    by_t = tests.orderBy(F.round(F.abs("t"), 9).desc(), "k").limit(20).select("k")
+    candidates = joins.masks(centres, by_t, "k", 8)
+    tested = statistics.with_p(tests.withColumn("df", (F.col("n1") + F.col("n0") - 2).cast("double"))).select("k", "p")
+    return selection.kept_by_test(tested.join(candidates, "k", "left_semi"), "k", 5).select("k")
 
 
 # --- groups of one subject table

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from epochlake.functions import batches, decompose, features as ft
 from epochlake.functions.arrays import mean
-from epochlake.operators import epochs, joins
+from epochlake.operators import epochs, joins, matching
 from epochlake.sources import stores
 
 from .common import CH, CHANNELS, EP, R, Queries, channel_epochs, event_epochs, read, recordings
@@ -126,12 +126,25 @@ def feature_names(spark, sf_dir):
     return epochs.named_blocks(channel_epochs(spark, sf_dir).select("channel").distinct(), CHANNELS, _KINDS)
 
 
-@Q.add("amplitude_direction", f"WITH {CH}, c AS (SELECT subject, y, vec_id, avg(ln(list_var_samp(x) + 2.220446049250313e-16)) AS v FROM ch WHERE subject % 3 <> 0 GROUP BY subject, y, vec_id), s AS (SELECT subject, y, avg(v) AS v FROM c GROUP BY subject, y) SELECT y, count(*) AS n, round(avg(v), 6) AS level, round(stddev_samp(v), 6) AS level_sd FROM s GROUP BY y")
+@Q.add(
+    "amplitude_direction",
+    f"""WITH RECURSIVE {CH}, s AS (SELECT subject AS id, any_value(y) AS grp, subject % 2 AS sex, avg(vec_id) AS age FROM ch GROUP BY subject),
+side AS (SELECT CASE WHEN count(*) FILTER (WHERE grp = 0) < count(*) FILTER (WHERE grp = 1) THEN 0 ELSE 1 END AS anchor FROM s),
+a AS (SELECT s.*, row_number() OVER (ORDER BY md5(concat('1:', id))) AS n FROM s JOIN side ON grp = anchor), p AS (SELECT s.* FROM s JOIN side ON grp <> anchor),
+m AS (SELECT 0::BIGINT AS n, NULL::BIGINT AS anchor, NULL::BIGINT AS pick, []::BIGINT[] AS used
+  UNION ALL SELECT m.n + 1, any_value(a.id), arg_min(p.id, (p.sex <> a.sex, abs(p.age - a.age), p.id)), list_append(any_value(m.used), arg_min(p.id, (p.sex <> a.sex, abs(p.age - a.age), p.id)))
+  FROM m JOIN a ON a.n = m.n + 1 JOIN p ON true WHERE NOT list_contains(m.used, p.id) GROUP BY m.n),
+f AS (SELECT anchor AS id FROM m WHERE n > 0 UNION ALL SELECT pick FROM m WHERE n > 0),
+c AS (SELECT subject, y, vec_id, avg(ln(list_var_samp(x) + 2.220446049250313e-16)) AS v FROM ch WHERE subject IN (SELECT id FROM f) GROUP BY subject, y, vec_id),
+v AS (SELECT subject, y, avg(v) AS v FROM c GROUP BY subject, y) SELECT y, count(*) AS n, round(avg(v), 6) AS level, round(stddev_samp(v), 6) AS level_sd FROM v GROUP BY y""",
+)
 def amplitude_direction(spark, sf_dir):
-    """Log-variance over channels, then over a subject's epochs, then by class, among matched subjects only."""
-    matched = channel_epochs(spark, sf_dir).select("subject").distinct().filter("subject % 3 <> 0")
-    e = epochs.subset(channel_epochs(spark, sf_dir), matched, ["subject"]).select("subject", "y", "vec_id", ft.log_variance(F.col("x")).alias("v"))
-    s = e.groupBy("subject", "y", "vec_id").agg(F.avg("v").alias("v")).groupBy("subject", "y").agg(F.avg("v").alias("v"))
+    """Log-variance over channels, then over a subject's epochs, then by class, among subjects that are matched by age and sex."""
+    e = channel_epochs(spark, sf_dir)
+    people = e.groupBy(F.col("subject").cast("long").alias("id")).agg(F.first("y").alias("group"), F.avg("vec_id").alias("age")).withColumn("sex", F.col("id") % 2).withColumn("cohort", F.lit(1))
+    matched = matching.matched(people, "cohort", smaller_anchors=True).select(F.col("id").alias("subject"))
+    kept = epochs.subset(e, matched, ["subject"]).select("subject", "y", "vec_id", ft.log_variance(F.col("x")).alias("v"))
+    s = kept.groupBy("subject", "y", "vec_id").agg(F.avg("v").alias("v")).groupBy("subject", "y").agg(F.avg("v").alias("v"))
     return s.groupBy("y").agg(F.count("*").alias("n"), F.avg("v").alias("level"), F.stddev_samp("v").alias("level_sd"))
 
 

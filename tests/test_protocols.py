@@ -102,3 +102,20 @@ def test_an_epoch_that_fails_is_null_alone(spark):
     df = spark.createDataFrame(rows, "id int, x array<double>").coalesce(1)
     out = {r["id"]: r["v"] for r in df.select("id", batches.over(picky, 1, F.col("x")).alias("v")).collect()}
     assert out == {i: ([None] if i in (7, 11, 12) else [2.0 * i]) for i in range(13)}
+
+
+def test_nested_choice_of_features_by_inner_folds(spark):
+    r = np.random.default_rng(4)
+    rows = []
+    for s in range(30):
+        for e in range(3):
+            rows += [(s, e, s % 2, "a", float(s % 2 + r.normal(0, 0.3))), (s, e, s % 2, "b", float(r.normal())), (s, e, s % 2, "c", float(r.normal()))]
+    long = spark.createDataFrame(rows, "subject int, epoch int, y int, feature string, value double")
+    dealt = folds.grouped_folds(long.select("subject", "y").distinct(), "subject", "y", 2, 1).select("subject", "fold")
+    long = long.join(dealt, "subject")
+    wide = learn.wide(long, ["subject", "epoch", "y", "fold"], ["a", "b", "c"])
+    p = protocols.nested_forest(wide, long, ["a", "b", "c"], [1, 3], inner=2, name="tree", minInstancesPerNode=5).collect()
+    assert len(p) == 90 and sum(x["yhat"] == x["y"] for x in p) >= 80
+    only = protocols.columns_of(wide, ["a", "b", "c"], ["c", "a"]).first()
+    full = wide.filter(f"subject = {only['subject']} AND epoch = {only['epoch']}").first()
+    assert only["features"] == [full["features"][2], full["features"][0]]
