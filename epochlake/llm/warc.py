@@ -18,7 +18,8 @@ the header; a null page_id is written as none, is never referred to, and its pag
 is a response unless an equal payload has a page_id; rows that repeat the largest
 page_id of a payload are all responses; an empty table makes archives without
 records; payloads of any length are written and read whole, by a task that holds one of them
-in both forms; other columns are ignored, whatever their names.
+in both forms; other columns are ignored, whatever their names. A record whose member is cut off or damaged, or whose payload
+hasn't the digest that its header names, is a row with `error`, and what its header says as far as it can be read; the records after it are read on.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from .common import cut, looked_up, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
-RECORD = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
+RECORD = "page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, payload binary, error string"
 
 
 def member(record: bytes) -> bytes:
@@ -92,8 +93,14 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     members.select(F.col("bytes").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
 
 
+class Broken(bytes):
+    """What could be inflated of a record's member that is cut off or damaged."""
+
+
 def parse(raw: bytes) -> tuple | None:
     """A RECORD row of an inflated member, or None where it is no response or revisit."""
+    error = "a member that is cut off or damaged" if isinstance(raw, Broken) else None
+    raw = bytes(raw)
     if not raw.startswith(b"WARC/"):
         return None
     header, _, rest = raw.partition(b"\r\n\r\n")
@@ -102,21 +109,23 @@ def parse(raw: bytes) -> tuple | None:
         k, _, v = line.partition(":")
         fields[k.strip().lower()] = v.strip()
     kind = fields.get("warc-type")
+    number = lambda k: int(fields[k]) if fields.get(k, "").removeprefix("-").isdigit() else None
+    if error and kind in ("response", "revisit", None):
+        return number("x-page-id"), kind, number("x-refers-to-page-id"), fields.get("warc-target-uri"), None, None, None, error
     if kind not in ("response", "revisit"):
         return None
     block = rest[: int(fields.get("content-length", len(rest)))]
     http, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
-    number = lambda k: int(fields[k]) if k in fields else None
     if kind == "response":
         digest, size = base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)
         said = fields.get("warc-payload-digest", "")
         if said.startswith("sha1:") and said[5:].upper() != digest:
-            raise ValueError(f"record {fields.get('warc-record-id')}: its payload doesn't have the digest {said}")
+            error = f"record {fields.get('warc-record-id')}: its payload doesn't have the digest {said}"
     else:
         digest = fields.get("warc-payload-digest", "").removeprefix("sha1:").upper() or None
         m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", http)
         size, body = int(m[1]) if m else None, None
-    return number("x-page-id"), kind, number("x-refers-to-page-id"), fields.get("warc-target-uri"), size, digest, body
+    return number("x-page-id"), kind, number("x-refers-to-page-id"), fields.get("warc-target-uri"), size, digest, body, error
 
 
 class Window:
@@ -141,18 +150,36 @@ class Window:
             self.start = position
 
 
+def inflated_head(chunk: bytes, step: int = 64) -> bytes:
+    """What the bytes of a damaged member give before the damage."""
+    z, out = zlib.decompressobj(31), b""
+    for i in range(0, len(chunk), step):
+        try:
+            out += z.decompress(chunk[i : i + step])
+        except zlib.error:
+            break
+        if len(out) >= 5 and not out.startswith(b"WARC/"):
+            break
+    return out
+
+
 def inflate(window: Window, at: int) -> tuple[bytes, int] | None:
-    """What the member at a position holds and where it ends; None if no WARC record or padding starts there."""
+    """What the member at a position holds and where it ends; None if no WARC record or padding starts there.
+
+    Broken, and the next position, if a record starts there and its member then ends early or can't be inflated.
+    """
     z, out, size, position = zlib.decompressobj(31), [], 0, at
     while not z.eof:
         if not window.to(position + 1):
-            return None  # the file ends first
+            return (Broken(b"".join(out)), at + 1) if out else None  # the file ends first
         front = position - window.start
         chunk = window.data[front : front + CHUNK]
         try:
             got = z.decompress(chunk)
         except zlib.error:
-            return None
+            # the chunk as far as it can be inflated: a magic that is none fails at once
+            head = b"".join(out) or inflated_head(chunk)
+            return (Broken(head), at + 1) if head.startswith(b"WARC/") else None
         position += len(chunk)
         if got:
             if not size and not b"WARC/".startswith(got[:5]) and not got.startswith(b"WARC/"):
@@ -196,7 +223,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> DataFra
     def run(batches):
         from pyarrow import fs
 
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=schema.names)
         for b in batches:
             for uri, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -224,4 +251,7 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(pages, path, min_bytes)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = read(spark, path)
+    # archives that were just written have no damage
+    sound = F.when(F.col("error").isNotNull(), F.raise_error("error").cast("long")).otherwise(F.col("page_id"))
+    return back.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
