@@ -25,11 +25,20 @@ def tumbling(rows: DataFrame, keys: list[str], order: list[str], value: str, n:
 
 
 def sliding(epochs: DataFrame, keys: list[str], window: int, overlap: float, x: str = "x") -> DataFrame:
-    """(keys, window, x): windows over the concatenated epochs of each key, a step of window * (1 - overlap) apart, at least 1."""
+    """(keys, window, x): windows over the concatenated epochs of each key, a step of window * (1 - overlap) apart, at least 1.
+
+    Every epoch gives each window that it meets its part, so no row ever holds more than an epoch and a window.
+    """
     step = max(1, int(window * (1 - overlap) + 0.5))
-    whole = epochs.groupBy(*keys).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("epoch", F.col(x).alias("v")))), lambda s: s["v"])).alias("_all"))
-    starts = F.sequence(F.lit(0), F.size("_all") - window, F.lit(step))
-    return whole.filter(F.size("_all") >= window).select(*keys, "_all", F.posexplode(starts).alias("window", "_start")).select(*keys, F.col("window").cast("long").alias("window"), F.slice("_all", F.col("_start") + 1, F.lit(window)).alias("x"))
+    before = Window.partitionBy(*keys).orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    placed = epochs.select(*keys, "epoch", F.col(x).alias("_x")).withColumn("_s", F.coalesce(F.sum(F.size("_x")).over(before), F.lit(0)).cast("long"))
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor((F.col("_s") - window) / step) + 1), F.floor((F.col("_s") + F.size("_x") - 1) / step)
+    dealt = placed.filter((F.size("_x") > 0) & (first <= last)).select(*keys, "_x", "_s", F.explode(F.sequence(first, last)).alias("window"))
+    low = F.greatest(F.col("_s"), F.col("window") * step)
+    n = F.least(F.col("_s") + F.size("_x"), F.col("window") * step + window) - low
+    parts = dealt.select(*keys, "window", low.alias("_low"), F.slice("_x", (low - F.col("_s") + 1).cast("int"), n.cast("int")).alias("_x"))
+    whole = parts.groupBy(*keys, "window").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_low", "_x"))), lambda p: p["_x"])).alias("x"))
+    return whole.filter(F.size("x") == window)
 
 
 def peak_to_peak(x):

@@ -162,8 +162,10 @@ def grid_cross_validated(rows: DataFrame, keep: list[str], name: str, parameter:
     alone: the model of a fold and its test rows have one scale, in which the fold's rows had no part. `prepare`, given the training
     part, returns a function of rows (a feature map); `setting`, given a value of the grid and the number of training rows, the
     parameter. The inner search sees at most `most` rows of a training part, each class in proportion; the fit sees all of them.
-    Fits are independent jobs, `threads` of them at a time.
+    Rows without `outer`, which nothing was fitted to prepare, are the same for every fold. Fits are independent jobs, `threads` of them at a time.
     """
+    if "outer" not in rows.columns:
+        rows = rows.crossJoin(F.broadcast(rows.select(F.col("fold").alias("outer")).distinct()))  # a row for each fold
     rows = held(rows)
     dealt = held(inner_folds(rows.select("subject", "y", "fold"), inner, seed))
     outer = [r[0] for r in rows.select("outer").distinct().orderBy("outer").collect()]  # a few folds
