@@ -35,13 +35,13 @@ def malformed_recordings(spark, sf_dir):
     return epochs.malformed(recordings(spark, sf_dir), ["subject"], "channel", wanted).select("subject", "n_channels", "malformed")
 
 
-@Q.add("adult_filter_counts", "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 18) AS minors, count(*) FILTER (WHERE c_nationkey = 0) AS unknown, count(*) FILTER (WHERE c_nationkey <> 0 AND c_acctbal >= 18) AS kept FROM customer GROUP BY c_mktsegment")
+@Q.add("adult_filter_counts", "SELECT c_mktsegment, count(*) AS n, count(*) FILTER (WHERE c_nationkey <> 0 AND c_acctbal < 18) AS minors, count(*) FILTER (WHERE c_nationkey = 0) AS unknown, count(*) FILTER (WHERE c_nationkey <> 0 AND c_acctbal >= 18) AS kept FROM customer GROUP BY c_mktsegment")
 def adult_filter_counts(spark, sf_dir):
     """Subjects of each group that an age filter keeps and leaves out; an age may be missing."""
-    c = read(spark, sf_dir, "customer").select("c_mktsegment", F.when(F.col("c_nationkey") != 0, F.col("c_acctbal")).alias("age"), "c_acctbal")
-    # a missing age counts as one of the first reason that holds
+    c = read(spark, sf_dir, "customer").select("c_mktsegment", F.when(F.col("c_nationkey") != 0, F.col("c_acctbal")).alias("age"))
+    # whose age is missing is no minor: each subject is counted once
     age = F.col("age")
-    return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < 18).alias("minors"), F.count_if(age.isNull()).alias("unknown"), F.count_if(age >= 18).alias("kept"))
+    return c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count_if(age < 18).alias("minors"), F.count_if(age.isNull()).alias("unknown"), F.count_if(age >= 18).alias("kept"))
 
 
 @Q.add(
