@@ -27,6 +27,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -116,6 +117,8 @@ class Aligner:
         self.passing: list[str] = []
         #: Of each chunk its groups as text (None: its bytes differ), and a row of counts: ids of A, of B, groups, links.
         self.texts: list[bytes | None] = []
+        #: Chunks whose bytes differ.
+        self.bad: set[int] = set()
         self.counts, self.links = np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
 
     def a_ids(self, text: str) -> np.ndarray:
@@ -129,15 +132,41 @@ class Aligner:
         """Ids of chunks that begin with a space, which stands for the mark that the library adds."""
         return [ids if len(c) > 1 else [self.mark] for c, ids in zip(chunks, self.library.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
 
+    def a_of(self, chunks: list[str], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many of each): chunks that end without white space have the same ids one after another, in one call."""
+        own: list[np.ndarray | None] = [self.a_ids(c) if c[-1].isspace() else None for c in chunks]
+        joined = [i for i, x in enumerate(own) if x is None]
+        ids = self.a_ids("".join([chunks[i] for i in joined])) if joined else np.zeros(0, np.int64)
+        ends, edges = np.cumsum(self.a_size[ids]), np.cumsum(length[joined])
+        last = np.searchsorted(ends, edges)
+        if len(joined) and last[-1] < len(ends) and (ends[last] == edges).all():
+            n = np.diff(np.r_[-1, last])
+            if len(joined) == len(chunks):
+                return ids, n
+            parts = np.split(ids, last[:-1] + 1)
+        else:
+            parts = [self.a_ids(chunks[i]) for i in joined]
+        for i, x in zip(joined, parts, strict=True):
+            own[i] = x
+        return np.concatenate(own), np.array([len(x) for x in own])
+
     def add(self, chunks: list[str]) -> None:
         """Encodes, unites and expands new chunks, all at once."""
-        a, b = [self.a_ids(c) for c in chunks], self.b_ids(chunks)
         raw = [c.encode() for c in chunks]
-        good = np.array([len(r) == self.a_size[x].sum() and r == b"".join([self.a_bytes[i] for i in x]) and r == b"".join([self.b_bytes[i] for i in y]) for r, x, y in zip(raw, a, b, strict=True)], bool)
-        a = [x if g else x[:0] for x, g in zip(a, good, strict=True)]
-        b = [np.array(y if g else [], np.int64) for y, g in zip(b, good, strict=True)]
-        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-        fa, fb = np.concatenate(a), np.concatenate(b)
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        fa, n_a = self.a_of(chunks, length)
+        lists = self.b_ids(chunks)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        fb = np.fromiter(itertools.chain.from_iterable(lists), np.int64, n_b.sum())
+        spelled = [b"".join(map(names.__getitem__, ids.tolist())) for names, ids in ((self.a_bytes, fa), (self.b_bytes, fb))]
+        good = np.ones(len(chunks), bool)
+        for size, ids, n, text in ((self.a_size, fa, n_a, spelled[0]), (self.b_size, fb, n_b, spelled[1])):
+            total = np.r_[0, np.cumsum(size[ids])][np.r_[0, np.cumsum(n)]]
+            if not (np.diff(total) == length).all() or text != b"".join(raw):
+                good &= np.array([text[s:e] == r for s, e, r in zip(total, total[1:], raw, strict=False)], bool)
+        if not good.all():
+            fa, fb = fa[np.repeat(good, n_a)], fb[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
         # ends of tokens in all chunks, one after another; good chunks have equal lengths in both
         end_a, end_b = np.cumsum(self.a_size[fa]), np.cumsum(self.b_size[fb])
         # a token of A overlaps those of B from the one that holds its first byte to the one that holds its last
@@ -156,6 +185,7 @@ class Aligner:
         order[np.arange(len(fb)) + before_a] = fb + 2 * len(self.a_bytes) + np.where(new_b, 0, len(self.b_bytes))
         names = list(map(self.written.__getitem__, order.tolist()))
         edges = np.cumsum(np.r_[0, n_a + n_b]).tolist()
+        self.bad.update((len(self.texts) + np.flatnonzero(~good)).tolist())
         self.texts += [b"".join(names[s:e]) if g else None for s, e, g in zip(edges, edges[1:], good.tolist(), strict=False)]
         chunk_of = np.repeat(np.arange(len(chunks)), n_a)
         counts = [n_a, n_b, np.bincount(chunk_of, new_a, len(chunks)).astype(np.int64), np.bincount(chunk_of[at_a], minlength=len(chunks))]
@@ -193,11 +223,11 @@ class Aligner:
     def aligned(self, texts: list[str | None], share: int) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, digest, pairs, times) of each text; pairs are numbers in order."""
         codes = self.codes([self.chunks(t) if t else [] for t in texts])
-        spoilt = [k for k, c in enumerate(codes) if any(self.texts[i] is None for i in c)]
+        spoilt = [k for k, c in enumerate(codes) if self.bad and not self.bad.isdisjoint(c)]
         for k in spoilt:
             # once more as a whole: what chunk by chunk differs might not as a whole, and the reverse
             (codes[k],) = self.codes([[" " + texts[k]]])
-            if any(self.texts[i] is None for i in codes[k]):
+            if not self.bad.isdisjoint(codes[k]):
                 codes[k] = []
         # of all texts their distinct chunks, and of those the distinct links
         n_links = self.counts[:, 3]
