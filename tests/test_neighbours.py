@@ -65,3 +65,14 @@ def test_few_rows_are_looked_at_on_clustered_data():
     for i, (a, b) in enumerate(zip(first, second, strict=True)):
         assert not set(a) & set(b)
         assert set(np.argsort(exact[i], kind="stable")[:5]) <= set(np.flatnonzero(np.isin(cell, np.concatenate([a, b]))))
+
+
+@pytest.mark.parametrize(("dims", "n", "m"), [(3, 20_000, 20_000), (64, 8000, 2000)])
+def test_rows_are_sent_a_few_times_only(spark, dims, n, m):
+    r = np.random.default_rng(6)
+    rows = lambda k: spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(r.normal(size=(k, dims)))], "id int, y int, features array<double>")
+    shuffled = lambda: sum(e.totalShuffleWrite() for e in (lambda s: [s.apply(i) for i in range(s.size())])(spark._jvm.org.apache.spark.SparkContext.getOrCreate().statusStore().executorList(False)))
+    train, test = rows(n), rows(m)
+    before = shuffled()
+    assert learn.neighbours(train, test, ["id"], 5, ["id"]).count() == 5 * m
+    assert shuffled() - before < 5 * (n + m) * (8 * dims + 40)
