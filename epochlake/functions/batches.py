@@ -219,6 +219,11 @@ def _whole(x: np.ndarray, tau: int) -> np.ndarray:
     return (x.shape[1] >= 3 * tau + 4) & (x.std(1, ddof=1) >= 1e-12)
 
 
+def phase_space_room(n: int) -> int:
+    """Doubles that phase-space features take for an epoch of n samples: some 60 arrays of it and the counts of the boxes."""
+    return 60 * n + 4 * 8**3
+
+
 def phase_space(x: np.ndarray, tau: int = 1) -> np.ndarray:
     """The fifteen features of the two-dimensional embedding (x[n], x[n + tau])."""
     if x.shape[1] < 3 * tau + 4:

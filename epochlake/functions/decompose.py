@@ -7,13 +7,16 @@ array expressions again: `modes` gives a row for each mode of each epoch.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import batches, signal
 from .batches import EPS
 
+#: Values of modes that a batch may hold.
+MODE_ROOM = 262_144
+
 
 def spline(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Natural cubic spline through (at, values), at 0 .. n - 1."""
@@ -243,22 +246,45 @@ def modes(epochs: DataFrame, keys: list[str], x: str = "x", imfs: int = 4, per_i
     A mode that an epoch hasn't, or all of an epoch that can't be split, have null for x, so every epoch has a row for each mode.
     """
 
-    def run(s: pd.Series) -> pd.Series:
-        every = [(i, j) for i in range(imfs) for j in range(per_imf)]
-        out = [[{"imf": i + 1, "mode": j + 1, "x": None} for i, j in every] for _ in range(len(s))]
+    import pyarrow as pa
+
+    every = [(i, j) for i in range(imfs) for j in range(per_imf)]
+
+    def split(part):
+        """An Arrow batch of the modes of a part of a batch, which numpy holds and no Python object for each value."""
+        values = part.column(x).to_pylist()
+        found: list[tuple] = []  # (places in the part, place of the mode, stack)
         # an epoch's modes and the splines on the way to them
-        for at, stack in batches.stacks(s, lambda n: (imfs * per_imf + 12) * n):
-            found, there, _ = empirical_stack(batches.z(stack), imfs)
+        for at, stack in batches.stacks(values, lambda n: (imfs * per_imf + 12) * n):
+            modes_, there, _ = empirical_stack(batches.z(stack), imfs)
             for i in range(imfs):
                 rows = np.flatnonzero(there[:, i])
-                if not len(rows):
-                    continue
-                parts, has = wavelet_stack(found[rows, i], per_imf)
-                for j in range(per_imf):
-                    for r in np.flatnonzero(has[:, j] & np.isfinite(parts[:, j]).all(1)):
-                        out[at[rows[r]]][i * per_imf + j]["x"] = parts[r, j].tolist()
-        return pd.Series(out, dtype=object)
-
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    split_ = F.pandas_udf(run, "array<struct<imf:int,mode:int,x:array<double>>>")(x)
-    return epochs.select(*keys, F.explode(split_).alias("m")).select(*keys, "m.imf", "m.mode", "m.x")
+                if len(rows):
+                    parts, has = wavelet_stack(modes_[rows, i], per_imf)
+                    for j in range(per_imf):
+                        fine = has[:, j] & np.isfinite(parts[:, j]).all(1)
+                        found.append((at[rows[fine]], i * per_imf + j, parts[fine, j]))
+        # where each mode is among the stacks, one after another
+        ends = np.cumsum([0, *[m.size for *_, m in found]])
+        length, start = np.zeros((len(values), len(every)), np.int64), np.zeros((len(values), len(every)), np.int64)
+        for (at, k, m), first in zip(found, ends, strict=False):
+            length[at, k], start[at, k] = m.shape[1], first + np.arange(len(m)) * m.shape[1]
+        length, start = length.ravel(), start.ravel()
+        flat = np.concatenate([m.ravel() for *_, m in found] or [np.empty(0)])
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        flat = flat[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat), mask=pa.array(length == 0))
+        rows = pa.array(np.repeat(np.arange(len(values)), len(every)))
+        imf, mode = (pa.array(np.tile([e[c] + 1 for e in every], len(values)), pa.int32()) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([*[part.column(c).take(rows) for c in keys], imf, mode, lists], [*keys, "imf", "mode", "x"])
+
+    def run(arrow):
+        for b in arrow:
+            # parts of about as many values as a function may hold, by the batch's mean; a long epoch alone
+            size = max(1, len(b.column(x).flatten()) // max(1, b.num_rows))
+            step = max(1, MODE_ROOM // (size * len(every)))
+            for s in range(0, b.num_rows, step):
+                yield split(b.slice(s, step))
+
+    out = T.StructType([*epochs.select(*keys).schema, T.StructField("imf", T.IntegerType()), T.StructField("mode", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return epochs.select(*keys, F.col(x).cast("array<double>").alias(x)).mapInArrow(run, out)

@@ -138,7 +138,7 @@ SELECT vec_id, regr_slope(v, a) AS exponent FROM g GROUP BY vec_id""",
 
 family(
     "phase_space_2d",
-    stacked(batches.phase_space, batches.PSR2),
+    stacked(batches.phase_space, batches.PSR2, room=batches.phase_space_room),
     E + """, p AS (SELECT vec_id, i, x, lead(x) OVER w AS y FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 q AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(x, 2) OVER w AS x3, lead(y, 2) OVER w AS y3 FROM p WHERE y IS NOT NULL WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 t AS (SELECT *, 0.5 * abs(x * (y2 - y3) + x2 * (y3 - y) + x3 * (y - y2)) AS area, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS a, sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) AS b, sqrt(pow(x - x3, 2) + pow(y - y3, 2)) AS c FROM q),
@@ -158,7 +158,7 @@ SELECT vec_id, pi() * tms AS cem, tps, ica, ism, iam, tms, pdd, sdd, 2 / (1 + sq
 )
 family(
     "phase_space_3d",
-    stacked(batches.phase_space_3d, batches.PSR3),
+    stacked(batches.phase_space_3d, batches.PSR3, room=batches.phase_space_room),
     E + """, q AS (SELECT vec_id, i, x AS a, lead(x) OVER w AS b, lead(x, 2) OVER w AS c FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
 p AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS m FROM q WHERE c IS NOT NULL),
 r AS (SELECT *, min(a) OVER v AS la, max(a) OVER v AS ha, min(b) OVER v AS lb, max(b) OVER v AS hb, min(c) OVER v AS lc, max(c) OVER v AS hc FROM p WINDOW v AS (PARTITION BY vec_id)),

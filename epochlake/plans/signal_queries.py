@@ -50,7 +50,7 @@ def filter_and_resample(spark, sf_dir):
 def mode_phase_space(spark, sf_dir):
     """Phase-space features of every mode of every epoch; null where an epoch hasn't the mode."""
     m = decompose.modes(store(spark, sf_dir), ["vec_id"])
-    f = m.select("vec_id", "imf", "mode", batches.over(batches.phase_space, len(batches.PSR2), F.col("x")).alias("p"), batches.over(batches.phase_space_3d, len(batches.PSR3), F.col("x")).alias("q"))
+    f = m.select("vec_id", "imf", "mode", batches.over(batches.phase_space, len(batches.PSR2), F.col("x"), batches.phase_space_room).alias("p"), batches.over(batches.phase_space_3d, len(batches.PSR3), F.col("x"), batches.phase_space_room).alias("q"))
     return f.select("vec_id", "imf", "mode", *[F.get("p", F.lit(i)).alias(c) for i, c in enumerate(batches.PSR2)], *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(batches.PSR3)])
 
 

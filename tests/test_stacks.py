@@ -74,3 +74,17 @@ def test_phase_space_of_modes(spark):
                         assert r[c] is None and not np.isfinite(v) or r[c] == pytest.approx(v, abs=2e-6, rel=1e-6)
                         seen += 1
     assert seen > 500
+
+
+def test_modes_and_their_features_are_held_for_a_few_epochs_at_a_time(spark):
+    df = spark.range(4000, numPartitions=1).selectExpr("id", "transform(sequence(1, 64), i -> sin(i * (id % 7 + 2) / 9D) + sin(i * 2.1D + id)) AS x")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        m = decompose.modes(df, ["id"])
+        assert m.count() == 4000 * 8
+        # no batch of all modes goes between Spark and Python
+        assert "ArrowEvalPython" not in m._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x = np.zeros((10_000, 64)) + np.arange(64)
+    assert max(len(at) for at, _ in batches.stacks(list(x), batches.phase_space_room)) * 60 * 64 <= batches.ROOM
