@@ -119,3 +119,16 @@ def test_nested_choice_of_features_by_inner_folds(spark):
     only = protocols.columns_of(wide, ["a", "b", "c"], ["c", "a"]).first()
     full = wide.filter(f"subject = {only['subject']} AND epoch = {only['epoch']}").first()
     assert only["features"] == [full["features"][2], full["features"][0]]
+
+
+def test_no_medians_are_sorted_for_columns_without_gaps(spark, monkeypatch):
+    from pyspark.ml import feature
+
+    asked = []
+    fit = feature.Imputer.fit
+    monkeypatch.setattr(feature.Imputer, "fit", lambda self, *a: asked.append(self.getInputCols()) or fit(self, *a))
+    r = np.random.default_rng(3)
+    rows = [(i, i % 2, i % 2 + 1, [float(i % 2) + v, None if i == 5 else w]) for i, (v, w) in enumerate(r.normal(size=(60, 2)).tolist())]
+    df = spark.createDataFrame([(i, y, 1 + i // 30, f) for i, y, _, f in rows], "id int, y int, fold int, features array<double>")
+    assert learn.cross_validated(df, "fold", ["id"], "svm", maxIter=3).count() == 60
+    assert asked == [["f1"], ["f1"]]
