@@ -313,6 +313,13 @@ def written(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in found)
 
 
+def slices(batches, most: int = 256):
+    """Batches in parts of a few documents: texts, results and what goes back are held for one part at a time."""
+    for b in batches:
+        for s in range(0, b.num_rows, most):
+            yield b.slice(s, most)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the base spans, all spans."""
     pair = docs.select("doc_id", "text")
@@ -320,7 +327,7 @@ def find(docs: DataFrame) -> DataFrame:
     fitted = model()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             base = [base_spans(t or "") for t in b.column(1).to_pylist()]
             every = [spans(t or "", f, fitted) for t, f in zip(b.column(1).to_pylist(), base, strict=True)]
             counts = [pa.array([sum(x[0] == k for x in f) for f in base], pa.int64()) for k in range(len(KINDS))]
@@ -346,7 +353,7 @@ def redact(docs: DataFrame) -> DataFrame:
     fitted = model()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array([t and redacted(t, fitted) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 

@@ -64,3 +64,13 @@ def test_numbers_of_any_length():
     assert pii.base_spans("0" * 5000 + ".1.2.3") == [(1, 0, 5006)]
     assert pii.base_spans("1" * 5000 + ".1.2.3") == []
     assert pii.redacted("call 1." + "9" * 20_000 + ".2.3") == "call 1." + "9" * 20_000 + ".2.3"
+
+
+def test_texts_are_held_a_few_at_a_time():
+    import pyarrow as pa
+
+    from epochlake.llm import pii
+
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(1000)), "text": ["x"] * 1000})
+    parts = list(pii.slices([b]))
+    assert max(p.num_rows for p in parts) <= 256 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([b]))
